@@ -1,0 +1,6 @@
+"""Catalogue of registered queries."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
