@@ -5,17 +5,20 @@ among equals; the best pair merges, its new neighbours join the agenda, until no
 fall back to bytes. No piece holds a character after which a word mark follows, so a text falls into units at word marks and
 at characters that no longer piece holds; each distinct unit is merged once per worker and kept in a bounded cache.
 
-Each Arrow batch is checked against the sentencepiece library's own encode; a row that differed would carry the library's ids
-and be counted in `n_fixed`. Decoding is the library's decode(ids). Null counts as empty; the empty text has no ids. Rows do not
+Each Arrow batch is checked against the sentencepiece library's own encode: every distinct unit that the batch adds, in one call,
+and its first text as a whole. A unit that differed would get the library's ids and be counted in `n_fixed`. Decoding is the library's decode(ids). Null counts as empty; the empty text has no ids. Rows do not
 depend on each other: one scan, no shuffle. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
+import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,10 +26,11 @@ from . import common
 
 MARK = "▁"
 #: Units kept by a worker; when full, the cache starts anew.
-CACHE_UNITS = 400_000
-#: Up to so many symbols a plain list is the quicker agenda.
-SHORT = 24
-_NONE = float("inf")
+CACHE_UNITS = 1_000_000
+#: Units up to so many symbols are merged many at a time; longer ones by a heap each.
+SHORT = 32
+_NONE = 1 << 30
+SEP = "\n"
 
 
 def model_path() -> str:
@@ -49,12 +53,12 @@ class Codec:
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.unk = sp.unk_id()
         joined = {c for i in plain if len(names[i]) > 1 for c in names[i]}
-        if any(MARK in names[i].lstrip(MARK) for i in plain):
-            self.split = None
-        else:
-            alone = "".join(c for c in "\n\t|,.!?:;0123456789" if c not in joined)
-            self.split = re.compile(rf"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+").findall if alone else re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+").findall
+        alone = "".join(c for c in "\n\t|,.!?:;0123456789" if c not in joined)
+        if SEP not in alone or any(MARK in names[i].lstrip(MARK) for i in plain):
+            raise ValueError("pieces of this model reach over line ends or from one word into the next")
+        self.split = re.compile(rf"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+").findall
         self.cache: dict[str, tuple[list[int], str]] = {}
+        self.fixed: set[str] = set()
 
     def merged(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda."""
@@ -64,8 +68,6 @@ class Codec:
         n = len(sym)
         if n == 1:
             return [whole[1]] if whole else self.fallback(unit)
-        if n <= SHORT:
-            return self.merged_short(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -95,50 +97,115 @@ class Codec:
             i = after[i]
         return out
 
-    def merged_short(self, sym: list[str]) -> list[int]:
-        """The same for a few symbols: the agenda is the list of the pairs' scores in text order, its head their minimum."""
-        get, none = self.pieces.get, (_NONE, 0)
-        agenda = [get(a + b, none)[0] for a, b in zip(sym, sym[1:])]  # noqa: B905
-        while agenda and (best := min(agenda)) < _NONE:
-            i = agenda.index(best)
-            made = sym[i] = sym[i] + sym.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(made + sym[i + 1], none)[0]
-            if i:
-                agenda[i - 1] = get(sym[i - 1] + made, none)[0]
-        out: list[int] = []
-        for x in sym:
-            p = get(x)
-            if p:
-                out.append(p[1])
-            else:
-                out += self.fallback(x)
-        return out
-
     def fallback(self, symbol: str) -> list[int]:
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unk]
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a whole text, and the same as decimal numbers joined by commas."""
+    def _pairs(self) -> None:
+        """Numbers for symbols, and a table from pairs of symbols to the piece they form and its place in the order of scores."""
+        from .language_id import Table
+
+        chars = {c for x in self.pieces for c in x}
+        self.symbols = sorted({*self.pieces, *chars})
+        number = {x: i for i, x in enumerate(self.symbols)}
+        self.pad = len(self.symbols)  # also for characters of no piece
+        ranks = {c: i for i, c in enumerate(sorted({p[0] for p in self.pieces.values()}))}
+        left, right, made, rank = [], [], [], []
+        for x, (cost, _) in self.pieces.items():
+            for k in range(1, len(x)):
+                if x[:k] in number and x[k:] in number:
+                    left.append(number[x[:k]])
+                    right.append(number[x[k:]])
+                    made.append(number[x])
+                    rank.append(ranks[cost])
+        self.table = Table(np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64))
+        self.made, self.rank = np.array([*made, -1], np.int32), np.array([*rank, _NONE], np.int32)
+        self.points = np.array(sorted(map(ord, chars)), np.int64)
+        self.of_point = np.array([number[chr(c)] for c in self.points], np.int32)
+        self.ids = [[self.pieces[x][1]] if x in self.pieces else self.fallback(x) for x in self.symbols]
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.table.find(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
+
+    def merged_many(self, units: list[str]) -> list[list[int]]:
+        """Ids of many short units: one agenda a row, all rows take their best pair in the same step."""
+        if not hasattr(self, "table"):
+            self._pairs()
+        long = np.array([len(u) for u in units])
+        width = int(long.max())
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
+        sym = np.full((len(units), width + 1), self.pad, np.int32)
+        sym[np.arange(width + 1) < long[:, None]] = np.where(self.points[at] == codes, self.of_point[at], self.pad)
+        start = np.full((len(units), width), -1, np.int32)
+        inner = np.arange(width) < long[:, None] - 1
+        start[inner] = self._find(sym[:, :-1][inner], sym[:, 1:][inner])
+        pair, out, rows, cols = start, sym, np.arange(len(units)), np.arange(width + 1)
+        while True:
+            agenda = self.rank[pair]
+            best = agenda.argmin(axis=1)
+            live = np.flatnonzero(agenda[np.arange(len(rows)), best] < _NONE)
+            if len(live) < len(rows):
+                out[rows] = sym
+                rows, sym, pair, best = rows[live], sym[live], pair[live], best[live]
+            if not len(rows):
+                break
+            r = np.arange(len(rows))
+            new = self.made[pair[r, best]]
+            shift = np.minimum(cols + (cols > best[:, None]), width)
+            sym = np.take_along_axis(sym, shift, axis=1)
+            sym[:, -1] = self.pad
+            sym[r, best] = new
+            pair = np.take_along_axis(pair, np.minimum(shift[:, :-1], width - 1), axis=1)
+            pair[:, -1] = -1
+            pair[r, best] = self._find(new, sym[r, best + 1])
+            back = np.flatnonzero(best > 0)
+            pair[back, best[back] - 1] = self._find(sym[back, best[back] - 1], new[back])
+        ids = self.ids
+        n = (out != self.pad).sum(axis=1).tolist()
+        odd = set(np.flatnonzero(np.bincount(np.repeat(np.arange(len(units)), long), self.points[at] != codes, len(units))).tolist())
+        return [self.merged(u) if i in odd else [x for y in row[:k] for x in ids[y]] for i, (u, row, k) in enumerate(zip(units, out.tolist(), n, strict=True))]
+
+    def units(self, text: str) -> list[str]:
         if not text:
-            return [], ""
+            return []
         whole = MARK + text.replace(" ", MARK)
-        ids: list[int] = []
-        said: list[str] = []
+        return self.split(whole)
+
+    def checked(self, units: list[str], ids: list[list[int]]) -> list[list[int]]:
+        """The ids as the library has them: it encodes all units of the batch at once, held apart by a symbol that never merges."""
+        theirs = self.lib.encode("".join([SEP + u for u in units]), num_threads=1)
+        sep = self.merged(SEP)
+        if theirs == [*self.merged(MARK), *itertools.chain.from_iterable(sep + x for x in ids)] or not units:
+            return ids
+        out = []
+        for u, x in zip(units, ids, strict=True):
+            own = self.lib.encode(SEP + u)[len(sep) + 1 :]
+            if own != x:
+                self.fixed.add(u)
+            out.append(own)
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """For each whole text its ids, and the same as decimal numbers joined by commas."""
+        parted = [self.units(x) for x in texts]
+        if len(self.cache) >= CACHE_UNITS:
+            self.cache.clear()
         cache = self.cache
-        for unit in self.split(whole) if self.split else [whole]:
-            got = cache.get(unit)
-            if got is None:
-                x = self.merged(unit)
-                got = (x, ",".join(map(str, x)))
-                if len(unit) <= 32:
-                    if len(cache) >= CACHE_UNITS:
-                        cache.clear()
-                    cache[unit] = got
-            ids += got[0]
-            said.append(got[1])
-        return ids, ",".join(said)
+        new = [u for u in set().union(*parted) if u not in cache]
+        new.sort(key=len)  # rows of one step are of like width
+        many = sum(len(u) <= SHORT for u in new)
+        ids = [x for i in range(0, many, 4096) for x in self.merged_many(new[i : min(i + 4096, many)])]
+        long_ones = new[many:]  # not kept after this batch
+        ids += map(self.merged, long_ones)
+        for u, x in zip(new, self.checked(new, ids), strict=True):
+            cache[u] = (x, ",".join(map(str, x)))
+        out = []
+        for own in parted:
+            got = [cache[u] for u in own]
+            out.append((list(itertools.chain.from_iterable(x for x, _ in got)), ",".join([x for _, x in got])))
+        for u in long_ones:
+            del cache[u]
+        return out
 
 
 _CODECS: dict[str, Codec] = {}
@@ -151,7 +218,7 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """doc_id, token ids, number of ids, digests of ids and of the decoded text, rows set right by the library's check.
+    """doc_id, token ids, number of ids, digests of ids and of the decoded text, units set right by the library's check.
 
     keep_ids: also return the ids themselves (`ids`) and the decoded text (`decoded`).
     """
@@ -160,15 +227,15 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
 
     def run(batches):
         c = codec(path)
+        gc.disable()  # the cache's many small lists hold no cycles, and walking them again and again is a third of the time
         for batch in batches:
             for part in common.slices(batch):
                 texts = common.texts(part.column(1))
                 n, ids_sha, out_sha, fixed, all_ids, decoded = [], [], [], [], [], []
-                for text, theirs in zip(texts, c.lib.encode(texts, num_threads=1), strict=True):
-                    ids, said = c.encode(text)
-                    fixed.append(int(ids != theirs))
-                    if fixed[-1]:
-                        ids, said = theirs, ",".join(map(str, theirs))
+                for k, (text, (ids, said)) in enumerate(zip(texts, c.encode(texts), strict=True)):
+                    fixed.append(sum(u in c.fixed for u in c.units(text)) if c.fixed else 0)
+                    if k == 0 and ids != c.lib.encode(text):
+                        raise ValueError("a text's ids differ from the library's")
                     back = c.lib.decode(ids)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
