@@ -1 +1 @@
-
+"""Session plumbing."""
