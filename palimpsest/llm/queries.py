@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .language_id import language_id
 from .line_dedup import line_report
+from .media_columns import document_media
 from .secret_scan import secret_scan
 from .sentencepiece_codec import encode
 from .toxicity import toxicity
@@ -26,6 +27,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), keep_ids=False)
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_language_id,
         op3_sentencepiece,
+        op5_media_columns,
         op6_secret_scan,
         op10_line_dedup,
     )
