@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
+from .jaccard_join import near_duplicates
 from .language_id import language_id
 from .line_dedup import line_report
 from .media_columns import document_media
@@ -27,6 +28,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), keep_ids=False)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(documents(spark, sf_dir))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_language_id,
         op3_sentencepiece,
+        op4_jaccard_join,
         op5_media_columns,
         op6_secret_scan,
         op10_line_dedup,
