@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -127,7 +127,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set), keys: the shards of the class, at its first document of each task."""
+    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards) and vec."""
     last = docs.sparkSession.sparkContext.broadcast(_order(docs, k))
 
     def run(batches):
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         seen: set[int] = set()
         for batch in batches:
             for part in common.slices(batch):
-                n, cls, keys = [], [], []
+                n, cls, keys, vecs = [], [], [], []
                 for s in shingles(*common.buffers(part.column(1)), k):
                     c = xxhash.xxh3_64_intdigest(s.tobytes())
                     c -= c >> 63 << 64
@@ -143,7 +143,9 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                     cls.append(c)
                     if not len(s) or c in seen:
                         keys.append(None)
+                        vecs.append(None)
                         continue
+                    vecs.append(count_vector(s).astype(np.uint32).tobytes())
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     p = prefix_size(len(s), percent)
@@ -153,27 +155,41 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                         keys.append(np.concatenate((s[~common_ones], s[common_ones]))[:p].view(np.int64))
                     else:
                         keys.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """cls, n, vec, items of the classes in reps (doc_id), by their first documents."""
+    """cls and items of the classes in reps (doc_id, cls), from the texts of those documents."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
                 rows = shingles(*common.buffers(part.column(1)), k)
-                vec = [count_vector(s).astype(np.uint32).tobytes() for s in rows]
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([len(s) for s in rows], pa.int64()), pa.array(vec, pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["cls", "n", "vec", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([s.tobytes() for s in rows], pa.binary())], names=["cls", "items"])
 
     few = reps.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(run, "cls long, n long, vec binary, items binary")
+    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(run, "cls long, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link."""
+def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the count vectors do not exclude."""
+
+    def run(batches):
+        for batch in batches:
+            v = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3)]
+            n, m = v[0].sum(axis=1), v[1].sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(*v).sum(axis=1) >= least_overlap(n, m, percent)))
+
+    x, y = vecs.select(F.col("cls").alias("a"), F.col("vec").alias("x")), vecs.select(F.col("cls").alias("b"), F.col("vec").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link. Sets are made anew from the texts of the pairs' classes alone."""
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = common.written(_sets(docs, common.written(reps.join(named, "cls").select("doc_id", "cls")), k))
 
     def run(batches):
         for batch in batches:
@@ -199,66 +215,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _pairs_within(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each run of a few rows."""
+    x = np.repeat(start, size) + common.ragged(np.zeros(len(size), np.int64), size)
+    end = np.repeat(start + size, size)
+    n = end - x - 1
+    return np.repeat(x, n), common.ragged(x + 1, n)
+
+
+def _search_shards(key, p, q, i, cls, comp, n, vecs, percent) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that the bound leaves, in shards whose rows stand together."""
+    cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+    size = np.diff(np.append(cuts, len(key)))
+    small = (size <= LEAF) & (p[cuts] == q[cuts])
+    x, y = _pairs_within(size[small], cuts[small])  # a tree of one leaf
+    keep = comp[x] != comp[y]
+    x, y = x[keep], y[keep]
+    keep = np.zeros(len(x), bool)
+    for a in range(0, len(x), 8192):
+        u, v = x[a : a + 8192], y[a : a + 8192]
+        fits = 100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])
+        keep[a : a + 8192] = fits & (np.minimum(vecs[u], vecs[v]).sum(axis=1) >= least_overlap(n[u], n[v], percent))
+    out = [(x[keep], y[keep])]
+    for a, m in zip(cuts[~small].tolist(), size[~small].tolist(), strict=True):
+        own = np.arange(a, a + m)
+        same = p[a] == q[a]
+        left, right = (own, own) if same else (own[i[own] == p[a]], own[i[own] == q[a]])
+        if len(left) and len(right):
+            u, v = CountTree(vecs[right], n[right]).search(vecs[left], n[left], percent)
+            u, v = left[u], right[v]
+            keep = (comp[u] != comp[v]) & ((u < v) | (not same))
+            out.append((u[keep], v[keep]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components within a shard that the shard's tree cannot exclude.
 
     rows: key, cls, n, comp, vec, c (chunks of the shard).
     """
     cut = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))))
-    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "n", "comp", "vec")
+    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def run(batches):
+        held: pa.Table | None = None  # the last shard of a batch may go on in the next
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            c = [t[x].to_numpy() for x in ("key", "p", "q", "i", "cls", "comp", "n")]
+            vecs = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            x, y = _search_shards(*c, vecs, percent)
+            a, b = c[4][x], c[4][y]
+            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-    def search(t: pa.Table) -> pa.Table:
-        p, q = t["p"][0].as_py(), t["q"][0].as_py()
-        cls, comp, n, i = (t[c].to_numpy() for c in ("cls", "comp", "n", "i"))
-        vecs = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-        left, right = (np.arange(len(cls)),) * 2 if p == q else (np.flatnonzero(i == p), np.flatnonzero(i == q))
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        tree = CountTree(vecs[right], n[right])
-        x, y = tree.search(vecs[left], n[left], percent)
-        x, y = left[x], right[y]
-        keep = (comp[x] != comp[y]) & ((cls[x] < cls[y]) | (p != q))
-        a, b = cls[x[keep]], cls[y[keep]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            key, p, q = (t[x].to_numpy() for x in ("key", "p", "q"))
+            end = int(np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))[-1]) + 1 if (key[0], p[0], q[0]) != (key[-1], p[-1], q[-1]) else 0
+            if end:
+                yield found(t.slice(0, end))
+            held = t.slice(end)
+        if held is not None and held.num_rows:
+            yield found(held)
 
-    return cut.groupBy("key", "p", "q").applyInArrow(search, "a long, b long").distinct()
+    return cut.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, contractions: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
     base = common.written(signatures(docs, k, percent))
-    classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = common.written(classes.select(F.col("rep").alias("doc_id"), "cls"))
+    vecs = base.filter("vec is not null").groupBy("cls").agg(F.first("vec").alias("vec"))
     keys = base.filter("keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
-    # a shard's first and last class tell whether it has several; its rows then follow by the same distribution
-    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(p, "key")
-    several = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("key")
-    multi = common.written(dealt.join(several, "key").distinct())
-    reps = common.written(classes.join(multi.select("cls").distinct(), "cls").select(F.col("rep").alias("doc_id"), "cls"))
-    sets = common.written(_sets(docs, reps, k))
-    edges = None
-    label = multi.select("cls").distinct().select("cls", F.col("cls").alias("comp"))
-    open_ = multi.withColumn("comp", F.col("cls"))
+    dealt = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "cls"])
+    # shards of several classes; of shards with the same members one is enough
+    members = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("t"))
+    several = members.filter("lo < hi").groupBy("s", "t", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    multi = common.written(dealt.join(several, "key"))
+    edges, open_ = None, multi.withColumn("comp", F.col("cls")).withColumn("members", F.lit(0).cast("long"))
     for turn in range(contractions):
-        # another anchor for each shard at each turn; a class asks for the anchor of one shard that it is not yet linked with
-        seed = F.xxhash64("cls", F.lit(turn))
-        anchors = open_.groupBy("key").agg(F.min(F.struct(seed.alias("s"), F.col("cls").alias("anchor"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x"))
-        asked = open_.join(anchors.select("key", "x.anchor", "x.m", "x.other"), "key").filter("comp <> other and 100 * least(n, m) >= {} * greatest(n, m)".format(percent))
-        pairs = asked.groupBy("cls").agg(F.min(F.struct(F.xxhash64("anchor", F.lit(turn)).alias("s"), "anchor")).alias("x")).select(F.least("cls", "x.anchor").alias("a"), F.greatest("cls", "x.anchor").alias("b")).distinct()
-        found = common.written(_verified(pairs, sets, percent))
+        # other anchors at each turn; a class asks for the anchors of up to three of its shards that it is not yet linked with
+        best = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("s"), F.col("cls").alias("anchor"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x")
+        asked = open_.join(open_.groupBy("key").agg(best).select("key", "x.anchor", "x.m", "x.other"), "key")
+        asked = asked.filter(f"comp <> other and 100 * least(n, m) >= {percent} * greatest(n, m)")
+        three = asked.groupBy("cls").agg(*(F.min(F.struct(F.xxhash64("anchor", F.lit(3 * turn + r)).alias("s"), "anchor")).alias(f"x{r}") for r in range(3)))
+        pairs = three.select("cls", F.explode(F.array("x0.anchor", "x1.anchor", "x2.anchor")).alias("anchor")).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct()
+        found = common.written(_verified(docs, common.written(_bounded(pairs, vecs, percent)), reps, k, percent))
         edges = found if edges is None else edges.unionByName(found)
         comp = common.written(components(edges))
-        label = multi.select("cls").distinct().join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("comp"))
-        labelled = multi.join(common.written(label), "cls")
+        labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
         open_ = common.written(labelled.join(mixed, "key"))
-    rows = open_.join(sets.select("cls", "vec"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
-    pairs = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "c"), percent))
-    edges = edges.unionByName(_verified(pairs, sets, percent))
+    rows = open_.join(vecs, "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
+    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "c"), percent))
+    edges = edges.unionByName(_verified(docs, left, reps, k, percent))
     comp = components(edges)
-    named = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    named = common.written(named)
+    named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     where = common.written(named.join(least, "root").select("cls", "component_id"))
     linked = base.select("doc_id", "n", "cls").join(where, "cls", "left")

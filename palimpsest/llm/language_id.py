@@ -6,7 +6,8 @@ that was followed by T bytes of D distinct kinds costs -log2(c / (T + D)) bits t
 code length of a text is an exact sum. All languages' trees share one table: a row for each (context, symbol) seen in any
 language holds its full cost in each of them, a row for each context its escape; a byte takes the longest row that is seen.
 
-Learning takes at most FIT_ROWS documents of each language, those of the lowest hash of doc_id; this bound is a parameter. Texts
+Learning takes about FIT_ROWS documents of each language (all of a smaller one), those of the lowest hashes of doc_id; this
+bound is a parameter. Texts
 are lower-cased (A-Z). Prediction is the language of the least code length; its score is the posterior under equal priors, with
 lengths tempered by TEMPER bits a nat. Null texts and texts without a letter are `und` with score 0. Ties go to the smaller
 name. Without any labelled text all is `und`. Extra columns of the input are ignored; very long texts are scored in blocks.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,7 +25,7 @@ from . import common
 ORDER = 4
 FIT_ROWS = 1500
 TEMPER = 8.0
-_BLOCK = 1 << 18
+_BLOCK = 1 << 17
 
 
 def keys_of(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -164,17 +165,18 @@ def _grams(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
     """Trees of the languages of `labelled` (doc_id, text, lang). Counting runs on executors; the driver gets distinct grams."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labelled.select("doc_id", "lang").filter("lang is not null").withColumn("_r", rank).filter(F.col("_r") <= fit_rows)
-    # the sample is bounded by the languages' number times fit_rows ids
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    named = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    share = named.groupBy("lang").count().select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
+    # rows of the lowest hashes: of every language about fit_rows, found without gathering a language in one place
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    rows = named.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang")
 
     def count(batches):
         for batch in batches:
             names = batch.column(2).to_pylist()
             for x in sorted(set(names)):
                 own = batch.filter(pa.array([y == x for y in names]))
-                for part in common.slices(own):
+                for part in common.slices(own, step=_BLOCK):
                     data, offsets = common.buffers(part.column(1))
                     data = common.lower(data)
                     got = [_grams(data, offsets, k) for k in range(ORDER + 1)]
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
     def run(batches):
         t = spread.value
         for batch in batches:
-            for part in common.slices(batch, step=_BLOCK * 2):
+            for part in common.slices(batch, step=_BLOCK):
                 data, offsets = common.buffers(part.column(1))
                 lettered = np.array([any(c.isalpha() for c in x) for x in common.texts(part.column(1))], bool)
                 n = part.num_rows
