@@ -11,6 +11,7 @@ from .decontamination import decontaminate
 from .jaccard_join import near_duplicates
 from .language_id import language_id
 from .line_dedup import line_report
+from .lm_scoring import lm_score
 from .media_columns import document_media
 from .secret_scan import secret_scan
 from .sentencepiece_codec import encode
@@ -41,6 +42,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_jaccard_join,
         op5_media_columns,
         op6_secret_scan,
+        op7_lm_scoring,
         op9_decontamination,
         op10_line_dedup,
     )
