@@ -5,8 +5,8 @@ classes link when their sets have a Jaccard index of THRESHOLD or more. The fore
 that link share a shingle among the first n - ceil(t n) + 1 of each in any one order of all shingles, so a shard is a shingle and
 its members are the classes with it that far in front. The order puts shingles last that are frequent in a bounded sample; it
 decides how large shards get, never what links. In a shard the tokens of each set are hashed into GROUPS groups, their counts are
-a point, and an R-tree over the points bounds the overlap of a query with a node by the sum of coordinate minima; what survives
-the bound is verified on the whole sets.
+a point, and an R-tree over the points bounds the overlap of a query with a node by the sum of coordinate minima; pairs that
+survive are bounded once more with as many groups as their sizes ask for, and what is left is verified on the whole sets.
 
 Large groups of near copies are contracted first: every class is verified against one anchor of one of its shards, linked classes
 become components, and again with other anchors. After that only shards that still hold several components go to their trees,
@@ -64,6 +64,16 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
+def fine_vector(s: np.ndarray) -> bytes:
+    """Counts of as many groups as hold some four hashes each, a byte a group; the number of groups is a power of two."""
+    bits = max(5, int(len(s)).bit_length() - 2)
+    while True:
+        c = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if c.max(initial=0) < 256:
+            return c.astype(np.uint8).tobytes()
+        bits += 1
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The smallest intersection with which sets of n and m elements link: 100 x >= percent (n + m - x)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -127,7 +137,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards) and vec."""
+    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards), vec and fine."""
     last = docs.sparkSession.sparkContext.broadcast(_order(docs, k))
 
     def run(batches):
@@ -135,7 +145,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         seen: set[int] = set()
         for batch in batches:
             for part in common.slices(batch):
-                n, cls, keys, vecs = [], [], [], []
+                n, cls, keys, vecs, fine = [], [], [], [], []
                 for s in shingles(*common.buffers(part.column(1)), k):
                     c = xxhash.xxh3_64_intdigest(s.tobytes())
                     c -= c >> 63 << 64
@@ -144,8 +154,10 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                     if not len(s) or c in seen:
                         keys.append(None)
                         vecs.append(None)
+                        fine.append(None)
                         continue
                     vecs.append(count_vector(s).astype(np.uint32).tobytes())
+                    fine.append(fine_vector(s))
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     p = prefix_size(len(s), percent)
@@ -155,9 +167,9 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                         keys.append(np.concatenate((s[~common_ones], s[common_ones]))[:p].view(np.int64))
                     else:
                         keys.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary, fine binary")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -178,11 +190,18 @@ def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            v = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3)]
-            n, m = v[0].sum(axis=1), v[1].sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(*v).sum(axis=1) >= least_overlap(n, m, percent)))
-
-    x, y = vecs.select(F.col("cls").alias("a"), F.col("vec").alias("x")), vecs.select(F.col("cls").alias("b"), F.col("vec").alias("y"))
+            for part in common.slices(batch, "x"):
+                (x, xo), (y, yo) = common.buffers(part.column(2)), common.buffers(part.column(3))
+                g, h = np.diff(xo), np.diff(yo)
+                keep = np.zeros(len(g), bool)
+                for u, v in set(zip(g.tolist(), h.tolist(), strict=True)):  # groups of the finer vector fold into the other's
+                    at, k = np.flatnonzero((g == u) & (h == v)), min(u, v)
+                    a = x[common.ragged(xo[at], g[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int64)
+                    b = y[common.ragged(yo[at], h[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int64)
+                    keep[at] = np.minimum(a, b).sum(axis=1) >= least_overlap(a.sum(axis=1), b.sum(axis=1), percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    x, y = vecs.select(F.col("cls").alias("a"), F.col("fine").alias("x")), vecs.select(F.col("cls").alias("b"), F.col("fine").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -291,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
     base = common.written(signatures(docs, k, percent))
     classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     reps = common.written(classes.select(F.col("rep").alias("doc_id"), "cls"))
-    vecs = base.filter("vec is not null").groupBy("cls").agg(F.first("vec").alias("vec"))
+    vecs = base.filter("vec is not null").groupBy("cls").agg(F.first("vec").alias("vec"), F.first("fine").alias("fine"))
     keys = base.filter("keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
     dealt = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "cls"])
     # shards of several classes; of shards with the same members one is enough
@@ -312,9 +331,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
         open_ = common.written(labelled.join(mixed, "key"))
-    rows = open_.join(vecs, "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
+    rows = open_.join(vecs.select("cls", "vec"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
     left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "c"), percent))
-    edges = edges.unionByName(_verified(docs, left, reps, k, percent))
+    edges = edges.unionByName(_verified(docs, common.written(_bounded(left, vecs, percent)), reps, k, percent))
     comp = components(edges)
     named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

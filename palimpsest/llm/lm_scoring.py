@@ -25,7 +25,7 @@ from .sentencepiece_codec import CACHE_UNITS, MARK, SHORT, codec, model_path
 
 FIT_DOCS, BLOCK_BYTES = 1_500, 12 << 20
 STRIDE, DIM, BASE = 16, 16, 32
-STEPS, BATCH = 500, 64
+STEPS, BATCH = 1_000, 64
 _LOG10 = float(np.log(10))
 
 
@@ -143,14 +143,17 @@ class Model:
         """What scoring looks up per id."""
         w = self.w
         self.kv = np.concatenate([w["e"] @ w["q"] / np.float32(np.sqrt(DIM)), w["e"] @ w["k"], w["e"] @ w["v"] @ w["o"], w["e"] @ w["x"] + w["b"]], axis=1)
-        self.out = np.concatenate([w[f"w{i}"] for i in range(3)], axis=1)
+        bound = max(float(np.abs(w[f"w{i}"]).sum(axis=0).max() + w[f"b{i}"].max()) for i in range(3))
+        reach = float(np.linalg.norm(self.kv[:, :DIM], axis=1).max() * np.linalg.norm(self.kv[:, DIM : 2 * DIM], axis=1).max() + np.abs(w["r"]).max())
+        if max(bound, reach) > 80:  # exp of a float32 holds up to 88
+            raise OverflowError("trained weights are too large to score without rescaling")
         back = np.arange(STRIDE, 2 * STRIDE)[:, None] - np.arange(2 * STRIDE)
         self.rel = np.where(back >= 0, w["r"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
         first = self.rel.copy()
         first[:, :STRIDE] = -1e9
         self.rel_first = first
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 512) -> np.ndarray:
+    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """log10 probability of each document, its end included; ids stand document by document."""
         n = np.diff(offsets) + 1  # predictions: every id and the end
         strides = -(-n // STRIDE)
@@ -163,7 +166,7 @@ class Model:
         inp[at[:-1]] = self.start
         inp[place + 1] = ids  # a document has one more input than ids, so this stays within it
         first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-        got = np.zeros(len(doc))
+        got, ones = np.zeros(len(doc)), np.ones(max(BASE, 2 * STRIDE), np.float32)
         inp, out = inp.reshape(-1, STRIDE), out.reshape(-1, STRIDE)
         for lo in range(0, len(doc), block):
             hi = min(lo + block, len(doc))
@@ -174,22 +177,23 @@ class Model:
             keys, vals = np.concatenate((k[:-1], k[1:]), axis=1), np.concatenate((v[:-1], v[1:]), axis=1)
             s = q[1:] @ keys.transpose(0, 2, 1)
             s += np.where(first[lo:hi, None, None], self.rel_first, self.rel)
-            np.exp(s - s.max(axis=2, keepdims=True), out=s)
+            np.exp(s, out=s)  # scores and logits stay small after training, freeze() sees to it
             c = s @ vals
-            c /= s.sum(axis=2, keepdims=True)
+            c /= (s.reshape(-1, 2 * STRIDE) @ ones[: 2 * STRIDE]).reshape(*s.shape[:2], 1)
             c += u[1:]
             h = np.tanh(c).reshape(-1, DIM)
             target = out[lo:hi].ravel()
             real = np.flatnonzero(target >= 0)
             d = self.digits[target[real]]
-            z = (h[real] @ self.out).reshape(-1, 3, BASE)
+            if len(real) < len(h):
+                h = h[real]
+            logp = np.zeros(len(real), np.float32)
             for i, row in enumerate(self.context(d)):
-                z[:, i] += self.w[f"b{i}"][row]
-            hit = np.take_along_axis(z, d[:, :, None], axis=2)[:, :, 0]
-            top = z.max(axis=2)
-            z -= top[:, :, None]
-            np.exp(z, out=z)
-            logp = (hit - top - np.log(z.sum(axis=2))).sum(axis=1, dtype=np.float64)
+                z = h @ self.w[f"w{i}"]
+                z += self.w[f"b{i}"][row]
+                logp += z[np.arange(len(z)), d[:, i]]
+                np.exp(z, out=z)
+                logp -= np.log(z @ ones[:BASE])
             got[lo:hi] = np.bincount(real // STRIDE, logp, hi - lo)
         return np.bincount(doc, got, len(n)) / _LOG10
 

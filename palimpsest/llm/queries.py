@@ -15,6 +15,7 @@ from .lm_scoring import lm_score
 from .media_columns import document_media
 from .secret_scan import secret_scan
 from .sentencepiece_codec import encode
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -46,6 +47,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_media_columns,
         op6_secret_scan,
         op7_lm_scoring,
+        op8_suffix_dedup,
         op9_decontamination,
         op10_line_dedup,
     )
