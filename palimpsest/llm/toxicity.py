@@ -231,6 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     return s
 
 
+def _probabilities(s: Scorer, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    z, bits = [], []
+    for text in texts:
+        words = set(_WORD.findall(text.lower()))
+        found = features(words)
+        bits.append(votes(text, words, found, s.induced))
+        z.append(s.bias + float(s.weights[found].sum()))
+    z = np.array(z, np.float64) + as_matrix(np.array(bits, np.int64)) @ s.vote_weights
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), bits
+
+
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score, predicted and the votes (bits) of every document."""
     spread = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -239,18 +250,27 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
         s = spread.value
         for batch in batches:
             for part in common.slices(batch):
-                z, bits = [], []
-                for text in common.texts(part.column(1)):
-                    words = set(_WORD.findall(text.lower()))
-                    found = features(words)
-                    bits.append(votes(text, words, found, s.induced))
-                    z.append(s.bias + float(s.weights[found].sum()))
-                p = 1 / (1 + np.exp(-np.clip(np.array(z) + as_matrix(np.array(bits, np.int64)) @ s.vote_weights, -30, 30)))
+                p, bits = _probabilities(s, common.texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(bits, pa.int32())], names=["doc_id", "score", "predicted", "votes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, votes int")
 
 
+def accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """The rows of docs, all columns in place, whose text is not predicted toxic. Filters within the scan, without a join."""
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+    spread = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        s = spread.value
+        for batch in batches:
+            for part in common.slices(batch):
+                yield part.filter(pa.array(_probabilities(s, common.texts(part.column(at)))[0] < 0.5))
+
+    return docs.select(*names).mapInArrow(run, schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Learns outside the held-out fold and scores all: doc_id, held_out, score, predicted, votes."""
     held = common.bucket_of(F.col("doc_id"), 5) == 0
