@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .sentencepiece_codec import CACHE_UNITS, MARK, SHORT, codec, model_path
 
-FIT_DOCS, BLOCK_BYTES = 1_500, 12 << 20
+FIT_DOCS, BLOCK_BYTES = 1_500, 6 << 20
 STRIDE, DIM, BASE = 16, 16, 32
 STEPS, BATCH = 1_000, 64
 _LOG10 = float(np.log(10))
@@ -32,7 +32,7 @@ _LOG10 = float(np.log(10))
 def word_ids(words: list[str], path: str) -> list[list[int]]:
     """Subword ids of words, each after a word mark, through the codec's cache."""
     c = codec(path)
-    if len(c.cache) >= CACHE_UNITS // 2:
+    if len(c.cache) >= CACHE_UNITS // 5:
         c.cache.clear()
     units = [MARK + w for w in words]
     new = sorted({u for u in units if u not in c.cache}, key=len)
