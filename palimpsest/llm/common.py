@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch at most; texts of some kilobytes then take a few megabytes on either side.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder. Also bounds Arrow batches of the session, where they are at Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

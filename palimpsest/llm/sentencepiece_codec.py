@@ -12,6 +12,7 @@ depend on each other: one scan, no shuffle. Extra columns of the input are ignor
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
 import heapq
@@ -26,7 +27,9 @@ from . import common
 
 MARK = "▁"
 #: Units kept by a worker; when full, the cache starts anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
+#: A worker keeps a cache of at most so many units from one task to the next.
+KEPT_UNITS = 250_000
 #: Units up to so many symbols are merged many at a time; longer ones by a heap each.
 SHORT = 32
 _NONE = 1 << 30
@@ -171,6 +174,17 @@ class Codec:
         whole = MARK + text.replace(" ", MARK)
         return self.split(whole)
 
+    @contextlib.contextmanager
+    def working(self):
+        """Around a task: no collections while the cache grows (its many small lists hold no cycles); a large cache goes after."""
+        gc.disable()
+        try:
+            yield
+        finally:
+            if len(self.cache) > KEPT_UNITS:
+                self.cache.clear()
+            gc.enable()
+
     def checked(self, units: list[str], ids: list[list[int]]) -> list[list[int]]:
         """The ids as the library has them: it encodes all units of the batch at once, held apart by a symbol that never merges."""
         theirs = self.lib.encode("".join([SEP + u for u in units]), num_threads=1)
@@ -227,26 +241,26 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
 
     def run(batches):
         c = codec(path)
-        gc.disable()  # the cache's many small lists hold no cycles, and walking them again and again is a third of the time
-        for batch in batches:
-            for part in common.slices(batch):
-                texts = common.texts(part.column(1))
-                n, ids_sha, out_sha, fixed, all_ids, decoded = [], [], [], [], [], []
-                for k, (text, (ids, said)) in enumerate(zip(texts, c.encode(texts), strict=True)):
-                    fixed.append(sum(u in c.fixed for u in c.units(text)) if c.fixed else 0)
-                    if k == 0 and ids != c.lib.encode(text):
-                        raise ValueError("a text's ids differ from the library's")
-                    back = c.lib.decode(ids)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
-                    out_sha.append(hashlib.sha256(back.encode()).hexdigest())
+        with c.working():
+            for batch in batches:
+                for part in common.slices(batch):
+                    texts = common.texts(part.column(1))
+                    n, ids_sha, out_sha, fixed, all_ids, decoded = [], [], [], [], [], []
+                    for k, (text, (ids, said)) in enumerate(zip(texts, c.encode(texts), strict=True)):
+                        fixed.append(sum(u in c.fixed for u in c.units(text)) if c.fixed else 0)
+                        if k == 0 and ids != c.lib.encode(text):
+                            raise ValueError("a text's ids differ from the library's")
+                        back = c.lib.decode(ids)
+                        n.append(len(ids))
+                        ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
+                        out_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                        if keep_ids:
+                            all_ids.append(ids)
+                            decoded.append(back)
+                    cols = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha), pa.array(fixed, pa.int64())]
                     if keep_ids:
-                        all_ids.append(ids)
-                        decoded.append(back)
-                cols = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha), pa.array(fixed, pa.int64())]
-                if keep_ids:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+                        cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
