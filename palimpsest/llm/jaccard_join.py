@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles as 64-bit hashes. Documents with equal sets are one class from the start. Two
 classes link when their sets have a Jaccard index of THRESHOLD or more. The forest of R-trees is sharded without loss: two sets
 that link share a shingle among the first n - ceil(t n) + 1 of each in any one order of all shingles, so a shard is a shingle and
-its members are the classes with it that far in front. The order puts shingles last that are frequent in a bounded sample; it
+its members are the classes with it that far in front. The order puts shingles last that are frequent in a sample; it
 decides how large shards get, never what links. In a shard the tokens of each set are hashed into GROUPS groups, their counts are
 a point, and an R-tree over the points bounds the overlap of a query with a node by the sum of coordinate minima; pairs that
 survive are bounded once more with as many groups as their sizes ask for, and what is left is verified on the whole sets.
@@ -29,11 +29,11 @@ from . import common
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-GROUPS, LEAF, CHUNK = 64, 16, 2048
-#: Documents sampled for the order of shingles, and sample count from which a shingle is frequent.
-ORDER_DOCS, FREQUENT = 20_000, 8
+GROUPS, LEAF, CHUNK = 32, 16, 512
+#: One in so many documents is sampled for the order of shingles; sample count from which a shingle is frequent.
+ORDER_SHARE, FREQUENT = 8, 4
 #: Frequent shingles listed at most, and ids broadcast at most; both bound a broadcast and neither changes a result.
-ORDER_LIST, BROADCAST_IDS = 200_000, 2_000_000
+ORDER_LIST, BROADCAST_IDS = 4_000_000, 2_000_000
 _MUL = np.random.default_rng(11).integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -60,10 +60,6 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-
-
 def fine_vector(s: np.ndarray) -> bytes:
     """Counts of as many groups as hold some four hashes each, a byte a group; the number of groups is a power of two."""
     bits = max(5, int(len(s)).bit_length() - 2)
@@ -120,9 +116,8 @@ class CountTree:
 
 
 def _order(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of the shingles frequent in a bounded sample; they come last in the order."""
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // ORDER_DOCS))) == 0)
+    """Sorted hashes of the shingles frequent in a sample; they come last in the order."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
 
     def run(batches):
         for batch in batches:
@@ -132,12 +127,14 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     counted = some.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
-    got = counted.orderBy(F.desc("c"), "h").limit(ORDER_LIST).select("h").toArrow()["h"].to_numpy()
+    counted = common.written(counted)
+    few = counted.count() <= ORDER_LIST
+    got = (counted if few else counted.orderBy(F.desc("c"), "h").limit(ORDER_LIST)).select("h").toArrow()["h"].to_numpy()
     return np.sort(got.view(np.uint64))
 
 
 def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards), vec and fine."""
+    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards) and fine."""
     last = docs.sparkSession.sparkContext.broadcast(_order(docs, k))
 
     def run(batches):
@@ -145,7 +142,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         seen: set[int] = set()
         for batch in batches:
             for part in common.slices(batch):
-                n, cls, keys, vecs, fine = [], [], [], [], []
+                n, cls, keys, fine = [], [], [], []
                 for s in shingles(*common.buffers(part.column(1)), k):
                     c = xxhash.xxh3_64_intdigest(s.tobytes())
                     c -= c >> 63 << 64
@@ -153,10 +150,8 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                     cls.append(c)
                     if not len(s) or c in seen:
                         keys.append(None)
-                        vecs.append(None)
                         fine.append(None)
                         continue
-                    vecs.append(count_vector(s).astype(np.uint32).tobytes())
                     fine.append(fine_vector(s))
                     if len(seen) < 1_000_000:
                         seen.add(c)
@@ -167,9 +162,9 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                         keys.append(np.concatenate((s[~common_ones], s[common_ones]))[:p].view(np.int64))
                     else:
                         keys.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, fine binary")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -185,20 +180,28 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(run, "cls long, items binary")
 
 
+def _fine_bound(x, xo, y, yo, i, j, percent: int, step: int = 2048) -> np.ndarray:
+    """Whether the fine vectors i of (x, xo) and j of (y, yo) leave a pair possible; the finer of two folds into the other's groups."""
+    g, h = np.diff(xo)[i], np.diff(yo)[j]
+    keep = np.zeros(len(i), bool)
+    for code in np.unique(g << 32 | h):
+        u, v = int(code) >> 32, int(code) & 0xFFFFFFFF
+        all_at, k = np.flatnonzero((g == u) & (h == v)), min(u, v)
+        for lo in range(0, len(all_at), max(1, step * 64 // k)):
+            at = all_at[lo : lo + max(1, step * 64 // k)]
+            a = x[common.ragged(xo[i[at]], g[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int32)
+            b = y[common.ragged(yo[j[at]], h[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int32)
+            keep[at] = np.minimum(a, b).sum(axis=1) >= least_overlap(a.sum(axis=1), b.sum(axis=1), percent)
+    return keep
+
+
 def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that the count vectors do not exclude."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "x"):
-                (x, xo), (y, yo) = common.buffers(part.column(2)), common.buffers(part.column(3))
-                g, h = np.diff(xo), np.diff(yo)
-                keep = np.zeros(len(g), bool)
-                for u, v in set(zip(g.tolist(), h.tolist(), strict=True)):  # groups of the finer vector fold into the other's
-                    at, k = np.flatnonzero((g == u) & (h == v)), min(u, v)
-                    a = x[common.ragged(xo[at], g[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int64)
-                    b = y[common.ragged(yo[at], h[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int64)
-                    keep[at] = np.minimum(a, b).sum(axis=1) >= least_overlap(a.sum(axis=1), b.sum(axis=1), percent)
+                keep = _fine_bound(*common.buffers(part.column(2)), *common.buffers(part.column(3)), *(np.arange(part.num_rows),) * 2, percent)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     x, y = vecs.select(F.col("cls").alias("a"), F.col("fine").alias("x")), vecs.select(F.col("cls").alias("b"), F.col("fine").alias("y"))
@@ -269,12 +272,12 @@ def _search_shards(key, p, q, i, cls, comp, n, vecs, percent) -> tuple[np.ndarra
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components within a shard that the shard's tree cannot exclude.
+    """Distinct pairs (a, b), a < b, of different components within a shard that neither the shard's tree nor the fine bound excludes.
 
-    rows: key, cls, n, comp, vec, c (chunks of the shard).
+    rows: key, cls, n, comp, fine, c (chunks of the shard).
     """
     cut = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))))
-    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec")
+    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "fine")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
@@ -283,8 +286,15 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
 
         def found(t: pa.Table) -> pa.RecordBatch:
             c = [t[x].to_numpy() for x in ("key", "p", "q", "i", "cls", "comp", "n")]
-            vecs = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            fine, at = common.buffers(t["fine"])
+            width = np.diff(at)
+            vecs = np.zeros((len(width), GROUPS), np.int64)
+            for w in np.unique(width):  # the tree's points are the fine vectors folded
+                own = np.flatnonzero(width == w)
+                vecs[own] = fine[common.ragged(at[own], width[own])].reshape(len(own), GROUPS, -1).sum(axis=2, dtype=np.int64)
             x, y = _search_shards(*c, vecs, percent)
+            keep = _fine_bound(fine, at, fine, at, x, y, percent)
+            x, y = x[keep], y[keep]
             a, b = c[4][x], c[4][y]
             ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
@@ -310,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
     base = common.written(signatures(docs, k, percent))
     classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     reps = common.written(classes.select(F.col("rep").alias("doc_id"), "cls"))
-    vecs = base.filter("vec is not null").groupBy("cls").agg(F.first("vec").alias("vec"), F.first("fine").alias("fine"))
+    vecs = base.filter("fine is not null").groupBy("cls").agg(F.first("fine").alias("fine"))
     keys = base.filter("keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
     dealt = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "cls"])
     # shards of several classes; of shards with the same members one is enough
@@ -331,9 +341,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
         open_ = common.written(labelled.join(mixed, "key"))
-    rows = open_.join(vecs.select("cls", "vec"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
-    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "c"), percent))
-    edges = edges.unionByName(_verified(docs, common.written(_bounded(left, vecs, percent)), reps, k, percent))
+    rows = open_.join(vecs, "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
+    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "fine", "c"), percent))
+    edges = edges.unionByName(_verified(docs, left, reps, k, percent))
     comp = components(edges)
     named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
