@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("search", "ingest")
+_MODULES = ("search", "ingest", "topics", "upkeep")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in _MODULES:

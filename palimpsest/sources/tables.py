@@ -10,23 +10,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_VECTOR = T.ArrayType(T.FloatType())
-
-
-def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
-SCHEMAS: dict[str, T.StructType] = {
-    "processing_queue": _schema("id bigint, user_id string, ts timestamp_ntz, raw_prompt string, status string, retry_count int, embedding array<array<float>>"),
-    "topics": _schema("topic_id bigint, user_id string, name string, level int, summary string, description string, ts timestamp_ntz, parent_id bigint, embedding array<float>"),
-    "messages": _schema("id bigint, user_id string, ts timestamp_ntz, raw_msg string"),
-    "memories": _schema("id bigint, user_id string, memory_type string, content string, ts timestamp_ntz, embedding array<float>, topic_id bigint, message_id bigint, status string, context string, last_validated_at timestamp_ntz"),
-    "leaf_summary_items": _schema("topic_id bigint, kind string, minute string, mem_id bigint, text string"),
-    "leaf_state": _schema("topic_id bigint, desc_dirty boolean, desc_update_count int"),
-    "source_map": _schema("parent_id bigint, child_id bigint, text string, state string"),
+SCHEMAS: dict[str, str] = {
+    "processing_queue": "id bigint, user_id string, ts timestamp_ntz, raw_prompt string, status string, retry_count int, embedding array<array<float>>",
+    "topics": "topic_id bigint, user_id string, name string, level int, summary string, description string, ts timestamp_ntz, parent_id bigint, embedding array<float>",
+    "messages": "id bigint, user_id string, ts timestamp_ntz, raw_msg string",
+    "memories": "id bigint, user_id string, memory_type string, content string, ts timestamp_ntz, embedding array<float>, topic_id bigint, message_id bigint, status string, context string, last_validated_at timestamp_ntz",
+    "leaf_summary_items": "topic_id bigint, kind string, minute string, mem_id bigint, text string",
+    "leaf_state": "topic_id bigint, desc_dirty boolean, desc_update_count int",
+    "source_map": "parent_id bigint, child_id bigint, text string, state string",
 }
 
 
@@ -68,7 +60,8 @@ class Warehouse:
     def write(self, name: str, df: DataFrame) -> None:
         """A new version; the one before the last is removed."""
         versions = self._versions(name)
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+        fields = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         df.select(*cols).write.parquet(f"{self.path}/{name}/v{(versions or [0])[-1] + 1}")
         for v in versions[:-1]:
             fs, p = self._fs(f"{self.path}/{name}/v{v}")
