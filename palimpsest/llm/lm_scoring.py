@@ -15,6 +15,8 @@ Null and empty texts are one end token. Repeated rows are scored each. Extra col
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,17 +34,18 @@ _LOG10 = float(np.log(10))
 def word_ids(words: list[str], path: str) -> list[list[int]]:
     """Subword ids of words, each after a word mark, through the codec's cache."""
     c = codec(path)
-    if len(c.cache) >= CACHE_UNITS // 5:
+    if len(c.cache) >= CACHE_UNITS // 2:
         c.cache.clear()
     units = [MARK + w for w in words]
-    new = sorted({u for u in units if u not in c.cache}, key=len)
+    new = sorted(set(units).difference(c.cache), key=len)
     many = sum(len(u) <= SHORT for u in new)
     for i in range(0, many, 4096):
         some = new[i : min(i + 4096, many)]
         for u, x in zip(some, c.merged_many(some), strict=True):
             c.cache[u] = (x, "")
     long = {u: c.merged(u) for u in new[many:]}
-    return [long[u] if u in long else c.cache[u][0] for u in units]
+    get = c.cache.get
+    return [long[u] if x is None else x[0] for u, x in zip(units, map(get, units), strict=True)]
 
 
 class Model:
@@ -270,7 +273,9 @@ def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
         steps = list(_hashed(t["text"]))
         h = np.concatenate([x[3] for x in steps]) if steps else np.zeros(0, np.uint64)
         lens = np.concatenate([np.diff(x[4]) for x in steps]) if steps else np.zeros(0, np.int64)
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        u, inv = np.unique(h, return_inverse=True)
+        first = np.empty(len(u), np.int64)
+        first[inv[::-1]] = np.arange(len(inv))[::-1]  # of several places the first is written last
         c = np.bincount(inv, np.repeat(train, lens), len(u))
         kw = known["word"].to_numpy().view(np.uint64)
         if len(kw) and len(u):
@@ -289,8 +294,8 @@ def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
             names += [raw[i:j].decode() for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)]
             done += len(a)
         ids = word_ids(names, path)
-        n_ids = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((y for x in ids for y in x), np.int32, int(n_ids.sum()))
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n_ids.sum()))
         starts = np.cumsum(n_ids) - n_ids
         number = np.empty(len(u), np.int64)
         number[np.argsort(first, kind="stable")] = np.arange(len(u))
