@@ -20,11 +20,12 @@ def unique_turns(turns: DataFrame, delay: str = "1 day") -> DataFrame:
     return turns.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["conv_id", "turn"])
 
 
-def session_jobs(turns: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    """A job for each conversation and session: its turns in order as one prompt."""
+def session_jobs(turns: DataFrame, gap: str = "30 minutes", delay: str | None = None) -> DataFrame:
+    """A job for each conversation and session: its turns in order as one prompt. delay: the watermark, where turns have none."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.trim("text"))
     parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    s = turns.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("raw_prompt"), F.count("*").alias("turns"))
+    marked = turns if delay is None else turns.withWatermark("ts", delay)
+    s = marked.groupBy(F.session_window("ts", gap).alias("w"), "conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("raw_prompt"), F.count("*").alias("turns"))
     return s.select("conv_id", F.col("w.start").alias("started"), "turns", "raw_prompt")
 
 
