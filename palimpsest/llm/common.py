@@ -55,6 +55,14 @@ def partitions(spark: SparkSession, n_bytes: int, per_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_bytes))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name` with as many underscores in front as it takes to differ from all columns, in any case of letters."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", step: int = STEP_BYTES):
     """Cuts a batch into runs of whole rows holding about `step` bytes of text each."""
     offsets = buffers(batch.column(batch.schema.get_field_index(text)))[1]

@@ -6,7 +6,7 @@ that link share a shingle among the first n - ceil(t n) + 1 of each in any one o
 its members are the classes with it that far in front. The order puts shingles last that are frequent in a sample; it
 decides how large shards get, never what links. In a shard the tokens of each set are hashed into GROUPS groups, their counts are
 a point, and an R-tree over the points bounds the overlap of a query with a node by the sum of coordinate minima; pairs that
-survive are bounded once more with as many groups as their sizes ask for, and what is left is verified on the whole sets.
+survive are bounded once more by the parities of the counts of far smaller groups, and what is left is verified on whole sets.
 
 Large groups of near copies are contracted first: every class is verified against one anchor of one of its shards, linked classes
 become components, and again with other anchors. After that only shards that still hold several components go to their trees,
@@ -60,14 +60,15 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
+
+
 def fine_vector(s: np.ndarray) -> bytes:
-    """Counts of as many groups as hold some four hashes each, a byte a group; the number of groups is a power of two."""
-    bits = max(5, int(len(s)).bit_length() - 2)
-    while True:
-        c = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if c.max(initial=0) < 256:
-            return c.astype(np.uint8).tobytes()
-        bits += 1
+    """The counts modulo two of many small groups, four or more a hash: a bit a group, a power of two of them."""
+    bits = max(8, int(len(s)).bit_length() + 2)
+    c = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((c & 1).astype(bool)).tobytes()
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -134,7 +135,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards) and fine."""
+    """doc_id, n (size of the set), cls (hash of the set); at the first document of a class in each task keys (its shards), vec and fine."""
     last = docs.sparkSession.sparkContext.broadcast(_order(docs, k))
 
     def run(batches):
@@ -142,7 +143,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         seen: set[int] = set()
         for batch in batches:
             for part in common.slices(batch):
-                n, cls, keys, fine = [], [], [], []
+                n, cls, keys, vecs, fine = [], [], [], [], []
                 for s in shingles(*common.buffers(part.column(1)), k):
                     c = xxhash.xxh3_64_intdigest(s.tobytes())
                     c -= c >> 63 << 64
@@ -150,8 +151,10 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                     cls.append(c)
                     if not len(s) or c in seen:
                         keys.append(None)
+                        vecs.append(None)
                         fine.append(None)
                         continue
+                    vecs.append(count_vector(s).astype(np.uint32).tobytes())
                     fine.append(fine_vector(s))
                     if len(seen) < 1_000_000:
                         seen.add(c)
@@ -162,9 +165,9 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                         keys.append(np.concatenate((s[~common_ones], s[common_ones]))[:p].view(np.int64))
                     else:
                         keys.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary, fine binary")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -180,32 +183,42 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(run, "cls long, items binary")
 
 
-def _fine_bound(x, xo, y, yo, i, j, percent: int, step: int = 2048) -> np.ndarray:
-    """Whether the fine vectors i of (x, xo) and j of (y, yo) leave a pair possible; the finer of two folds into the other's groups."""
+def _fine_bound(x, xo, n, y, yo, m, i, j, percent: int, step: int = 1 << 21) -> np.ndarray:
+    """Whether the fine vectors i of (x, xo) and j of (y, yo) leave a pair possible; n, m are the sizes of the sets.
+
+    Sets differ in at least as many elements as groups whose counts differ in parity. A finer vector folds into the other's
+    groups, which are its own modulo their number.
+    """
     g, h = np.diff(xo)[i], np.diff(yo)[j]
+    n, m = n[i], m[j]
+    most = n + m - 2 * least_overlap(n, m, percent)
     keep = np.zeros(len(i), bool)
     for code in np.unique(g << 32 | h):
         u, v = int(code) >> 32, int(code) & 0xFFFFFFFF
         all_at, k = np.flatnonzero((g == u) & (h == v)), min(u, v)
-        for lo in range(0, len(all_at), max(1, step * 64 // k)):
-            at = all_at[lo : lo + max(1, step * 64 // k)]
-            a = x[common.ragged(xo[i[at]], g[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int32)
-            b = y[common.ragged(yo[j[at]], h[at])].reshape(len(at), k, -1).sum(axis=2, dtype=np.int32)
-            keep[at] = np.minimum(a, b).sum(axis=1) >= least_overlap(a.sum(axis=1), b.sum(axis=1), percent)
+        rows = max(1, step // max(u, v))
+        for lo in range(0, len(all_at), rows):
+            at = all_at[lo : lo + rows]
+            a = np.bitwise_xor.reduce(x[common.ragged(xo[i[at]], g[at])].reshape(len(at), -1, k), axis=1)
+            b = np.bitwise_xor.reduce(y[common.ragged(yo[j[at]], h[at])].reshape(len(at), -1, k), axis=1)
+            keep[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most[at]
     return keep
 
 
 def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that the count vectors do not exclude."""
+    """Those of the pairs (a, b) that the fine vectors do not exclude."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "x"):
-                keep = _fine_bound(*common.buffers(part.column(2)), *common.buffers(part.column(3)), *(np.arange(part.num_rows),) * 2, percent)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+                n, m = part.column(4).to_numpy(), part.column(5).to_numpy()
+                (x, xo), (y, yo) = common.buffers(part.column(2)), common.buffers(part.column(3))
+                own = np.arange(part.num_rows)
+                yield part.select(["a", "b"]).filter(pa.array(_fine_bound(x, xo, n, y, yo, m, own, own, percent)))
 
-    x, y = vecs.select(F.col("cls").alias("a"), F.col("fine").alias("x")), vecs.select(F.col("cls").alias("b"), F.col("fine").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x = vecs.select(F.col("cls").alias("a"), F.col("fine").alias("x"), F.col("n"))
+    y = vecs.select(F.col("cls").alias("b"), F.col("fine").alias("y"), F.col("n").alias("m"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -274,10 +287,10 @@ def _search_shards(key, p, q, i, cls, comp, n, vecs, percent) -> tuple[np.ndarra
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components within a shard that neither the shard's tree nor the fine bound excludes.
 
-    rows: key, cls, n, comp, fine, c (chunks of the shard).
+    rows: key, cls, n, comp, vec, fine, c (chunks of the shard).
     """
     cut = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))))
-    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "fine")
+    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec", "fine")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
@@ -286,14 +299,10 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
 
         def found(t: pa.Table) -> pa.RecordBatch:
             c = [t[x].to_numpy() for x in ("key", "p", "q", "i", "cls", "comp", "n")]
-            fine, at = common.buffers(t["fine"])
-            width = np.diff(at)
-            vecs = np.zeros((len(width), GROUPS), np.int64)
-            for w in np.unique(width):  # the tree's points are the fine vectors folded
-                own = np.flatnonzero(width == w)
-                vecs[own] = fine[common.ragged(at[own], width[own])].reshape(len(own), GROUPS, -1).sum(axis=2, dtype=np.int64)
+            vecs = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
             x, y = _search_shards(*c, vecs, percent)
-            keep = _fine_bound(fine, at, fine, at, x, y, percent)
+            fine, at = common.buffers(t["fine"])
+            keep = _fine_bound(fine, at, c[6], fine, at, c[6], x, y, percent)
             x, y = x[keep], y[keep]
             a, b = c[4][x], c[4][y]
             ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -320,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
     base = common.written(signatures(docs, k, percent))
     classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     reps = common.written(classes.select(F.col("rep").alias("doc_id"), "cls"))
-    vecs = base.filter("fine is not null").groupBy("cls").agg(F.first("fine").alias("fine"))
+    vecs = base.filter("fine is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"))
     keys = base.filter("keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
     dealt = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "cls"])
     # shards of several classes; of shards with the same members one is enough
@@ -341,8 +350,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
         open_ = common.written(labelled.join(mixed, "key"))
-    rows = open_.join(vecs, "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
-    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "fine", "c"), percent))
+    rows = open_.join(vecs.drop("n"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
+    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "fine", "c"), percent))
     edges = edges.unionByName(_verified(docs, left, reps, k, percent))
     comp = components(edges)
     named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))

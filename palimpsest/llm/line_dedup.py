@@ -223,8 +223,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(new, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    lost = drops(docs)
-    joined = docs.join(lost.withColumnRenamed("doc_id", "_lost_doc"), docs["doc_id"] == F.col("_lost_doc"), "left").select(*(docs[c] for c in names), "_k1s", "_k2s")
+    own = [common.free_name(names, x) for x in ("doc", "k1s", "k2s")]
+    lost = drops(docs).toDF(*own)
+    joined = docs.join(lost, docs["doc_id"] == lost[own[0]], "left").select(*(docs[c] for c in names), *own[1:])
     return joined.mapInArrow(run, schema)
 
 
