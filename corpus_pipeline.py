@@ -17,9 +17,10 @@ BROADCAST_IDS = 2_000_000
 
 def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs less the documents of `lost` (doc_id)."""
-    lost = common.written(lost.select(F.col("doc_id").alias("_lost")).distinct())
+    name = common.free_name(docs.columns, "lost")
+    lost = common.written(lost.select(F.col("doc_id").alias(name)).distinct())
     few = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if few else lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    return docs.join(F.broadcast(lost) if few else lost, docs["doc_id"] == lost[name], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
