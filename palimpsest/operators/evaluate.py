@@ -70,3 +70,38 @@ def overall(judged: DataFrame, systems: tuple[str, str] = ("ours", "theirs")) ->
     a, b = systems
     d = judged.agg(F.count("*").alias("n"), F.round(F.avg(a), 6).alias(f"avg_{a}"), F.round(F.avg(b), 6).alias(f"avg_{b}"), F.round(100.0 * F.count_if(F.col("winner") == a) / F.count("*"), 6).alias(f"win_pct_{a}"), F.round(100.0 * F.count_if(F.col("winner") == "tie") / F.count("*"), 6).alias("tie_pct"))
     return d.withColumn("best", F.when(F.col(f"avg_{a}") > F.col(f"avg_{b}"), a).when(F.col(f"avg_{a}") < F.col(f"avg_{b}"), b).otherwise("tie"))
+
+
+def answered(questions: DataFrame, answer, columns: str = "question_id bigint, answer string, latency double") -> DataFrame:
+    """Answers of an injected model: answer(question_text) -> text, timed, a batch of questions a task."""
+    import time
+
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for q in b["question_text"]:
+                t = time.time()
+                out.append((answer(q), time.time() - t))
+            yield pd.DataFrame({"question_id": b["question_id"], "answer": [a for a, _ in out], "latency": [s for _, s in out]})
+
+    return questions.select("question_id", "question_text").mapInPandas(run, columns)
+
+
+def judged(answers: DataFrame, expected: DataFrame, judge) -> DataFrame:
+    """(question_id, verdict) of an injected judge: judge(answer, expected_text) -> raw text, parsed; failures become errors."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            raw = []
+            for a, e in zip(b["answer"], b["expected"], strict=True):
+                try:
+                    raw.append(judge(a, e))
+                except Exception as x:
+                    raw.append(f"error: {x}")
+            yield pd.DataFrame({"question_id": b["question_id"], "raw": raw})
+
+    both = answers.join(expected, "question_id").select("question_id", "answer", "expected")
+    return both.mapInPandas(run, "question_id bigint, raw string").select("question_id", parse_verdict(F.col("raw")).alias("verdict"))

@@ -88,3 +88,9 @@ def roll_up(topics: DataFrame, own: DataFrame, value: str = "value") -> DataFram
     total = c.groupBy(F.col("ancestor").alias("topic_id")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
     lv = paths(topics).select("topic_id", "level")
     return total.join(lv, "topic_id").crossJoin(F.broadcast(lv.agg(F.max("level").alias("_deep")))).select("topic_id", "level", "total", tier(F.col("level"), F.col("_deep")).alias("tier"))
+
+
+def search_text(items: DataFrame) -> DataFrame:
+    """(topic_id, text): a leaf's item texts in order of memory, without their tags."""
+    bare = F.regexp_replace("text", r"^\[[^\]]*\]\s*", "")
+    return items.withColumn("_b", bare).groupBy("topic_id").agg(F.expr("listagg(_b, ' ') within group (order by mem_id)").alias("text"))
