@@ -36,6 +36,11 @@ MASKS = (
 )
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -65,13 +70,13 @@ def normalize_name(name: Column) -> Column:
 
 
 def strip_timestamps(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, TIMESTAMP, ""))
+    return strip(F.regexp_replace(text, TIMESTAMP, ""))
 
 
 def clean_prompt(text: Column) -> Column:
     for pattern, new in CLEANUP:
         text = F.regexp_replace(text, pattern, new.replace("\\", "\\\\"))
-    return F.trim(text)
+    return strip(text)
 
 
 def is_broad(query: Column) -> Column:
@@ -120,7 +125,7 @@ def better_name(parent: Column, child: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Answer text without code fences."""
-    return F.trim(F.regexp_replace(text, r"```[a-zA-Z]*\s*", ""))
+    return strip(F.regexp_replace(text, r"```[a-zA-Z]*\s*", ""))
 
 
 def collapse_loops(text: Column) -> Column:

@@ -240,7 +240,7 @@ ORACLE_SQL = {
     "job_pick": "SELECT event_id AS id, ['pending','processing','failed','done'][event_id % 4 + 1] AS status, event_id % 7 AS retry_count FROM events WHERE event_id % 4 < 3 AND event_id % 7 < 5 ORDER BY event_id LIMIT 30",
     "job_status": "WITH j AS (SELECT event_id AS id, ['pending','processing','failed','done'][event_id % 4 + 1] AS s, event_id % 7 AS r FROM events WHERE event_id % 3 <> 1) SELECT CASE WHEN id % 3 = 2 THEN 'failed' ELSE s END AS status, CASE WHEN id % 3 = 2 THEN r + 1 ELSE r END AS retry_count, count(*) AS n FROM j GROUP BY 1, 2",
     "strip_timestamps": r"SELECT event_id, trim(regexp_replace('seen ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' by ' || event_type, '\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?\b', '', 'g')) AS text FROM events",
-    "clean_prompt": f"SELECT doc_id, sha256(trim({_CLEAN})) AS clean_sha256 FROM documents",
+    "clean_prompt": f"SELECT doc_id, sha256(regexp_replace({_CLEAN}, '^\\s+|\\s+$', '', 'g')) AS clean_sha256 FROM documents",
     "exact_dedup": "WITH h AS (SELECT doc_id, lang AS memory_type, source, sha256(lower(trim(text))) AS k FROM documents) SELECT min(doc_id) AS doc_id, memory_type FROM h WHERE source <> 'src3' AND NOT EXISTS (SELECT 1 FROM h s WHERE s.source = 'src3' AND s.memory_type = h.memory_type AND s.k = h.k) GROUP BY memory_type, k",
     "id_allocation": "SELECT doc_id, (SELECT coalesce(max(doc_id), 0) FROM documents WHERE lang <> 'fr') + row_number() OVER (ORDER BY doc_id) AS id FROM documents WHERE lang = 'fr'",
     "leaf_embed_text": "WITH b AS (SELECT *, lang || ' > ' || source AS leaf, coalesce(sum(length(text) + 1) OVER (PARTITION BY lang, source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT leaf, count(*) AS items, sha256(leaf || chr(10) || string_agg(text, chr(10) ORDER BY doc_id DESC)) AS text_sha256 FROM b WHERE before < 8000 GROUP BY leaf",
