@@ -9,7 +9,6 @@ from palimpsest.functions import text as X
 from palimpsest.operators import cluster as C
 from palimpsest.operators import decisions as D
 from palimpsest.operators import summaries as S
-from palimpsest.operators import tree as T
 
 from .shared import MEM_SQL, kind, memories, status, table
 from .topics import _T, _UP, _tree
