@@ -15,8 +15,6 @@ Null and empty texts are one end token. Repeated rows are scored each. Extra col
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -293,9 +291,7 @@ def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
             raw = data.tobytes()
             names += [raw[i:j].decode() for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)]
             done += len(a)
-        ids = word_ids(names, path)
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n_ids.sum()))
+        flat, n_ids = codec(path).merged_flat([MARK + w for w in names])
         starts = np.cumsum(n_ids) - n_ids
         number = np.empty(len(u), np.int64)
         number[np.argsort(first, kind="stable")] = np.arange(len(u))

@@ -122,23 +122,28 @@ class Codec:
                     rank.append(ranks[cost])
         self.table = Table(np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64))
         self.made, self.rank = np.array([*made, -1], np.int32), np.array([*rank, _NONE], np.int32)
-        self.points = np.array(sorted(map(ord, chars)), np.int64)
-        self.of_point = np.array([number[chr(c)] for c in self.points], np.int32)
+        self.of_point = np.full(0x110000, self.pad, np.int32)  # by code point
+        self.of_point[[ord(c) for c in chars]] = [number[c] for c in chars]
         self.ids = [[self.pieces[x][1]] if x in self.pieces else self.fallback(x) for x in self.symbols]
+        self.id_count = np.array([len(x) for x in self.ids], np.int64)
+        self.id_start = np.cumsum(self.id_count) - self.id_count
+        self.id_flat = np.array(list(itertools.chain.from_iterable(self.ids)), np.int32)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return self.table.find(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
 
-    def merged_many(self, units: list[str]) -> list[list[int]]:
-        """Ids of many short units: one agenda a row, all rows take their best pair in the same step."""
+    def _merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of many short units after merging, padded; how many; and units with a character that no piece has.
+
+        One agenda a row, all rows take their best pair in the same step.
+        """
         if not hasattr(self, "table"):
             self._pairs()
         long = np.array([len(u) for u in units])
         width = int(long.max())
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
+        codes = self.of_point[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         sym = np.full((len(units), width + 1), self.pad, np.int32)
-        sym[np.arange(width + 1) < long[:, None]] = np.where(self.points[at] == codes, self.of_point[at], self.pad)
+        sym[np.arange(width + 1) < long[:, None]] = codes
         start = np.full((len(units), width), -1, np.int32)
         inner = np.arange(width) < long[:, None] - 1
         start[inner] = self._find(sym[:, :-1][inner], sym[:, 1:][inner])
@@ -163,10 +168,42 @@ class Codec:
             pair[r, best] = self._find(new, sym[r, best + 1])
             back = np.flatnonzero(best > 0)
             pair[back, best[back] - 1] = self._find(sym[back, best[back] - 1], new[back])
+        odd = np.bincount(np.repeat(np.arange(len(units)), long), codes == self.pad, len(units)) > 0
+        return out, (out != self.pad).sum(axis=1), odd
+
+    def merged_many(self, units: list[str]) -> list[list[int]]:
+        """Ids of many short units."""
+        out, n, odd = self._merge(units)
         ids = self.ids
-        n = (out != self.pad).sum(axis=1).tolist()
-        odd = set(np.flatnonzero(np.bincount(np.repeat(np.arange(len(units)), long), self.points[at] != codes, len(units))).tolist())
-        return [self.merged(u) if i in odd else [x for y in row[:k] for x in ids[y]] for i, (u, row, k) in enumerate(zip(units, out.tolist(), n, strict=True))]
+        return [self.merged(u) if o else [x for y in row[:k] for x in ids[y]] for u, row, k, o in zip(units, out.tolist(), n.tolist(), odd.tolist(), strict=True)]
+
+    def merged_flat(self, units: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units end to end, and how many each has."""
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(n, kind="stable")
+        short = order[: int(np.searchsorted(n[order], SHORT, side="right"))]
+        count = np.zeros(len(units), np.int64)
+        parts: list[np.ndarray] = []
+        left: list[int] = []
+        for lo in range(0, len(short), step):
+            own = short[lo : lo + step]
+            out, k, odd = self._merge([units[i] for i in own])
+            sym = out[(np.arange(out.shape[1]) < k[:, None]) & ~odd[:, None]]
+            each = np.repeat(np.arange(len(own)), np.where(odd, 0, k))
+            parts.append(self.id_flat[common.ragged(self.id_start[sym], self.id_count[sym])])
+            count[own] = np.bincount(each, self.id_count[sym], len(own)).astype(np.int64)
+            left += own[odd].tolist()
+        starts = np.cumsum(count[short]) - count[short]
+        where = np.zeros(len(units), np.int64)
+        where[short] = starts
+        at = int(count[short].sum())
+        for i in (*left, *order[len(short) :].tolist()):  # long units and unknown characters, by a heap each
+            ids = np.array(self.merged(units[i]), np.int32)
+            parts.append(ids)
+            where[i], count[i] = at, len(ids)
+            at += len(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return flat[common.ragged(where, count)], count
 
     def units(self, text: str) -> list[str]:
         if not text:
