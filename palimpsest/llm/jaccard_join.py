@@ -34,6 +34,8 @@ GROUPS, LEAF, CHUNK = 32, 16, 512
 ORDER_SHARE, FREQUENT = 8, 4
 #: Frequent shingles listed at most, and ids broadcast at most; both bound a broadcast and neither changes a result.
 ORDER_LIST, BROADCAST_IDS = 4_000_000, 2_000_000
+#: Contraction ends when fewer than one in so many of the pairs that its bound left were links.
+FEW = 10
 _MUL = np.random.default_rng(11).integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,7 +67,7 @@ def count_vector(s: np.ndarray) -> np.ndarray:
 
 
 def fine_vector(s: np.ndarray) -> bytes:
-    """The counts modulo two of many small groups, four or more a hash: a bit a group, a power of two of them."""
+    """The counts modulo two of many small groups, four to eight a hash: a bit a group, a power of two of them."""
     bits = max(8, int(len(s)).bit_length() + 2)
     c = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.packbits((c & 1).astype(bool)).tobytes()
@@ -323,7 +325,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
     return cut.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, contractions: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, contractions: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     spark = docs.sparkSession
     base = common.written(signatures(docs, k, percent))
@@ -338,18 +340,23 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
     multi = common.written(dealt.join(several, "key"))
     edges, open_ = None, multi.withColumn("comp", F.col("cls")).withColumn("members", F.lit(0).cast("long"))
     for turn in range(contractions):
-        # other anchors at each turn; a class asks for the anchors of up to three of its shards that it is not yet linked with
+        # other anchors at each turn; a class asks for the three anchors that most of its shards have, of those it is not yet linked with
         best = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("s"), F.col("cls").alias("anchor"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x")
         asked = open_.join(open_.groupBy("key").agg(best).select("key", "x.anchor", "x.m", "x.other"), "key")
         asked = asked.filter(f"comp <> other and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        three = asked.groupBy("cls").agg(*(F.min(F.struct(F.xxhash64("anchor", F.lit(3 * turn + r)).alias("s"), "anchor")).alias(f"x{r}") for r in range(3)))
-        pairs = three.select("cls", F.explode(F.array("x0.anchor", "x1.anchor", "x2.anchor")).alias("anchor")).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct()
-        found = common.written(_verified(docs, common.written(_bounded(pairs, vecs, percent)), reps, k, percent))
+        often = asked.groupBy("cls", "anchor").agg(F.count("*").alias("c"))
+        three = F.slice(F.sort_array(F.collect_list(F.struct("c", F.xxhash64("anchor", F.lit(turn)).alias("s"), "anchor")), asc=False), 1, 3)
+        pairs = often.groupBy("cls").agg(three.alias("x")).select("cls", F.explode("x.anchor").alias("anchor")).select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct()
+        bounded = common.written(_bounded(pairs, vecs, percent))
+        asked_pairs = bounded.count()
+        found = common.written(_verified(docs, bounded, reps, k, percent))
         edges = found if edges is None else edges.unionByName(found)
         comp = common.written(components(edges))
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
         open_ = common.written(labelled.join(mixed, "key"))
+        if turn and found.count() * FEW < asked_pairs:  # further turns would link little
+            break
     rows = open_.join(vecs.drop("n"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
     left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "fine", "c"), percent))
     edges = edges.unionByName(_verified(docs, left, reps, k, percent))
