@@ -289,15 +289,17 @@ def _search_shards(key, p, q, i, cls, comp, n, vecs, percent) -> tuple[np.ndarra
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components within a shard that neither the shard's tree nor the fine bound excludes.
 
-    rows: key, cls, n, comp, vec, fine, c (chunks of the shard).
+    rows: key, cls, n, comp, vec, fine, c (chunks of the shard), home (least hash of its members).
     """
     cut = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))))
-    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec", "fine")
+    cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec", "fine", "home")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    # shards with one least member have most pairs in common, so they meet in one task, chunk by chunk
+    cut = cut.repartition(parts, "home", "p", "q").sortWithinPartitions("home", "p", "q", "key")
 
     def run(batches):
         held: pa.Table | None = None  # the last shard of a batch may go on in the next
+        told: set[tuple[int, int]] = set()  # pairs that have left this task; only spares repeats
 
         def found(t: pa.Table) -> pa.RecordBatch:
             c = [t[x].to_numpy() for x in ("key", "p", "q", "i", "cls", "comp", "n")]
@@ -307,7 +309,11 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
             keep = _fine_bound(fine, at, c[6], fine, at, c[6], x, y, percent)
             x, y = x[keep], y[keep]
             a, b = c[4][x], c[4][y]
-            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
+            if len(told) > 500_000:
+                told.clear()
+            told.update(new)
+            ab = np.array(sorted(new), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -353,12 +359,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
         edges = found if edges is None else edges.unionByName(found)
         comp = common.written(components(edges))
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min(F.xxhash64("cls")).alias("home")).filter("lo < hi").select("key", "members", "home")
         open_ = common.written(labelled.join(mixed, "key"))
         if turn and found.count() * FEW < asked_pairs:  # further turns would link little
             break
     rows = open_.join(vecs.drop("n"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
-    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "fine", "c"), percent))
+    left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "fine", "c", "home"), percent))
     edges = edges.unionByName(_verified(docs, left, reps, k, percent))
     comp = components(edges)
     named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
