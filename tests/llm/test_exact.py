@@ -334,6 +334,29 @@ def test_op9_finds_items_and_paraphrases(spark, sf_dir, texts):
     assert {r.doc_id for r in hit} == {1} and list(items)[5] in {r.item_id for r in hit}
 
 
+def test_op9_recall_on_a_large_benchmark(spark):
+    """Items of 1,100 at random offsets, words replaced: all that a brute-force LCS at the place passes is found."""
+    rng = np.random.default_rng(11)
+    share = 1 / np.arange(1, 6001)
+    some = lambda n: [f"w{i}" for i in rng.choice(6000, n, p=share / share.sum())]
+    items = [some(int(rng.integers(15, 60))) for _ in range(1100)]
+    rows, want = [], set()
+    for i in range(400):
+        item = items[i]
+        said, keep = list(item), 4 * (i % 2)  # the answer of every other one stays
+        for j in rng.choice(len(item) - keep, int((0.0, 0.4, 0.25, 0.45)[i % 4] * len(item)), replace=False):
+            said[j] = f"x{i}y{j}"
+        said[0] = "((((" + said[0]
+        ratio = decontamination.lcs(item, decontamination.words_of(" ".join(said))) / len(item)
+        if ratio >= 0.7 or ratio >= 0.5 and keep:
+            want.add((i, i))
+        rows.append((i, " ".join(some(int(rng.integers(30, 200))) + said + some(60))))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert len(want) > 350 and want <= {(r.doc_id, r.item_id) for r in got}
+    assert all(-1.001 <= r.cosine <= 1.001 and (r.lcs >= 0.7 or r.lcs >= 0.5 and r.answer) for r in got)
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(200):
