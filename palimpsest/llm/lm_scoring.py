@@ -2,8 +2,9 @@
 
 Model: one head of causal self-attention with relative positions over subword embeddings, a tanh layer, and a next-id
 distribution in three steps of 32 (ids ordered by frequency are numbers of three digits in base 32; each digit's logits are a
-linear map of the state plus a bias that depends on the digits before). It is trained by Adam on about FIT_DOCS documents of the
-learning fold, a documented bound. Scoring cuts a text's ids into strides of STRIDE; each stride sees itself and the stride
+linear map of the state plus a bias that depends on the digits before). The order of ids and the first biases are counted on all
+learning documents. STEPS steps of Adam on about FIT_DOCS of them give common weights to start from; from these every partition
+trains on all its learning documents, each id once, and the weights are averaged by ids. Scoring cuts a text's ids into strides of STRIDE; each stride sees itself and the stride
 before it, so windows of 2 * STRIDE overlap by half and every id is scored once, in batched masked attention.
 
 Unigram part: counts of all words of all learning documents. Documents are dealt into blocks of about BLOCK_BYTES; a block sends
@@ -15,35 +16,33 @@ Null and empty texts are one end token. Repeated rows are scored each. Extra col
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .sentencepiece_codec import CACHE_UNITS, MARK, SHORT, codec, model_path
+from .sentencepiece_codec import MARK, codec, model_path
 
 FIT_DOCS, BLOCK_BYTES = 1_500, 6 << 20
 STRIDE, DIM, BASE = 16, 16, 32
 STEPS, BATCH = 1_000, 64
+#: Of the training of partitions: sequences in a step, rate, and groups that sum weights before the driver does.
+PART_BATCH, PART_RATE, GROUPS = 128, 0.002, 16
 _LOG10 = float(np.log(10))
 
 
-def word_ids(words: list[str], path: str) -> list[list[int]]:
-    """Subword ids of words, each after a word mark, through the codec's cache."""
-    c = codec(path)
-    if len(c.cache) >= CACHE_UNITS // 2:
-        c.cache.clear()
-    units = [MARK + w for w in words]
-    new = sorted(set(units).difference(c.cache), key=len)
-    many = sum(len(u) <= SHORT for u in new)
-    for i in range(0, many, 4096):
-        some = new[i : min(i + 4096, many)]
-        for u, x in zip(some, c.merged_many(some), strict=True):
-            c.cache[u] = (x, "")
-    long = {u: c.merged(u) for u in new[many:]}
-    get = c.cache.get
-    return [long[u] if x is None else x[0] for u, x in zip(units, map(get, units), strict=True)]
+def summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """rows added up at their places, in the shape of `like`."""
+    out = np.zeros_like(like)
+    order = np.argsort(at, kind="stable")
+    x = at[order]
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    out[x[cuts]] = np.add.reduceat(rows[order], cuts, axis=0)
+    return out
 
 
 class Model:
@@ -97,8 +96,7 @@ class Model:
             p[np.arange(m), d[:, i]] -= 1
             p /= m
             g[f"w{i}"] = flat.T @ p
-            g[f"b{i}"] = np.zeros_like(w[f"b{i}"])
-            np.add.at(g[f"b{i}"], row, p)
+            g[f"b{i}"] = summed(row, p, w[f"b{i}"])
             dh += p @ w[f"w{i}"].T
         du = (dh * (1 - flat**2)).reshape(n, t, DIM)
         sums = lambda u, y: np.tensordot(u, y, axes=([0, 1], [0, 1]))
@@ -112,32 +110,22 @@ class Model:
         for name, y in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = sums(x, y)
             dx += y @ w[name].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], ids.ravel(), dx.reshape(-1, DIM))
+        g["e"] = summed(ids.ravel(), dx.reshape(-1, DIM), w["e"])
         return float(loss), g
 
-    def train(self, docs: list[np.ndarray], steps: int = STEPS) -> list[float]:
-        """docs: ids of each document without start and end. Returns the loss of every step."""
+    def train(self, docs: list[np.ndarray], steps: int = STEPS, counts: np.ndarray | None = None) -> list[float]:
+        """docs: ids of each document without start and end; counts: of all ids, else those of docs. Returns the loss of every step."""
         parts = [np.concatenate(([self.start], d, [self.end])) for d in docs if len(d)] or [np.array([self.start, self.end])]
         stream = np.concatenate(parts)
-        self.start_from(np.bincount(stream, minlength=len(self.digits)).astype(float))
+        self.start_from(np.bincount(stream, minlength=len(self.digits)).astype(float) if counts is None else counts)
         span = 2 * STRIDE
         if len(stream) <= span + 1:
             stream = np.tile(stream, span + 2)
         r = np.random.default_rng(4)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        u = {k: np.zeros_like(v) for k, v in self.w.items()}
-        losses = []
+        adam, losses = Adam(self), []
         for step in range(1, steps + 1):
             at = r.integers(0, len(stream) - span, BATCH)[:, None] + np.arange(span)
-            loss, g = self.train_step(stream[at], stream[at + 1])
-            losses.append(loss)
-            rate = 0.01 * min(1, step / 20) * (1 - 0.9 * step / steps)
-            for k, x in g.items():
-                m[k] += np.float32(0.1) * (x - m[k])
-                u[k] += np.float32(0.01) * (x * x - u[k])
-                fix = np.float32(rate / (1 - 0.9**step))
-                self.w[k] -= fix * m[k] / (np.sqrt(u[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            losses.append(adam.step(stream[at], stream[at + 1], 0.01 * min(1, step / 20) * (1 - 0.9 * step / steps)))
         return losses
 
     def freeze(self) -> None:
@@ -199,6 +187,38 @@ class Model:
         return np.bincount(doc, got, len(n)) / _LOG10
 
 
+class Adam:
+    """State of the training of a model."""
+
+    def __init__(self, model: Model):
+        self.model, self.n = model, 0
+        self.m = {k: np.zeros_like(v) for k, v in model.w.items()}
+        self.u = {k: np.zeros_like(v) for k, v in model.w.items()}
+
+    def step(self, ids: np.ndarray, target: np.ndarray, rate: float) -> float:
+        self.n += 1
+        w, m, u = self.model.w, self.m, self.u
+        loss, g = self.model.train_step(ids, target)
+        fix = np.float32(rate / (1 - 0.9**self.n))
+        for k, x in g.items():
+            m[k] += np.float32(0.1) * (x - m[k])
+            u[k] += np.float32(0.01) * (x * x - u[k])
+            w[k] -= fix * m[k] / (np.sqrt(u[k] / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
+        return loss
+
+    def epoch(self, stream: np.ndarray) -> int:
+        """One pass over a stream of documents' ids, every id but the first a target once. Gives the number of targets."""
+        span, n = 2 * STRIDE, len(stream) - 1
+        whole = np.random.default_rng(self.n).permutation(n // span) * span
+        for lo in range(0, len(whole), PART_BATCH):
+            at = whole[lo : lo + PART_BATCH, None] + np.arange(span)
+            self.step(stream[at], stream[at + 1], PART_RATE * min(1, (self.n + 1) / 20))
+        if n % span:  # the rest, shorter than a sequence
+            rest = stream[n - n % span :]
+            self.step(rest[None, :-1], rest[None, 1:], PART_RATE * min(1, (self.n + 1) / 20) / PART_BATCH)
+        return n
+
+
 def _hashed(texts: pa.ChunkedArray):
     """The texts in steps: lower-cased bytes, word spans, word hashes, documents' offsets into words."""
     batch = pa.RecordBatch.from_arrays([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], names=["text"])
@@ -209,23 +229,79 @@ def _hashed(texts: pa.ChunkedArray):
         yield data, a, b, common.span_hash(common.prefix_hash(data), a, b), at
 
 
-def train(learn: DataFrame, path: str, share: float) -> Model:
-    """A model of about FIT_DOCS documents, those of the lowest hashes of doc_id."""
-    some = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+def encoded(learn: DataFrame, path: str) -> DataFrame:
+    """some, ids: of each step of texts the ids in 16 bits, a start and an end around every document."""
+    c = codec(path)
+    start, end = c.lib.bos_id(), c.lib.eos_id()
+    if c.lib.vocab_size() > BASE**3:
+        raise ValueError(f"over {BASE**3} subwords")
 
     def run(batches):
         for batch in batches:
             out = []
-            for data, a, b, _, at in _hashed(batch.column(0)):
+            for data, a, b, h, at in _hashed(batch.column(0)):
+                _, first, inv = np.unique(h, return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                ids = word_ids([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)], path)
-                out += [[x for w in ids[i:j] for x in w] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
+                flat, n = codec(path).merged_flat([MARK + raw[i:j].decode() for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)])
+                k = n[inv]
+                per = np.concatenate(([0], np.cumsum(k)))[at]
+                docs = len(at) - 1
+                x = np.empty(int(per[-1]) + 2 * docs, np.uint16)
+                x[per[:-1] + 2 * np.arange(docs)] = start
+                x[per[1:] + 2 * np.arange(docs) + 1] = end
+                x[np.arange(int(per[-1])) + np.repeat(2 * np.arange(docs) + 1, np.diff(per))] = flat[common.ragged((np.cumsum(n) - n)[inv], k)]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return learn.select("text").mapInArrow(run, "ids binary")
 
-    got = some.mapInArrow(run, "ids array<int>").toArrow()["ids"]
+
+def train(learn: DataFrame, path: str, share: float) -> Model:
+    """A model of all learning documents, from a start on about FIT_DOCS, those of the lowest hashes of doc_id."""
     c = codec(path)
-    m = Model(c.lib.vocab_size(), c.lib.bos_id(), c.lib.eos_id())
-    m.train(sorted((np.array(x, np.int64) for x in got.to_pylist()), key=lambda x: (len(x), x.tobytes())))
+    vocab, start = c.lib.vocab_size(), c.lib.bos_id()
+    streams = common.written(encoded(learn, path))
+
+    def count(batches):
+        n = np.zeros(vocab, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                n += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=vocab)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocab)), pa.array(n)], names=["id", "n"])
+
+    counted = streams.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
+    counts = np.zeros(vocab)
+    counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
+    some = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    docs = []
+    for x in encoded(some, path).toArrow()["ids"].to_pylist():
+        x = np.frombuffer(x, np.uint16).astype(np.int64)
+        docs += [d[1:-1] for d in np.split(x, np.flatnonzero(x == start)[1:])]
+    m = Model(vocab, start, c.lib.eos_id())
+    m.train(sorted(docs, key=lambda x: (len(x), x.tobytes())), counts=counts)
+    names = sorted(m.w)
+    sent = learn.sparkSession.sparkContext.broadcast(m)
+
+    def learnt(batches):
+        own = pickle.loads(pickle.dumps(sent.value))
+        adam, n = Adam(own), 0
+        for batch in batches:
+            for x in batch.column(0):
+                n += adam.epoch(np.frombuffer(x.as_py(), np.uint16).astype(np.int64))
+        if n:
+            flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float64) * n
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "w"])
+
+    def total(t: pa.Table) -> pa.Table:
+        w = sum(np.frombuffer(x.as_py(), np.float64) for x in t["w"])
+        return pa.table({"n": pa.array([sum(t["n"].to_pylist())]), "w": pa.array([w.tobytes()], pa.binary())})
+
+    parts = streams.mapInArrow(learnt, "part long, n long, w binary").groupBy("part").applyInArrow(total, "n long, w binary").collect()  # GROUPS rows at most
+    if parts:
+        flat, lo = sum(np.frombuffer(r.w, np.float64) for r in parts) / sum(r.n for r in parts), 0
+        for k in names:
+            m.w[k] = flat[lo : lo + m.w[k].size].reshape(m.w[k].shape).astype(np.float32)
+            lo += m.w[k].size
     m.freeze()
     return m
 

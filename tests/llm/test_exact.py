@@ -247,6 +247,20 @@ def test_op7_base_and_probabilities(spark, sf_dir, texts):
         assert r.score < 0
 
 
+def test_op7_learns_from_documents_outside_the_start(spark, monkeypatch):
+    """Text that only documents outside the start's sample hold raises its own score."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 30)
+    path = sentencepiece_codec.model_path()
+    rows = [(i, "the cat sat on the mat and the dog ran " * 20) for i in range(40)]
+    more = [(100 + i, "quartz jukebox vexing zephyr " * 60) for i in range(40)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id bigint, text string")
+    few, all_ = (lm_scoring.train(frame(x), path, 0.0) for x in (rows, rows + more))
+    c = sentencepiece_codec.codec(path)
+    ids, n = c.merged_flat([sentencepiece_codec.MARK + w for w in more[0][1].split()])
+    a, b = (float(m.score(np.asarray(ids), np.array([0, len(ids)]))[0]) for m in (few, all_))
+    assert b > 0.8 * a  # both are negative
+
+
 def test_model_gradients_and_windows():
     lm_scoring_dim = lm_scoring.DIM
     m = lm_scoring.Model(64, 1, 2)
