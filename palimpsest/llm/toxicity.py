@@ -65,8 +65,8 @@ def fixed_votes(text: str, words: set[str]) -> int:
         bits |= 1 << at
     if any(m.lower().translate(MASKS) in _ALL for m in _MASKED.findall(text)):
         bits |= 1 << (at + 1)
-    if sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) * 2 > min(len(text), 2000) > 40:
-        bits |= 1 << (at + 2)  # shouting, judged on evenly spaced letters
+    if len(text) > 40 and sum(map(str.isupper, text)) * 2 > len(text):
+        bits |= 1 << (at + 2)  # shouting
     if len(hit) >= 2:
         bits |= 1 << (at + 3)
     return bits

@@ -51,6 +51,15 @@ def test_op1_held_out(spark, sf_dir, texts):
     assert np.mean([got[i].predicted for i in gold if gold[i] == 0]) <= 0.05
 
 
+def test_shouting_counts_the_whole_text():
+    bit = 1 << (len(toxicity.LEXICONS) + 2)
+    for n in (2000, 3999, 5999, 9000):
+        for share, fires in ((0.4, False), (0.6, True)):
+            k = int(n * share)
+            assert bool(toxicity.fixed_votes("A" * k + "b" * (n - k), set()) & bit) == fires
+    assert not toxicity.fixed_votes("Ab" * 1500 + "bb" * 1500, set()) & bit  # capitals at every sampled place, a quarter in all
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
