@@ -12,7 +12,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that is reachable.
 
     Alternates the large-star and small-star steps until the edges no longer change; each round is written, so lineage stays
-    short and a lost executor costs one round. Grouping is by node with aggregates that combine map-side.
+    short and a lost executor costs one round. Grouping is by node with aggregates that combine map-side. Where edges still change after `rounds`, it raises.
     """
     e = common.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
@@ -28,4 +28,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"edges still change after {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

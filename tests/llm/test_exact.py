@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import common, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, media_columns, queries, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
+from palimpsest.llm import common, decontamination, graph, jaccard_join, language_id, line_dedup, lm_scoring, media_columns, queries, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,6 +166,14 @@ def test_op4_brute_force(spark, sf_dir, texts):
     assert got == near_duplicates(texts)
 
 
+def test_components_end_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
+    got = graph.components(chain).collect()
+    assert sorted(r.node for r in got) == list(range(41)) and {r.root for r in got} == {0}
+
+
 def test_op4_groups_of_variants(spark, monkeypatch):
     """Chains, borderline pairs and a group larger than a chunk."""
     rng = np.random.default_rng(8)
