@@ -5,7 +5,7 @@ State of a `LineStore` is one exact table of references, a row (k1, k2, doc_id)
 map-side first. Keys held by two documents or more go into cuckoo filters, one per shard of keys; shards grow in number with the
 keys. A scan asks the filters first and only lines that may be shared travel to the exact table, which decides. Filters are
 broadcast only while their measured size is below FILTER_BYTES; beyond it every eligible line travels, with the same result.
-Inserting documents appends references, deleting them removes theirs; the filters take and give back fingerprints accordingly.
+Inserting documents appends references, deleting them removes theirs; the filters are then built anew from the table.
 
 Null and empty texts are one empty line. Keys under MIN_CHARS code points are never dropped. A key repeated within one document
 only is kept. Extra columns of the input are ignored by the report and kept by `deduplicated`. An empty table gives no rows.
