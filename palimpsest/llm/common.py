@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -15,10 +17,20 @@ STEP_BYTES = 1 << 20
 
 #: Rows of an Arrow batch at most; texts of some kilobytes then take a few megabytes on either side.
 BATCH_ROWS = 2_000
+#: Bytes of an Arrow batch, about, where a single row is not larger.
+BATCH_BYTES = 8 << 20
+
+
+def _bytes(said: str) -> int:
+    """Bytes of a Spark setting such as 64m, or 67108864b."""
+    said = said.lower().removesuffix("b")
+    return int(said[:-1]) << 10 * (" kmgtp".index(said[-1])) if said[-1:].isalpha() else int(said)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder. Also bounds Arrow batches of the session, where they are at Spark's default."""
+    """A table of the input folder. Also bounds Arrow batches of the session, in rows where they are at Spark's default, and in bytes."""
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,27 +41,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_of(doc_id, mod: int):
-    """crc32 of the decimal doc_id modulo `mod`: the fold of a document."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % mod
+    """crc32 of the decimal doc_id modulo `mod`: the fold of a document; -1, so no fold, without doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    spark.checkpoint.dir names that folder. Where it is unset (tests, one machine), a folder below /tmp/checkpoints is used.
+    spark.checkpoint.dir names that folder. Where it is unset and all runs on one machine, a folder below /tmp/checkpoints is used;
+    on a cluster that raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. An empty table comes back empty, with its schema."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task(run):
+    """`run` of a mapInArrow whose worker gives memory back when its task ends: workers outlive tasks, and stages add up."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidy
+
+
 def partitions(spark: SparkSession, n_bytes: int, per_bytes: int) -> int:
     """Partitions for n_bytes of data, never below the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_bytes))

@@ -6,30 +6,27 @@ fall back to bytes. No piece holds a character after which a word mark follows,
 at characters that no longer piece holds; each distinct unit is merged once per worker and kept in a bounded cache.
 
 Each Arrow batch is checked against the sentencepiece library's own encode: every distinct unit that the batch adds, in one call,
-and its first text as a whole. A unit that differed would get the library's ids and be counted in `n_fixed`. Decoding is the library's decode(ids). Null counts as empty; the empty text has no ids. Rows do not
+and its first text as a whole. A unit that differed would get the library's ids and be counted in `n_fixed`; were the whole text to
+differ, the library would encode all texts of the step. Decoding is the library's decode(ids). Null counts as empty; the empty text has no ids. Rows do not
 depend on each other: one scan, no shuffle. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import hashlib
 import heapq
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
 
 MARK = "▁"
-#: Units kept by a worker; when full, the cache starts anew.
-CACHE_UNITS = 700_000
-#: A worker keeps a cache of at most so many units from one task to the next.
-KEPT_UNITS = 250_000
+#: Units and ids kept by a worker; when full, the cache starts anew.
+CACHE_UNITS, CACHE_IDS = 500_000, 4_000_000
 #: Units up to so many symbols are merged many at a time; longer ones by a heap each.
 SHORT = 32
 _NONE = 1 << 30
@@ -59,9 +56,9 @@ class Codec:
         alone = "".join(c for c in "\n\t|,.!?:;0123456789" if c not in joined)
         if SEP not in alone or any(MARK in names[i].lstrip(MARK) for i in plain):
             raise ValueError("pieces of this model reach over line ends or from one word into the next")
-        self.split = re.compile(rf"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+").findall
-        self.cache: dict[str, tuple[list[int], str]] = {}
-        self.fixed: set[str] = set()
+        self.alone = np.zeros(256, bool)  # by byte
+        self.alone[list(alone.encode())] = True
+        self.forget()
 
     def merged(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda."""
@@ -172,10 +169,9 @@ class Codec:
         return out, (out != self.pad).sum(axis=1), odd
 
     def merged_many(self, units: list[str]) -> list[list[int]]:
-        """Ids of many short units."""
-        out, n, odd = self._merge(units)
-        ids = self.ids
-        return [self.merged(u) if o else [x for y in row[:k] for x in ids[y]] for u, row, k, o in zip(units, out.tolist(), n.tolist(), odd.tolist(), strict=True)]
+        """Ids of many units, each as a list."""
+        flat, count = self.merged_flat(units)
+        return [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] if units else []
 
     def merged_flat(self, units: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many units end to end, and how many each has."""
@@ -205,58 +201,77 @@ class Codec:
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return flat[common.ragged(where, count)], count
 
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        whole = MARK + text.replace(" ", MARK)
-        return self.split(whole)
-
-    @contextlib.contextmanager
-    def working(self):
-        """Around a task: no collections while the cache grows (its many small lists hold no cycles); a large cache goes after."""
-        gc.disable()
-        try:
-            yield
-        finally:
-            if len(self.cache) > KEPT_UNITS:
-                self.cache.clear()
-            gc.enable()
-
-    def checked(self, units: list[str], ids: list[list[int]]) -> list[list[int]]:
-        """The ids as the library has them: it encodes all units of the batch at once, held apart by a symbol that never merges."""
-        theirs = self.lib.encode("".join([SEP + u for u in units]), num_threads=1)
-        sep = self.merged(SEP)
-        if theirs == [*self.merged(MARK), *itertools.chain.from_iterable(sep + x for x in ids)] or not units:
-            return ids
-        out = []
-        for u, x in zip(units, ids, strict=True):
-            own = self.lib.encode(SEP + u)[len(sep) + 1 :]
-            if own != x:
-                self.fixed.add(u)
-            out.append(own)
-        return out
+    def checked(self, units: list[str], flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their numbers as the library has them, and which units differed: it encodes all units of a step at once, held
+        apart by a symbol that never merges."""
+        wrong = np.zeros(len(units), bool)
+        if not units:
+            return flat, count, wrong
+        sep = np.array(self.merged(SEP), np.int32)
+        at = np.cumsum(count + len(sep)) - count  # of each unit's ids behind its separator
+        want = np.empty(int(at[-1] + count[-1]), np.int32)
+        want[common.ragged(at, count)] = flat
+        for k, x in enumerate(sep):
+            want[at - len(sep) + k] = x
+        theirs = np.array(self.lib.encode("".join([SEP + u for u in units]), num_threads=1), np.int32)
+        if np.array_equal(theirs, np.concatenate((np.array(self.merged(MARK), np.int32), want))):
+            return flat, count, wrong
+        parts = np.split(flat, np.cumsum(count)[:-1])
+        for i, u in enumerate(units):
+            own = np.array(self.lib.encode(SEP + u)[len(sep) + 1 :], np.int32)
+            if not np.array_equal(own, parts[i]):
+                parts[i], count[i], wrong[i] = own, len(own), True
+        return np.concatenate(parts), count, wrong
+
+    def encode_step(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a column of whole texts end to end, the n + 1 offsets of texts into them, and for each text its units set right.
+
+        Units are told apart by 64-bit hashes; only those new to the worker are merged and checked.
+        """
+        col = pc.replace_substring(pc.fill_null(col, ""), MARK, " ")  # both are the word mark
+        data, offsets = common.buffers(pc.if_else(pc.equal(col, ""), col, pc.binary_join_element_wise(" ", col, "")))
+        mark, alone = data == 32, self.alone[data]
+        start = alone | mark
+        start[1:] &= alone[1:] | ~mark[:-1]
+        start[1:] |= alone[:-1]
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        a = np.flatnonzero(start)
+        b = np.append(a[1:], len(data))
+        u, first, inv = np.unique(common.span_hash(common.prefix_hash(data), a, b), return_index=True, return_inverse=True)
+        if len(self.known) >= CACHE_UNITS or len(self.flat) >= CACHE_IDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[at] != u) if len(self.known) else np.arange(len(u))
+        raw = data.tobytes()
+        units = [raw[i:j].decode().replace(" ", MARK) for i, j in zip(a[first[new]].tolist(), b[first[new]].tolist(), strict=True)]
+        flat, count, wrong = self.checked(units, *self.merged_flat(units))
+        self.learn(u[new], flat, count, wrong)
+        at = np.searchsorted(self.known, u)[inv]
+        n = self.count[at]
+        units_at = np.searchsorted(a, offsets)
+        ids = self.flat[common.ragged(self.start[at], n)]
+        ids_at = np.concatenate(([0], np.cumsum(n)))[units_at]
+        fixed = np.concatenate(([0], np.cumsum(self.wrong[at])))[units_at]
+        return ids, ids_at, np.diff(fixed)
+
+    def forget(self) -> None:
+        self.known, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.wrong = np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def learn(self, h: np.ndarray, flat: np.ndarray, count: np.ndarray, wrong: np.ndarray) -> None:
+        """Adds units to the cache: arrays sorted by hash, some 30 bytes a unit."""
+        start = np.cumsum(count) - count + len(self.flat)
+        known = np.concatenate((self.known, h))
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.start, self.count, self.wrong = (np.concatenate(x)[order] for x in ((self.start, start), (self.count, count), (self.wrong, wrong)))
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each whole text its ids, and the same as decimal numbers joined by commas."""
-        parted = [self.units(x) for x in texts]
-        if len(self.cache) >= CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        new = [u for u in set().union(*parted) if u not in cache]
-        new.sort(key=len)  # rows of one step are of like width
-        many = sum(len(u) <= SHORT for u in new)
-        ids = [x for i in range(0, many, 4096) for x in self.merged_many(new[i : min(i + 4096, many)])]
-        long_ones = new[many:]  # not kept after this batch
-        ids += map(self.merged, long_ones)
-        for u, x in zip(new, self.checked(new, ids), strict=True):
-            cache[u] = (x, ",".join(map(str, x)))
-        out = []
-        for own in parted:
-            got = [cache[u] for u in own]
-            out.append((list(itertools.chain.from_iterable(x for x, _ in got)), ",".join([x for _, x in got])))
-        for u in long_ones:
-            del cache[u]
-        return out
+        ids, at, _ = self.encode_step(pa.array(texts, pa.string()))
+        parts = [ids[i:j].tolist() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [(x, ",".join(map(str, x))) for x in parts]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -268,38 +283,43 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """doc_id, token ids, number of ids, digests of ids and of the decoded text, units set right by the library's check.
+def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+    """doc_id, number of ids, digests of ids and of the decoded text, units set right by the library's check.
 
-    keep_ids: also return the ids themselves (`ids`) and the decoded text (`decoded`).
+    keep_ids: also return the ids themselves (`ids`); keep_decoded: and with them the decoded text (`decoded`).
     """
     path = path or model_path()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_fixed long" + (", ids array<int>, decoded string" if keep_ids else "")
+    keep_decoded = keep_ids and keep_decoded
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_fixed long" + ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def run(batches):
         c = codec(path)
-        with c.working():
-            for batch in batches:
-                for part in common.slices(batch):
-                    texts = common.texts(part.column(1))
-                    n, ids_sha, out_sha, fixed, all_ids, decoded = [], [], [], [], [], []
-                    for k, (text, (ids, said)) in enumerate(zip(texts, c.encode(texts), strict=True)):
-                        fixed.append(sum(u in c.fixed for u in c.units(text)) if c.fixed else 0)
-                        if k == 0 and ids != c.lib.encode(text):
-                            raise ValueError("a text's ids differ from the library's")
-                        back = c.lib.decode(ids)
-                        n.append(len(ids))
-                        ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
-                        out_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                        if keep_ids:
-                            all_ids.append(ids)
-                            decoded.append(back)
-                    cols = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha), pa.array(fixed, pa.int64())]
-                    if keep_ids:
-                        cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+        for batch in batches:
+            for part in common.slices(batch):
+                ids, at, fixed = c.encode_step(part.column(1))
+                text = part.column(1)[0].as_py() or ""
+                if ids[: at[1]].tolist() != (whole := c.lib.encode(text)):  # the first text as a whole; where it differs, all as the library has them
+                    whole = [whole, *(c.lib.encode(x.as_py() or "") for x in part.column(1)[1:])]
+                    own = [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+                    fixed = np.array([max(int(f), int(x != y)) for f, x, y in zip(fixed, own, whole, strict=True)])
+                    at = np.cumsum([0, *map(len, whole)])
+                    ids = np.fromiter(itertools.chain.from_iterable(whole), np.int32, int(at[-1]))
+                ids_sha, out_sha, decoded = [], [], []
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = ids[i:j].tolist()
+                    back = c.lib.decode(own)
+                    ids_sha.append(hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
+                    out_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                    if keep_decoded:
+                        decoded.append(back)
+                cols = [part.column(0).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(out_sha), pa.array(fixed, pa.int64())]
+                if keep_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
+                if keep_decoded:
+                    cols.append(pa.array(decoded, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
