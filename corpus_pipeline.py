@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with their digests."""
-    return sentencepiece_codec.encode(docs).drop("decoded")
+    return sentencepiece_codec.encode(docs, keep_decoded=False)
 
 
 STAGES = [
