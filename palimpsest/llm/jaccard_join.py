@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import components
+from .graph import joined
 
 WORDS, PERCENT = 5, 80
 GROUPS, LEAF, CHUNK = 32, 16, 512
@@ -36,6 +36,8 @@ ORDER_SHARE, FREQUENT = 8, 4
 ORDER_LIST, BROADCAST_IDS = 4_000_000, 2_000_000
 #: Contraction ends when fewer than one in so many of the pairs that its bound left were links.
 FEW = 10
+#: Rows of shards with one least member that meet in one task; more are dealt by shard.
+HOME_ROWS = 2_048
 _MUL = np.random.default_rng(11).integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,6 +60,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.n
     return out
 
 
+def class_of(items: bytes) -> int:
+    """The signed 64-bit hash of a set."""
+    c = xxhash.xxh3_64_intdigest(items)
+    return c - (c >> 63 << 64)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -129,7 +137,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
                 u, c = np.unique(s, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    counted = some.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
+    counted = some.select("doc_id", "text").mapInArrow(common.task(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
     counted = common.written(counted)
     few = counted.count() <= ORDER_LIST
     got = (counted if few else counted.orderBy(F.desc("c"), "h").limit(ORDER_LIST)).select("h").toArrow()["h"].to_numpy()
@@ -147,8 +155,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
             for part in common.slices(batch):
                 n, cls, keys, vecs, fine = [], [], [], [], []
                 for s in shingles(*common.buffers(part.column(1)), k):
-                    c = xxhash.xxh3_64_intdigest(s.tobytes())
-                    c -= c >> 63 << 64
+                    c = class_of(s.tobytes())
                     n.append(len(s))
                     cls.append(c)
                     if not len(s) or c in seen:
@@ -169,7 +176,7 @@ def signatures(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
                         keys.append(s[:p].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vecs, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "cls", "keys", "vec", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, vec binary, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), "doc_id long, n long, cls long, keys array<long>, vec binary, fine binary")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -178,11 +185,12 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
-                rows = shingles(*common.buffers(part.column(1)), k)
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([s.tobytes() for s in rows], pa.binary())], names=["cls", "items"])
+                rows = [s.tobytes() for s in shingles(*common.buffers(part.column(1)), k)]
+                own = pa.array([class_of(s) == c for s, c in zip(rows, part.column(2).to_pylist(), strict=True)], pa.bool_())  # of one doc_id other texts too
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(rows, pa.binary())], names=["cls", "items"]).filter(own)
 
     few = reps.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(run, "cls long, items binary")
+    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("doc_id", "text", "cls").mapInArrow(common.task(run), "cls long, items binary")
 
 
 def _fine_bound(x, xo, n, y, yo, m, i, j, percent: int, step: int = 1 << 21) -> np.ndarray:
@@ -220,7 +228,7 @@ def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
 
     x = vecs.select(F.col("cls").alias("a"), F.col("fine").alias("x"), F.col("n"))
     y = vecs.select(F.col("cls").alias("b"), F.col("fine").alias("y"), F.col("n").alias("m"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(common.task(run), "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -249,7 +257,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percen
     items = sets.select("cls", "items")
     x = items.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     y = items.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.task(run), "a long, b long")
 
 
 def _pairs_within(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +297,8 @@ def _search_shards(key, p, q, i, cls, comp, n, vecs, percent) -> tuple[np.ndarra
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components within a shard that neither the shard's tree nor the fine bound excludes.
 
-    rows: key, cls, n, comp, vec, fine, c (chunks of the shard), home (least hash of its members).
+    rows: key, cls, n, comp, vec, fine, c (chunks of the shard), home (by the least hash of its members, and of the shard where
+    many shards have that least member).
     """
     cut = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))))
     cut = cut.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cls", "comp", "n", "vec", "fine", "home")
@@ -328,11 +337,16 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield found(held)
 
-    return cut.mapInArrow(run, "a long, b long").distinct()
+    return cut.mapInArrow(common.task(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, contractions: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document."""
+    """doc_id, n_shingles, component_id: one row per document.
+
+    Null and blank texts, an empty table: see the module. Of rows with one doc_id and different texts each row is placed by its own
+    set, and a component's id is the smallest doc_id of its rows. Rows without doc_id join their equals; a class of such rows alone
+    links with nothing else and its component_id is null.
+    """
     spark = docs.sparkSession
     base = common.written(signatures(docs, k, percent))
     classes = base.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -344,7 +358,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
     members = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("t"))
     several = members.filter("lo < hi").groupBy("s", "t", "lo", "hi").agg(F.min("key").alias("key")).select("key")
     multi = common.written(dealt.join(several, "key"))
-    edges, open_ = None, multi.withColumn("comp", F.col("cls")).withColumn("members", F.lit(0).cast("long"))
+    comp, open_ = None, multi.withColumn("comp", F.col("cls")).withColumn("members", F.lit(0).cast("long"))
     for turn in range(contractions):
         # other anchors at each turn; a class asks for the three anchors that most of its shards have, of those it is not yet linked with
         best = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("s"), F.col("cls").alias("anchor"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x")
@@ -356,17 +370,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, con
         bounded = common.written(_bounded(pairs, vecs, percent))
         asked_pairs = bounded.count()
         found = common.written(_verified(docs, bounded, reps, k, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        comp = common.written(components(edges))
+        comp = joined(comp, found)
         labelled = multi.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min(F.xxhash64("cls")).alias("home")).filter("lo < hi").select("key", "members", "home")
+        full = mixed.groupBy("home").agg(F.ceil(F.sum("members") / HOME_ROWS).alias("deals"))
+        mixed = mixed.join(full, "home").withColumn("home", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("deals")))).drop("deals")
         open_ = common.written(labelled.join(mixed, "key"))
         if turn and found.count() * FEW < asked_pairs:  # further turns would link little
             break
     rows = open_.join(vecs.drop("n"), "cls").withColumn("c", F.ceil(F.col("members") / CHUNK).cast("long"))
     left = common.written(_searched(rows.select("key", "cls", "n", "comp", "vec", "fine", "c", "home"), percent))
-    edges = edges.unionByName(_verified(docs, left, reps, k, percent))
-    comp = components(edges)
+    comp = joined(comp, _verified(docs, left, reps, k, percent))
     named = common.written(classes.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     where = common.written(named.join(least, "root").select("cls", "component_id"))
