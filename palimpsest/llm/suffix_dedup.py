@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,7 +93,7 @@ def segments(docs: DataFrame) -> DataFrame:
                     cols = [fp.view(np.int64), sh.view(np.int64), ids[doc + base], (lo - offsets[doc] + start), hi - lo + LENGTH, a - lo]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["fp", "sh", "doc_id", "lo", "n", "o"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "fp long, sh long, doc_id long, lo long, n long, o long")
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(common.task(run), "fp long, sh long, doc_id long, lo long, n long, o long")
 
 
 class RunIndex:
@@ -105,11 +105,12 @@ class RunIndex:
         self.first = np.zeros(self.n, bool)
         self.first[offsets[:-1]] = True
         self.c = common.prefix_hash(data)
-        self.sa = self._suffixes(data)
-        before = np.where(self.first[self.sa], 256 + np.arange(self.n), np.append(data, np.uint8(0))[self.sa - 1].astype(np.int64))
+        sa = self._suffixes(data)
+        before = np.where(self.first[sa], 256 + np.arange(self.n), np.append(data, np.uint8(0))[sa - 1].astype(np.int64))
         cut = before[1:] != before[:-1]
         self.heads = np.flatnonzero(np.concatenate(([True], cut)))  # first rank of each run
-        self.tails = np.append(self.heads[1:], self.n) - 1
+        # samples at run ends: all that stays of the suffix array. A head's neighbour is the tail before it, a tail's the head after it
+        self.at_heads, self.at_tails = sa[self.heads], sa[np.append(self.heads[1:], self.n) - 1]
 
     def _suffixes(self, data: np.ndarray) -> np.ndarray:
         n, k = self.n, 7
@@ -143,10 +144,9 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For each byte the length (exact below `need`, else at least that) of its suffix's longest match that starts elsewhere."""
         out = np.zeros(self.n, np.int64)
-        for at, other in ((self.heads[self.heads > 0], -1), (self.tails[self.tails < self.n - 1], 1)):
-            x = self.sa[at]
+        for x, y in ((self.at_heads[1:], self.at_tails[:-1]), (self.at_tails[:-1], self.at_heads[1:])):
             reach = np.zeros(self.n, np.int64)
-            reach[x] = x + self._common(x, self.sa[at + other])
+            reach[x] = x + self._common(x, y)
             # a piece's first suffix is sampled unless it has no neighbour; it carries on nothing of the piece before
             reach = np.maximum.accumulate(np.maximum(reach, np.where(self.first, np.arange(self.n), 0)))
             out = np.maximum(out, reach - np.arange(self.n))
@@ -219,7 +219,7 @@ def _indexed(pieces: DataFrame) -> DataFrame:
         if held:
             yield from cut(True)
 
-    return dealt.mapInArrow(run, COVER)
+    return dealt.mapInArrow(common.task(run), COVER)
 
 
 def _hashed(pieces: DataFrame) -> DataFrame:
@@ -258,18 +258,23 @@ def _hashed(pieces: DataFrame) -> DataFrame:
         own, a, b = _ranges(p[keep], doc[keep])
         return pa.Table.from_batches([_covers(own, a, b)])
 
-    return pieces.mapInArrow(pack, kind).groupBy("fp", "half", "part").applyInArrow(compare, COVER)
+    return pieces.mapInArrow(common.task(pack), kind).groupBy("fp", "half", "part").applyInArrow(compare, COVER)
 
 
 def covers(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b): byte ranges that repeated windows cover, possibly overlapping."""
-    by_fp, by_seg = Window.partitionBy("fp"), Window.partitionBy("fp", "sh")
-    seg = segments(docs).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    seg = seg.withColumn("cnt", F.count("*").over(by_seg)).withColumn("rn", F.row_number().over(by_seg.orderBy("doc_id", "lo")))
-    seg = seg.withColumn("all", F.count("*").over(by_fp)).withColumn("kinds", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(by_fp))
-    seen = common.written(seg.filter("all > 1").select("fp", "doc_id", "lo", "n", "o", "cnt", "rn", "kinds"))
-    whole = seen.filter("cnt > 1").select("doc_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    wanted = seen.filter("kinds > 1 and rn = 1").withColumn("hot", F.col("kinds") > HOT).withColumn("parts", F.ceil(F.col("kinds") * 70 / 1_000_000).cast("long"))
+    seg = common.written(segments(docs))
+    # counts are combined before a shuffle, and joins of written tables leave AQE free to split a hot anchor
+    several = F.min("sh") < F.max("sh")
+    fps = seg.groupBy("fp").agg(F.count("*").alias("all"), several.alias("several")).filter("all > 1").select("fp", "several")
+    seen = common.written(seg.join(fps, "fp"))
+    alike = seen.filter("not several")  # all segments of the anchor are equal
+    mixed = seen.filter("several")
+    kinds = common.written(mixed.groupBy("fp", "sh").agg(F.count("*").alias("cnt"), *(F.first(c).alias(c) for c in ("doc_id", "lo", "n", "o"))))
+    again = mixed.join(kinds.filter("cnt > 1").select("fp", "sh"), ["fp", "sh"], "left_semi")
+    whole = alike.unionByName(again).select("doc_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
+    number = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
+    wanted = kinds.join(number, "fp").withColumn("hot", F.col("kinds") > HOT).withColumn("parts", F.ceil(F.col("kinds") * 70 / 1_000_000).cast("long"))
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "cnt", "lo", "n", "o", "hot", "parts")).alias("w"))
 
     def clip(batches):
@@ -279,7 +284,7 @@ def covers(docs: DataFrame) -> DataFrame:
                 k = len(w)
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in w], t) for c, t in (("fp", pa.int64()), ("cnt", pa.int64()))] + [pa.array([batch.column(0)[i].as_py()] * k, pa.int64()), pa.array([x["lo"] for x in w], pa.int64()), pa.array([x["o"] for x in w], pa.int64()), pa.array([x["hot"] for x in w]), pa.array([x["parts"] for x in w], pa.int64()), pa.array([raw[x["lo"] : x["lo"] + x["n"]] for x in w], pa.binary())], names=["fp", "cnt", "doc_id", "lo", "o", "hot", "parts", "piece"])
 
-    pieces = _with_text(docs, asked).mapInArrow(clip, "fp long, cnt long, doc_id long, lo long, o long, hot boolean, parts long, piece binary")
+    pieces = _with_text(docs, asked).mapInArrow(common.task(clip), "fp long, cnt long, doc_id long, lo long, o long, hot boolean, parts long, piece binary")
     pieces = common.written(pieces)
     return whole.unionByName(_indexed(pieces.filter("not hot"))).unionByName(_hashed(pieces.filter("hot")))
 
@@ -328,5 +333,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         ids = F.broadcast(found.select("doc_id"))
         hit = own.join(ids, "doc_id", "left_semi").join(found, "doc_id", "left")
         free = own.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-        return hit.select("doc_id", "text", "spans").mapInArrow(run, schema).unionByName(free.select("doc_id", "text", "spans").mapInArrow(run, schema))
-    return own.join(found, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+        return hit.select("doc_id", "text", "spans").mapInArrow(common.task(run), schema).unionByName(free.select("doc_id", "text", "spans").mapInArrow(common.task(run), schema))
+    return own.join(found, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.task(run), schema)
