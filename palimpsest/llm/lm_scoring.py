@@ -7,9 +7,12 @@ learning documents. STEPS steps of Adam on about FIT_DOCS of them give common we
 trains on all its learning documents, each id once, and the weights are averaged by ids. Scoring cuts a text's ids into strides of STRIDE; each stride sees itself and the stride
 before it, so windows of 2 * STRIDE overlap by half and every id is scored once, in batched masked attention.
 
-Unigram part: counts of all words of all learning documents. Documents are dealt into blocks of about BLOCK_BYTES; a block sends
-its distinct words (64-bit hashes) with their learning counts, the sums come back to it only for words that other blocks have
-too, so what travels is in proportion to distinct words per block and no vocabulary is gathered anywhere.
+Texts are read, hashed and encoded once: a scan turns them into blocks of about BLOCK_BYTES, which hold their distinct words with
+learning counts and subword ids, and each text as numbers of words. Training and scoring work on blocks alone.
+
+Unigram part: counts of all words of all learning documents. A block sends its distinct words (64-bit hashes) with their learning
+counts, the sums come back to it only for words that other blocks have too, so what travels is in proportion to distinct words per
+block and no vocabulary is gathered anywhere.
 
 Null and empty texts are one end token. Repeated rows are scored each. Extra columns are ignored.
 """
@@ -27,22 +30,28 @@ from pyspark.sql import functions as F
 from . import common
 from .sentencepiece_codec import MARK, codec, model_path
 
-FIT_DOCS, BLOCK_BYTES = 1_500, 6 << 20
+FIT_DOCS, BLOCK_BYTES = 1_500, 4 << 20
 STRIDE, DIM, BASE = 16, 16, 32
 STEPS, BATCH = 1_000, 64
 #: Of the training of partitions: sequences in a step, rate, and groups that sum weights before the driver does.
-PART_BATCH, PART_RATE, GROUPS = 128, 0.002, 16
+PART_BATCH, PART_RATE, GROUPS = 1_024, 0.005, 16
+#: Sequences whose gradients are made at once, and logits from which a row's maximum is taken off (exp of a float32 holds up to 88).
+CHUNK, TALL = 128, 80
 _LOG10 = float(np.log(10))
 
 
-def summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """rows added up at their places, in the shape of `like`."""
-    out = np.zeros_like(like)
-    order = np.argsort(at, kind="stable")
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to `out` at their places, several to one where they meet."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # places are under BASE**3
     x = at[order]
     cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    out[x[cuts]] = np.add.reduceat(rows[order], cuts, axis=0)
-    return out
+    out[x[cuts]] += np.add.reduceat(rows[order], cuts)
+
+
+def lowered(z: np.ndarray) -> None:
+    """Takes the maximum of each row off logits that exp would not hold."""
+    if z.max() > TALL:
+        z -= z.max(axis=-1, keepdims=True)
 
 
 class Model:
@@ -72,46 +81,78 @@ class Model:
         """Rows of the three bias tables for digits d (n x 3)."""
         return [np.zeros(len(d), np.int64), d[:, 0], d[:, 0] * BASE + d[:, 1]]
 
+    def zeros(self) -> dict[str, np.ndarray]:
+        return {k: np.zeros_like(v) for k, v in self.w.items()}
+
     def train_step(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats and gradients for sequences ids -> target (batch x 2 STRIDE)."""
+        g = self.zeros()
+        loss = self.add_gradients(ids, target, g) / ids.size
+        return loss, {k: x / ids.size for k, x in g.items()}
+
+    def add_gradients(self, ids: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> float:
+        """Adds the gradients of the summed loss to g, and gives that loss."""
         w, (n, t) = self.w, ids.shape
+        m, scale = n * t, float(1 / np.sqrt(DIM))
+        ids, ones = ids.ravel(), np.ones(max(t, BASE), np.float32)
         x = w["e"][ids]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+        mats = np.concatenate((w["q"] * scale, w["k"], w["v"], w["x"]), axis=1)
+        y = (x @ mats).reshape(n, t, 4 * DIM)
+        q, k, v, u = (y[..., i * DIM : (i + 1) * DIM] for i in range(4))
         back = np.arange(t)[:, None] - np.arange(t)
         mask = back >= 0
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM)) + np.where(mask, w["r"][np.maximum(back, 0)], np.float32(-1e9))
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        c = a @ v
-        h = np.tanh(x @ w["x"] + c @ w["o"] + w["b"])
-        flat, d = h.reshape(-1, DIM), self.digits[target.ravel()]
-        g: dict[str, np.ndarray] = {}
-        dh, loss, m = np.zeros_like(flat), 0.0, n * t
-        for i, row in enumerate(self.context(d)):
-            z = flat @ w[f"w{i}"] + w[f"b{i}"][row]
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            loss -= np.log(p[np.arange(m), d[:, i]] + 1e-30).sum() / m
-            p[np.arange(m), d[:, i]] -= 1
-            p /= m
-            g[f"w{i}"] = flat.T @ p
-            g[f"b{i}"] = summed(row, p, w[f"b{i}"])
-            dh += p @ w[f"w{i}"].T
-        du = (dh * (1 - flat**2)).reshape(n, t, DIM)
-        sums = lambda u, y: np.tensordot(u, y, axes=([0, 1], [0, 1]))
-        g |= {"b": du.sum(axis=(0, 1)), "x": sums(x, du), "o": sums(c, du)}
-        dc, dx = du @ w["o"].T, du @ w["x"].T
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["r"] = np.bincount(back[mask], ds.sum(axis=0)[mask], 2 * STRIDE).astype(np.float32)
-        ds = ds / np.float32(np.sqrt(DIM))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, y in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = sums(x, y)
-            dx += y @ w[name].T
-        g["e"] = summed(ids.ravel(), dx.reshape(-1, DIM), w["e"])
-        return float(loss), g
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(mask, w["r"][np.maximum(back, 0)], np.float32(-1e9))
+        lowered(a)
+        np.exp(a, out=a)
+        a /= np.maximum(a.reshape(m, t) @ ones[:t], 1e-30).reshape(n, t, 1)
+        c = (a @ v).reshape(m, DIM)
+        h = c @ w["o"]
+        h += w["b"]
+        h += u.reshape(m, DIM)
+        np.tanh(h, out=h)
+        d = self.digits[target.ravel()]
+        row = self.context(d)
+        out = np.concatenate([w[f"w{i}"] for i in range(3)], axis=1)
+        p = h @ out
+        for i in range(3):
+            p[:, i * BASE : (i + 1) * BASE] += w[f"b{i}"][row[i]]
+        each = p.reshape(m, 3, BASE)
+        lowered(each)
+        np.exp(p, out=p)
+        each /= np.maximum(each @ ones[:BASE], 1e-30)[..., None]
+        real = np.arange(m)[:, None] * (3 * BASE) + np.arange(3) * BASE + d
+        flat = p.reshape(-1)
+        loss = -float(np.log(flat[real] + 1e-30).sum())
+        flat[real] -= 1
+        gw = h.T @ p
+        for i in range(3):
+            own = p[:, i * BASE : (i + 1) * BASE]
+            g[f"w{i}"] += gw[:, i * BASE : (i + 1) * BASE]
+            if i:
+                add_rows(g[f"b{i}"], row[i], own)
+            else:
+                g["b0"] += own.sum(axis=0)
+        du = p @ out.T
+        du *= 1 - h * h
+        g["b"] += du.sum(axis=0)
+        g["o"] += c.T @ du
+        dc = du @ w["o"].T
+        ds = dc.reshape(n, t, DIM) @ v.transpose(0, 2, 1)
+        ds -= (dc * c).sum(axis=1).reshape(n, t, 1)
+        ds *= a
+        g["r"] += np.bincount(back[mask], ds.sum(axis=0)[mask], 2 * STRIDE).astype(np.float32)
+        dy = np.empty((n, t, 4 * DIM), x.dtype)
+        dy[..., :DIM] = ds @ k
+        dy[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
+        dy[..., 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dc.reshape(n, t, DIM)
+        dy[..., 3 * DIM :] = du.reshape(n, t, DIM)
+        dy = dy.reshape(m, 4 * DIM)
+        gm = x.T @ dy
+        for i, name in enumerate("qkvx"):
+            g[name] += gm[:, i * DIM : (i + 1) * DIM] * (scale if name == "q" else 1)
+        add_rows(g["e"], ids, dy @ mats.T)
+        return loss
 
     def train(self, docs: list[np.ndarray], steps: int = STEPS, counts: np.ndarray | None = None) -> list[float]:
         """docs: ids of each document without start and end; counts: of all ids, else those of docs. Returns the loss of every step."""
@@ -134,8 +175,7 @@ class Model:
         self.kv = np.concatenate([w["e"] @ w["q"] / np.float32(np.sqrt(DIM)), w["e"] @ w["k"], w["e"] @ w["v"] @ w["o"], w["e"] @ w["x"] + w["b"]], axis=1)
         bound = max(float(np.abs(w[f"w{i}"]).sum(axis=0).max() + w[f"b{i}"].max()) for i in range(3))
         reach = float(np.linalg.norm(self.kv[:, :DIM], axis=1).max() * np.linalg.norm(self.kv[:, DIM : 2 * DIM], axis=1).max() + np.abs(w["r"]).max())
-        if max(bound, reach) > 80:  # exp of a float32 holds up to 88
-            raise OverflowError("trained weights are too large to score without rescaling")
+        self.tall = max(bound, reach) > TALL  # then scoring takes off each row's maximum
         back = np.arange(STRIDE, 2 * STRIDE)[:, None] - np.arange(2 * STRIDE)
         self.rel = np.where(back >= 0, w["r"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
         first = self.rel.copy()
@@ -166,7 +206,9 @@ class Model:
             keys, vals = np.concatenate((k[:-1], k[1:]), axis=1), np.concatenate((v[:-1], v[1:]), axis=1)
             s = q[1:] @ keys.transpose(0, 2, 1)
             s += np.where(first[lo:hi, None, None], self.rel_first, self.rel)
-            np.exp(s, out=s)  # scores and logits stay small after training, freeze() sees to it
+            if self.tall:
+                s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)  # scores and logits stay small after most trainings
             c = s @ vals
             c /= (s.reshape(-1, 2 * STRIDE) @ ones[: 2 * STRIDE]).reshape(*s.shape[:2], 1)
             c += u[1:]
@@ -180,6 +222,8 @@ class Model:
             for i, row in enumerate(self.context(d)):
                 z = h @ self.w[f"w{i}"]
                 z += self.w[f"b{i}"][row]
+                if self.tall:
+                    z -= z.max(axis=1, keepdims=True)
                 logp += z[np.arange(len(z)), d[:, i]]
                 np.exp(z, out=z)
                 logp -= np.log(z @ ones[:BASE])
@@ -192,18 +236,28 @@ class Adam:
 
     def __init__(self, model: Model):
         self.model, self.n = model, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.w.items()}
-        self.u = {k: np.zeros_like(v) for k, v in model.w.items()}
+        self.m, self.u, self.g = model.zeros(), model.zeros(), model.zeros()
 
     def step(self, ids: np.ndarray, target: np.ndarray, rate: float) -> float:
+        """One step on all sequences; gradients are added up chunk by chunk, so that a chunk's arrays stay in cache."""
         self.n += 1
         w, m, u = self.model.w, self.m, self.u
-        loss, g = self.model.train_step(ids, target)
-        fix = np.float32(rate / (1 - 0.9**self.n))
-        for k, x in g.items():
-            m[k] += np.float32(0.1) * (x - m[k])
-            u[k] += np.float32(0.01) * (x * x - u[k])
-            w[k] -= fix * m[k] / (np.sqrt(u[k] / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
+        loss = sum(self.model.add_gradients(ids[i : i + CHUNK], target[i : i + CHUNK], self.g) for i in range(0, len(ids), CHUNK)) / ids.size
+        fix, fair = rate / (1 - 0.9**self.n), float(1 / (1 - 0.99**self.n))
+        for k, x in self.g.items():
+            x /= ids.size
+            m[k] += 0.1 * (x - m[k])
+            x *= x
+            x -= u[k]
+            x *= 0.01
+            u[k] += x
+            np.multiply(u[k], fair, out=x)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            np.divide(m[k], x, out=x)
+            x *= fix
+            w[k] -= x
+            x[...] = 0
         return loss
 
     def epoch(self, stream: np.ndarray) -> int:
@@ -216,7 +270,7 @@ class Adam:
         if n % span:  # the rest, shorter than a sequence
             rest = stream[n - n % span :]
             self.step(rest[None, :-1], rest[None, 1:], PART_RATE * min(1, (self.n + 1) / 20) / PART_BATCH)
-        return n
+        return max(0, n)
 
 
 def _hashed(texts: pa.ChunkedArray):
@@ -229,55 +283,139 @@ def _hashed(texts: pa.ChunkedArray):
         yield data, a, b, common.span_hash(common.prefix_hash(data), a, b), at
 
 
-def encoded(learn: DataFrame, path: str) -> DataFrame:
-    """some, ids: of each step of texts the ids in 16 bits, a start and an end around every document."""
-    c = codec(path)
-    start, end = c.lib.bos_id(), c.lib.eos_id()
-    if c.lib.vocab_size() > BASE**3:
-        raise ValueError(f"over {BASE**3} subwords")
+def around(flat: np.ndarray, per: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Ids of documents end to end (per: the n + 1 offsets), a start and an end around every document."""
+    docs = len(per) - 1
+    x = np.empty(int(per[-1] - per[0]) + 2 * docs, np.int64)
+    x[per[:-1] - per[0] + 2 * np.arange(docs)] = start
+    x[per[1:] - per[0] + 2 * np.arange(docs) + 1] = end
+    x[np.arange(len(flat)) + np.repeat(2 * np.arange(docs) + 1, np.diff(per))] = flat
+    return x
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for data, a, b, h, at in _hashed(batch.column(0)):
-                _, first, inv = np.unique(h, return_index=True, return_inverse=True)
-                raw = data.tobytes()
-                flat, n = codec(path).merged_flat([MARK + raw[i:j].decode() for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)])
-                k = n[inv]
-                per = np.concatenate(([0], np.cumsum(k)))[at]
-                docs = len(at) - 1
-                x = np.empty(int(per[-1]) + 2 * docs, np.uint16)
-                x[per[:-1] + 2 * np.arange(docs)] = start
-                x[per[1:] + 2 * np.arange(docs) + 1] = end
-                x[np.arange(int(per[-1])) + np.repeat(2 * np.arange(docs) + 1, np.diff(per))] = flat[common.ragged((np.cumsum(n) - n)[inv], k)]
-                out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
-    return learn.select("text").mapInArrow(run, "ids binary")
+def _block(steps: list, path: str):
+    """Of hashed steps: documents' numbers of words, distinct words by first place (hashes), each word's number, ids by distinct word."""
+    h = np.concatenate([x[3] for x in steps])
+    lens = np.concatenate([np.diff(x[4]) for x in steps])
+    u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    number = np.empty(len(u), np.int64)
+    number[order] = np.arange(len(u))
+    names, done, first = [], 0, first[order]
+    for data, a, b, _, _ in steps:  # the distinct words' letters, where each first stands
+        mine = first[np.searchsorted(first, done) : np.searchsorted(first, done + len(a))] - done
+        raw = data.tobytes()
+        names += [raw[i:j].decode() for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)]
+        done += len(a)
+    flat, n = codec(path).merged_flat([MARK + w for w in names])
+    return lens, u[order], number[inv], flat, n
+
+
+def halves(x: np.ndarray) -> bytes:
+    """Numbers below 2**32: their lower 16 bits, then their upper ones, which compress to next to nothing where numbers are small."""
+    return x.astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
+
+
+def whole(x: pa.Scalar) -> np.ndarray:
+    low, high = np.frombuffer(x.as_buffer(), np.uint16).reshape(2, -1).astype(np.int64)
+    return low + (high << 16)
+
 
+BLOCK = "block long, doc_id array<long>, held array<boolean>, lens array<long>, word array<long>, c array<long>, inv binary, n binary, ids binary"
 
-def train(learn: DataFrame, path: str, share: float) -> Model:
-    """A model of all learning documents, from a start on about FIT_DOCS, those of the lowest hashes of doc_id."""
+
+def blocks(docs: DataFrame, path: str) -> DataFrame:
+    """The texts of docs (doc_id, text, held) as blocks of ids: a row for some BLOCK_BYTES of text, without a shuffle.
+
+    block, the documents' ids, folds and numbers of words; the block's distinct words (hashes) with their learning counts; for each
+    word of the texts the number of its distinct word; and each distinct word's number of subword ids and those ids.
+    """
+    if codec(path).lib.vocab_size() > BASE**3:
+        raise ValueError(f"over {BASE**3} subwords")
+
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        steps, ids, held, size = [], [], [], 0
+
+        def row():
+            lens, word, inv, flat, n = _block(steps, path)
+            order = np.argsort(-np.bincount(inv), kind="stable")  # frequent words get small numbers
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            flat = flat[common.ragged((np.cumsum(n) - n)[order], n[order])]
+            word, inv, n = word[order], number[inv], n[order]
+            held_out = pa.chunked_array(held).to_numpy()
+            c = np.bincount(inv, np.repeat(~held_out, lens), len(word)).astype(np.int64)
+            one = lambda x: pa.array([x])
+            cols = [one(part << 32 | made), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(ids)), one(held_out), one(lens), one(word.view(np.int64)), one(c)]
+            cols += [pa.array([x], pa.binary()) for x in (halves(inv), halves(n), flat.astype(np.uint16).tobytes())]
+            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BLOCK.split(", ")])
+
+        for batch in batches:
+            for piece in common.slices(batch):
+                got = list(_hashed(piece.column(1)))
+                steps += got
+                ids.append(piece.column(0).cast(pa.int64()))
+                held.append(piece.column(2))
+                size += sum(len(x[0]) for x in got)
+                if size >= BLOCK_BYTES:
+                    yield row()
+                    made += 1
+                    steps, ids, held, size = [], [], [], 0
+        if steps:
+            yield row()
+
+    return docs.select("doc_id", "text", "held").mapInArrow(common.task(run), BLOCK)
+
+
+def _unpacked(t: pa.RecordBatch | pa.Table, i: int):
+    """Of row i: numbers of words, number of each word's distinct word, ids of distinct words end to end, and how many each has."""
+    lens = t["lens"][i].values.to_numpy(zero_copy_only=False)
+    return lens, whole(t["inv"][i]), np.frombuffer(t["ids"][i].as_buffer(), np.uint16).astype(np.int64), whole(t["n"][i])
+
+
+def _learning(batches, start: int, end: int):
+    """The ids of each block's learning documents, a start and an end around each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lens, inv, flat, n = _unpacked(batch, i)
+            own = ~batch["held"][i].values.to_numpy(zero_copy_only=False)
+            w = inv[np.repeat(own, lens)]
+            k = n[w]
+            per = np.concatenate(([0], np.cumsum(k)))[np.concatenate(([0], np.cumsum(lens[own])))]
+            if own.any():
+                yield around(flat[common.ragged((np.cumsum(n) - n)[w], k)], per, start, end)
+
+
+def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = None) -> Model:
+    """A model of all learning documents, from a start on about FIT_DOCS, those of the lowest hashes of doc_id.
+
+    made: blocks that hold them, where these are there already.
+    """
     c = codec(path)
-    vocab, start = c.lib.vocab_size(), c.lib.bos_id()
-    streams = common.written(encoded(learn, path))
+    vocab, start, end = c.lib.vocab_size(), c.lib.bos_id(), c.lib.eos_id()
+    made = common.written(blocks(learn.withColumn("held", F.lit(False)), path)) if made is None else made
 
     def count(batches):
         n = np.zeros(vocab, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=vocab)
+            for i in range(batch.num_rows):
+                own = ~batch["held"][i].values.to_numpy(zero_copy_only=False)
+                by_word = np.repeat(batch["c"][i].values.to_numpy(), whole(batch["n"][i]))
+                n += np.bincount(np.frombuffer(batch["ids"][i].as_buffer(), np.uint16), by_word, vocab).astype(np.int64)
+                n[start] += own.sum()
+                n[end] += own.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocab)), pa.array(n)], names=["id", "n"])
 
-    counted = streams.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
+    counted = made.select("held", "c", "n", "ids").mapInArrow(common.task(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
     counts = np.zeros(vocab)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
-    some = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     docs = []
-    for x in encoded(some, path).toArrow()["ids"].to_pylist():
-        x = np.frombuffer(x, np.uint16).astype(np.int64)
+    for x in _sample(some, path, start, end).toArrow()["ids"].to_pylist():
+        x = np.frombuffer(x, np.int64)
         docs += [d[1:-1] for d in np.split(x, np.flatnonzero(x == start)[1:])]
-    m = Model(vocab, start, c.lib.eos_id())
+    m = Model(vocab, start, end)
     m.train(sorted(docs, key=lambda x: (len(x), x.tobytes())), counts=counts)
     names = sorted(m.w)
     sent = learn.sparkSession.sparkContext.broadcast(m)
@@ -285,9 +423,8 @@ def train(learn: DataFrame, path: str, share: float) -> Model:
     def learnt(batches):
         own = pickle.loads(pickle.dumps(sent.value))
         adam, n = Adam(own), 0
-        for batch in batches:
-            for x in batch.column(0):
-                n += adam.epoch(np.frombuffer(x.as_py(), np.uint16).astype(np.int64))
+        for stream in _learning(batches, start, end):
+            n += adam.epoch(stream)
         if n:
             flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "w"])
@@ -296,7 +433,8 @@ def train(learn: DataFrame, path: str, share: float) -> Model:
         w = sum(np.frombuffer(x.as_py(), np.float64) for x in t["w"])
         return pa.table({"n": pa.array([sum(t["n"].to_pylist())]), "w": pa.array([w.tobytes()], pa.binary())})
 
-    parts = streams.mapInArrow(learnt, "part long, n long, w binary").groupBy("part").applyInArrow(total, "n long, w binary").collect()  # GROUPS rows at most
+    parts = made.select("held", "lens", "inv", "n", "ids").mapInArrow(common.task(learnt), "part long, n long, w binary").groupBy("part").applyInArrow(total, "n long, w binary").collect()  # GROUPS rows at most
+    sent.destroy()
     if parts:
         flat, lo = sum(np.frombuffer(r.w, np.float64) for r in parts) / sum(r.n for r in parts), 0
         for k in names:
@@ -306,72 +444,53 @@ def train(learn: DataFrame, path: str, share: float) -> Model:
     return m
 
 
+def _sample(texts: DataFrame, path: str, start: int, end: int) -> DataFrame:
+    """ids: of each step of texts the 64-bit ids, a start and an end around every document."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in common.slices(batch):
+                lens, _, inv, flat, n = _block(list(_hashed(piece.column(0))), path)
+                k = n[inv]
+                per = np.concatenate(([0], np.cumsum(k)))[np.concatenate(([0], np.cumsum(lens)))]
+                x = around(flat[common.ragged((np.cumsum(n) - n)[inv], k)], per, start, end)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"])
+
+    return texts.mapInArrow(common.task(run), "ids binary")
+
+
 def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns outside the held-out fold, scores all."""
     path = path or model_path()
     spark = docs.sparkSession
-    held = F.coalesce(common.bucket_of(F.col("doc_id"), 5) == 1, F.lit(False))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    blocks = common.partitions(spark, size.b or 0, BLOCK_BYTES)
-    model = train(docs.select("doc_id", "text").filter(~held), path, min(1.0, FIT_DOCS * 1.25 / max(1, size.n)))
+    own = docs.select("doc_id", "text", F.coalesce(common.bucket_of(F.col("doc_id"), 5) == 1, F.lit(False)).alias("held"))
+    made = common.written(blocks(own, path))
+    size = made.agg(F.sum(F.octet_length("inv") + F.octet_length("ids")).alias("b"), F.sum(F.size("lens")).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
+    model = train(own.filter("not held").select("doc_id", "text"), path, min(1.0, FIT_DOCS * 1.25 / max(1, size.n or 0)), made)
     sent = spark.sparkContext.broadcast(model)
-    own = docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(blocks)).cast("int").alias("block"))
-
-    def dictionary(t: pa.Table) -> pa.Table:
-        train = ~t["held_out"].to_numpy()
-        found, counts, done = [], [], 0
-        for _, _, _, h, at in _hashed(t["text"]):
-            n = len(at) - 1
-            w = np.repeat(train[done : done + n], np.diff(at))
-            u, inv = np.unique(h, return_inverse=True)
-            found.append(u)
-            counts.append(np.bincount(inv, w, len(u)))
-            done += n
-        u, inv = np.unique(np.concatenate(found), return_inverse=True)
-        c = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(u), t["block"][0].as_py(), np.int32)), "word": pa.array(u.view(np.int64)), "c": pa.array(c)})
-
-    words = common.written(own.select("text", "held_out", "block").groupBy("block").applyInArrow(dictionary, "block int, word long, c long"))
-    dealt = words.repartition(blocks, "word")
+    words = made.select("block", F.explode(F.arrays_zip("word", "c")).alias("x")).select("block", "x.word", "x.c")
+    dealt = words.repartition(common.partitions(spark, size.b or 0, BLOCK_BYTES), "word")
     by_word = Window.partitionBy("word")
     back = dealt.select("block", "word", "c", F.sum("c").over(by_word).alias("all")).filter(F.col("all") > F.col("c")).select("block", "word", "all")
     total = words.groupBy("word").agg(F.sum("c").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_train, v_train = int(total.n), int(total.v)
-    # the end token: one of each learning document
-    ends = docs.select(held.alias("held_out")).filter(~F.col("held_out")).count()
-    n_train, v_train = n_train + ends, v_train + (ends > 0)
+    ends = int(size.ends or 0)  # the end token: one of each learning document
+    n_train, v_train = int(total.n) + ends, int(total.v) + (ends > 0)
 
     def score(t: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = sent.value
-        train = ~t["held_out"].to_numpy()
-        steps = list(_hashed(t["text"]))
-        h = np.concatenate([x[3] for x in steps]) if steps else np.zeros(0, np.uint64)
-        lens = np.concatenate([np.diff(x[4]) for x in steps]) if steps else np.zeros(0, np.int64)
-        u, inv = np.unique(h, return_inverse=True)
-        first = np.empty(len(u), np.int64)
-        first[inv[::-1]] = np.arange(len(inv))[::-1]  # of several places the first is written last
-        c = np.bincount(inv, np.repeat(train, lens), len(u))
-        kw = known["word"].to_numpy().view(np.uint64)
-        if len(kw) and len(u):
-            at = np.searchsorted(u, kw)
-            c[at] = known["all"].to_numpy()
+        lens, word, flat, n_ids = _unpacked(t, 0)
+        c = t["c"][0].values.to_numpy().copy()
+        kw = known["word"].to_numpy()
+        if len(kw):
+            u = t["word"][0].values.to_numpy()
+            order = np.argsort(u, kind="stable")
+            c[order[np.searchsorted(u[order], kw)]] = known["all"].to_numpy()
         log = np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1)))
         end = np.log10((ends + 0.5) / (n_train + 0.5 * (v_train + 1)))
         doc = np.repeat(np.arange(len(lens)), lens)
-        base = np.bincount(doc, log[inv], len(lens)) + end
-        n_known = np.bincount(doc, c[inv] > 0, len(lens)).astype(np.int64) + (ends > 0)
-        names, done = [], 0
-        order = np.sort(first)
-        for data, a, b, _, _ in steps:  # the distinct words' letters, where each first stands
-            mine = order[np.searchsorted(order, done) : np.searchsorted(order, done + len(a))] - done
-            raw = data.tobytes()
-            names += [raw[i:j].decode() for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)]
-            done += len(a)
-        flat, n_ids = codec(path).merged_flat([MARK + w for w in names])
+        base = np.bincount(doc, log[word], len(lens)) + end
+        n_known = np.bincount(doc, c[word] > 0, len(lens)).astype(np.int64) + (ends > 0)
         starts = np.cumsum(n_ids) - n_ids
-        number = np.empty(len(u), np.int64)
-        number[np.argsort(first, kind="stable")] = np.arange(len(u))
-        word = number[inv]
         out = np.empty(len(lens))
         ends_of = np.cumsum(lens)
         lo = 0
@@ -382,7 +501,7 @@ def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
             per = np.concatenate(([0], np.cumsum(k)))[np.concatenate(([0], np.cumsum(lens[lo:hi])))]
             out[lo:hi] = m.score(flat[common.ragged(starts[w], k)], per)
             lo = hi
-        return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "held_out": t["held_out"], "n_tokens": pa.array(lens + 1), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(lens), n_train)), "base_score": pa.array(base), "score": pa.array(out)})
+        return pa.table({"doc_id": t["doc_id"][0].values, "held_out": t["held"][0].values, "n_tokens": pa.array(lens + 1), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(lens), n_train)), "base_score": pa.array(base), "score": pa.array(out)})
 
-    pairs = own.groupBy("block").cogroup(back.groupBy("block"))
+    pairs = made.groupBy("block").cogroup(back.groupBy("block"))
     return pairs.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
