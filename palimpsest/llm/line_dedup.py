@@ -1,11 +1,12 @@
 """Line dedup: sharded cuckoo filters over exact reference counts, kept reversible.
 
-State of a `LineStore` is one exact table of references, a row (k1, k2, doc_id) for each document and distinct line key (the
+State of a `LineStore` is an exact table of references, a row (k1, k2, doc_id) for each document and distinct line key (the
 128-bit hash of the key). Reference counts and first holders are aggregates of it, so a key that most documents hold is counted
 map-side first. Keys held by two documents or more go into cuckoo filters, one per shard of keys; shards grow in number with the
 keys. A scan asks the filters first and only lines that may be shared travel to the exact table, which decides. Filters are
 broadcast only while their measured size is below FILTER_BYTES; beyond it every eligible line travels, with the same result.
-Inserting documents appends references, deleting them removes theirs; the filters are then built anew from the table.
+Inserting documents appends their references, deleting them takes these away, and the filters of the shards that are touched take
+and give back the keys that cross two holders.
 
 Null and empty texts are one empty line. Keys under MIN_CHARS code points are never dropped. A key repeated within one document
 only is kept. Extra columns of the input are ignored by the report and kept by `deduplicated`. An empty table gives no rows.
@@ -147,7 +148,7 @@ def references(docs: DataFrame, filters: dict[int, tuple[bytes, list[int]]] | No
                     a, b, ids = a[hit], b[hit], ids.filter(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids], names=["k1", "k2", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long").filter("doc_id is not null")
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), "k1 long, k2 long, doc_id long").filter("doc_id is not null")
 
 
 def counts(refs: DataFrame) -> DataFrame:
@@ -155,6 +156,13 @@ def counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("refs")).filter("first_doc < last_doc")
 
 
+FILTER = "shard long, slots binary, fallback array<long>"
+
+
+def shard_of(n: int):
+    return F.expr(f"cast(pmod(shiftrightunsigned(k1, 44), {n}) as long)")
+
+
 def build_filters(shared: DataFrame, n_keys: int) -> DataFrame:
     """A packed cuckoo filter for each shard of the shared keys: shard, slots, fallback."""
     n = max(1, -(-n_keys // SHARD_KEYS))
@@ -166,8 +174,7 @@ def build_filters(shared: DataFrame, n_keys: int) -> DataFrame:
         slots, fallback = c.packed()
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "slots": pa.array([slots], pa.binary()), "fallback": pa.array([fallback], pa.list_(pa.int64()))})
 
-    shard = F.expr(f"cast(pmod(shiftrightunsigned(k1, 44), {n}) as long)")
-    return shared.select("k1", "k2", shard.alias("shard")).groupBy("shard").applyInArrow(build, "shard long, slots binary, fallback array<long>")
+    return shared.select("k1", "k2", shard_of(n).alias("shard")).groupBy("shard").applyInArrow(build, FILTER)
 
 
 def _spread(shared: DataFrame) -> dict[int, tuple[bytes, list[int]]] | None:
@@ -207,7 +214,7 @@ def line_report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([common.sha_hex(x[0].encode()) for x in got], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     d = docs.select("doc_id", "text")
-    return d.join(drops(docs), "doc_id", "left").select("doc_id", "text", "_k1s", "_k2s").mapInArrow(run, schema)
+    return d.join(drops(docs), "doc_id", "left").select("doc_id", "text", "_k1s", "_k2s").mapInArrow(common.task(run), schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -226,28 +233,90 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = [common.free_name(names, x) for x in ("doc", "k1s", "k2s")]
     lost = drops(docs).toDF(*own)
     joined = docs.join(lost, docs["doc_id"] == lost[own[0]], "left").select(*(docs[c] for c in names), *own[1:])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(common.task(run), schema)
 
 
 class LineStore:
-    """An incremental line index: references on disk, counts and filters by them. Every change gives a new store."""
+    """An incremental line index. Every change gives a new store; the old one stays as it was.
+
+    refs: written parts of references and, between them, of deleted documents, in the order of the changes. filters: the cuckoo
+    filters by shard. A change counts only the keys that it touches, before and after; keys that now have two holders, or no longer
+    have, are inserted into or deleted from the filters of their shards, and no other filter is rewritten. Documents that are
+    inserted again add nothing, unknown ones delete nothing. Where shared keys outgrow the shards, filters are built anew.
+    """
 
-    def __init__(self, refs: DataFrame):
-        self.refs = refs
+    def __init__(self, refs: DataFrame, filters: DataFrame | None = None, shards: int = 1):
+        self.refs, self.shards = refs, shards
+        self._filters = filters
 
     @classmethod
     def build(cls, docs: DataFrame) -> LineStore:
-        return cls(common.written(references(docs).distinct()))
+        store = cls(common.written(references(docs).distinct()))
+        store._build()
+        return store
+
+    def _build(self) -> None:
+        shared = common.written(self.shared())
+        n = shared.count()
+        self.shards = max(1, -(-n // SHARD_KEYS))
+        self._filters = common.written(build_filters(shared, n))
 
     def shared(self) -> DataFrame:
         return counts(self.refs)
 
     def filters(self) -> DataFrame:
-        shared = common.written(self.shared())
-        return build_filters(shared, shared.count())
+        """shard, slots, fallback of shards that hold a key."""
+        if self._filters is None:
+            self._build()
+        return self._filters.filter(F.expr("exists(sequence(1, length(slots)), i -> substring(slots, i, 1) <> x'00') or size(fallback) > 0"))
+
+    def _changed(self, refs: DataFrame, keys: DataFrame) -> LineStore:
+        """The store with other references, whose filters follow the keys (k1, k2) that were touched."""
+        if self._filters is None:
+            self._build()
+        keys = common.written(keys.select("k1", "k2").distinct())
+        had = counts(self.refs.join(keys, ["k1", "k2"], "left_semi")).select("k1", "k2", F.lit(-1).alias("by"))
+        has = counts(refs.join(keys, ["k1", "k2"], "left_semi")).select("k1", "k2", F.lit(1).alias("by"))
+        crossed = common.written(had.unionByName(has).groupBy("k1", "k2").agg(F.sum("by").alias("by")).filter("by <> 0").withColumn("shard", shard_of(self.shards)))
+        old = self._filters
+
+        def change(filters: pa.Table, keys: pa.Table) -> pa.Table:
+            k1, k2, by = (keys[x].to_numpy() for x in ("k1", "k2", "by"))
+            c = Cuckoo.unpacked(filters["slots"][0].as_py(), filters["fallback"][0].as_py()) if filters.num_rows else Cuckoo(max(1024, len(k1)))
+            c.delete(k1[by < 0], k2[by < 0])
+            c.insert(k1[by > 0], k2[by > 0])
+            slots, fallback = c.packed()
+            own = (filters if filters.num_rows else keys)["shard"][0].as_py()
+            return pa.table({"shard": pa.array([own], pa.int64()), "slots": pa.array([slots], pa.binary()), "fallback": pa.array([fallback], pa.list_(pa.int64()))})
+
+        touched = crossed.select("shard").distinct()
+        changed = old.join(touched, "shard", "left_semi").groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, FILTER)
+        filters = common.written(old.join(touched, "shard", "left_anti").select("shard", "slots", "fallback").unionByName(changed))
+        out = LineStore(refs, filters, self.shards)
+        full = filters.agg(F.max(F.size("fallback")).alias("x")).first().x
+        if (full or 0) > SHARD_KEYS // 8:  # the shards are outgrown
+            out._build()
+        return out
 
     def insert(self, docs: DataFrame) -> LineStore:
-        return LineStore(common.written(self.refs.unionByName(references(docs)).distinct()))
+        new = common.written(references(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti"))
+        return self._changed(self.refs.unionByName(new), new)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
-        return LineStore(common.written(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id")))
+        gone = common.written(doc_ids.select("doc_id").distinct())
+        lost = self.refs.join(gone, "doc_id", "left_semi")
+        return self._changed(self.refs.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), lost)
+
+    def compacted(self) -> LineStore:
+        """The same with its references in one written part, once many changes have gathered."""
+        return LineStore(common.written(self.refs), self._filters, self.shards)
+
+    def drops(self, docs: DataFrame) -> DataFrame:
+        """doc_id and the keys (k1s, k2s) that new documents (not yet in the store) lose: those that an earlier document holds.
+
+        The filters of shared keys cannot speak for keys with one holder, so what is asked of the references is all keys of docs.
+        """
+        new = references(docs).distinct()
+        held = self.refs.join(new.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").unionByName(new)
+        first = held.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"))
+        return new.join(first, ["k1", "k2"]).filter("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("k1").alias("k1s"), F.collect_list("k2").alias("k2s"))
