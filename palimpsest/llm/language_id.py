@@ -183,7 +183,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
                     keys, c = (np.concatenate(y) for y in zip(*got, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(common.task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = counted["lang"].to_numpy(zero_copy_only=False), counted["gram"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
     langs = sorted(set(lang))
     if not langs:
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
                     score, bits = np.where(lettered, post, 0.0), np.where(lettered, low, 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(list(pred), pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "lang_pred", "score", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), "doc_id long, lang_pred string, score double, bits double")
 
 
 def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -2,12 +2,13 @@
 
 HTML is parsed into an ordered array of segments, each a text run or a reference to a medium named by the digest of its payload,
 with its position and its caption (figcaption, else alt). References resolve by a join on the digest against a media table that
-holds each distinct payload once; the segments' order, positions and captions are untouched by it. Payloads are stored as the
+holds each digest once; the segments' order, positions and captions are untouched by it. Payloads are stored as the
 8-bit samples of a WAV file and read back by parsing that file.
 
 Null or empty HTML is an empty sequence; a reference whose digest is in no row of the media table keeps null payload columns.
-Equal payloads are stored once, whatever number of documents refers to them: the first holder is found by an aggregate over
-digests, so a payload that most documents share does not gather in one task. Extra columns are ignored.
+The store holds a payload for each document that refers to one; equal ones are folded by an aggregate over digests before the join,
+combined map-side, so a payload that most documents share does not gather in one task. A head that is never closed ends where
+content begins, a figcaption with its figure or page. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import io
 import struct
 import wave
 import zlib
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,6 +33,7 @@ SCHEME = "media:sha256/"
 #: Elements that end a text run, and those whose content is no text.
 BREAKS = frozenset("p div section article header footer main aside ul ol li table tr td th h1 h2 h3 h4 h5 h6 br hr blockquote pre figure".split())
 SILENT = frozenset("script style template noscript head".split())
+MEDIA = frozenset("img audio video source".split())
 SEGMENT = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 
 
@@ -41,7 +44,21 @@ class _Sequence(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.figure: list[int] = []
-        self.silent = 0
+        self.hidden: list[str] = []
+
+    @property
+    def silent(self) -> bool:
+        return bool(self.hidden)
+
+    def caption_ends(self) -> None:
+        """At its end tag, at its figure's, or at the page's."""
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        if not self.figure and said:  # of no medium: plain text
+            self.out.append({"kind": "text", "text": said, "digest": None, "caption": None})
+        for i in self.figure:
+            self.out[i]["caption"] = said or self.out[i]["caption"]
 
     def flush(self) -> None:
         run = " ".join("".join(self.text).split())
@@ -50,8 +67,10 @@ class _Sequence(HTMLParser):
             self.out.append({"kind": "text", "text": run, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and "head" in self.hidden and (tag == "body" or tag in BREAKS or tag in MEDIA):
+            self.hidden.remove("head")  # a head ends where content begins, closed or not
         if tag in SILENT:
-            self.silent += 1
+            self.hidden.append(tag)
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -59,7 +78,7 @@ class _Sequence(HTMLParser):
             self.flush()
             if tag == "figure":
                 self.figure = []
-        elif tag in ("img", "audio", "video", "source"):
+        elif tag in MEDIA:
             a = dict(attrs)
             src = a.get("src") or ""
             if src:
@@ -69,12 +88,13 @@ class _Sequence(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure:
-                self.out[i]["caption"] = said or self.out[i]["caption"]
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
+        elif tag == "figcaption":
+            self.caption_ends()
         elif tag in BREAKS:
+            if tag == "figure":
+                self.caption_ends()
             self.flush()
             if tag == "figure":
                 self.figure = []
@@ -91,6 +111,7 @@ def parse(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
+    p.caption_ends()
     p.flush()
     return [{"position": i, **x} for i, x in enumerate(p.out)]
 
@@ -105,13 +126,18 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], names=[key, "segments"])
 
     d = pages.select(key, html)
-    return d.mapInArrow(run, f"`{key}` {d.schema[key].dataType.simpleString()}, segments array<{SEGMENT}>")
+    return d.mapInArrow(common.task(run), f"`{key}` {d.schema[key].dataType.simpleString()}, segments array<{SEGMENT}>")
 
 
-def resolved(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """A row for each segment, media segments with the columns of their row of `media` (digest, ...), by one join on the digest."""
-    flat = seqs.select(key, F.explode("segments").alias("s")).select(key, "s.*")
-    return flat.join(media, "digest", "left")
+def resolved(seqs: DataFrame, media: DataFrame, key: str = "page_id", *more: str) -> DataFrame:
+    """A row for each segment, media segments with the columns of their row of `media` (digest, ...), by one join on the digest.
+
+    more: further columns of seqs that rows keep.
+    """
+    flat = seqs.select(key, *more, F.explode("segments").alias("s")).select(key, *more, "s.*")
+    named = flat.filter("digest is not null").join(media, "digest", "left")
+    rest = flat.filter("digest is null").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema if f.name != "digest"))
+    return named.unionByName(rest)  # text runs do not travel to the join
 
 
 def padded(text: bytes) -> bytes:
@@ -149,25 +175,30 @@ def media_table(docs: DataFrame) -> DataFrame:
                 pay = [padded(t.encode()) for t in common.texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in pay], pa.string()), pa.array([stored(p) for p in pay], pa.binary()), part.column(0)], names=["digest", "medium", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "digest string, medium binary, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), "digest string, medium binary, doc_id long")
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
-    """A page for each document that refers to its payload: the caption is the document's name and byte count."""
+    """A page for each document: its text, a paragraph a line, then a figure that refers to its payload; the caption is its byte count."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
                 raw = [t.encode() for t in common.texts(part.column(1))]
-                html = [f'<article><p>document</p><figure><img src="{SCHEME}{hashlib.sha256(padded(x)).hexdigest()}" alt="bytes"><figcaption>{len(x)}</figcaption></figure></article>' for x in raw]
+                said = ["".join(f"<p>{escape(line)}</p>" for line in x.decode().split("\n")) for x in raw]
+                html = [f'<article>{s}<figure><img src="{SCHEME}{hashlib.sha256(padded(x)).hexdigest()}" alt="bytes"><figcaption>{len(x)}</figcaption></figure></article>' for s, x in zip(said, raw, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(html, pa.string())], names=["doc_id", "html"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, html string")
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), "doc_id long, html string")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """One row per document: sizes and digests of its stored payload, read back through the join, and its feature."""
-    refs = sequences(pages_of(docs), "doc_id").select("doc_id", F.explode("segments").alias("s")).filter("s.kind = 'media'").select("doc_id", "s.digest", F.col("s.caption").cast("long").alias("n_bytes"), "s.position")
+    """One row per document: sizes and digests of its stored payload, read back through the join, and its feature.
+
+    Then the place of its reference among the segments of its page, and how many these are.
+    """
+    pages = sequences(pages_of(docs), "doc_id")
+    pages = pages.select("doc_id", F.filter("segments", lambda x: x["kind"] == "media").alias("segments"), F.size("segments").alias("n_segments"))
     every = common.written(media_table(docs))  # the store; what follows reads its bytes back
 
     def measure(batches):
@@ -180,7 +211,7 @@ def document_media(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    measured = every.select("digest", "medium").mapInArrow(measure, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    measured = every.select("digest", "medium").mapInArrow(common.task(measure), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     kept = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     once = measured.groupBy("digest").agg(*(F.min(c).alias(c) for c in kept))
-    return refs.join(once, "digest", "left").select("doc_id", "n_bytes", *kept)
+    return resolved(pages, once, "doc_id", "n_segments").select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *kept, "position", "n_segments")
