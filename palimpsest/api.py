@@ -15,10 +15,11 @@ from palimpsest.errors import InvalidRequest, RetrievalError
 from palimpsest.functions import text as X
 from palimpsest.operators import decisions as D
 from palimpsest.operators import denoise, index, queue, retrieval, summaries, tree
-from palimpsest.sources.tables import Warehouse, checkpointed, next_ids
+from palimpsest.operators.cluster import decision_clusters
+from palimpsest.sources.tables import SCHEMAS, Warehouse, checkpointed, next_ids
 
 MEMORY_TYPES = ("episodic", "knowledge", "user", "decision")
-DIMS, INDEXES = 64, 16
+DIMS, INDEXES, ROUTES = 64, 16, 200
 HINT = "Answer from the context; prefer decisions that are active, and say so where the context does not tell."
 _DOC = "topics_root array<string>, memory array<struct<topics_branch:array<string>,user:array<string>,fact:array<string>,epis:array<string>,decision:array<string>>>"
 
@@ -37,7 +38,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, extractor: models.Extractor = models.rule_extractor, embedder: models.Embedder = models.hashed_embeddings, reranker: models.Reranker = models.keep_order, judge: models.DecisionJudge = models.newest_is_active, summarizer: models.Summarizer = models.first_sentences, planner: models.TreePlanner = models.no_changes):
         self.spark, self.store = spark, Warehouse(spark, path)
         self.extractor, self.embedder, self.reranker, self.judge, self.summarizer, self.planner = extractor, embedder, reranker, judge, summarizer, planner
-        self._indexes: OrderedDict[str, DataFrame] = OrderedDict()
+        self._indexes: OrderedDict[str, tuple[DataFrame, ...]] = OrderedDict()
 
     def add(self, messages: list[dict], user_id: str = "default", timestamp=None) -> int:
         """Queues a conversation; returns the job's id."""
@@ -46,77 +47,113 @@ class Engine:
         if isinstance(timestamp, (int, float)):
             timestamp = dt.datetime.fromtimestamp(timestamp, dt.UTC).replace(tzinfo=None)
         elif isinstance(timestamp, str):
-            timestamp = dt.datetime.fromisoformat(timestamp)
+            said, timestamp = timestamp, self.spark.createDataFrame([(timestamp,)], "t string").select(queue.to_time(F.col("t"))).first()[0]
+            if timestamp is None:
+                raise InvalidRequest(f"no time: {said}")
         prompt = "\n".join(f"{str(m.get('role', 'user')).capitalize()}: {str(m.get('content', '')).strip()}" for m in messages)
         old = self.store.read("processing_queue")
         new = self.spark.createDataFrame([(user_id, timestamp or dt.datetime.now(dt.UTC).replace(tzinfo=None), prompt, "pending", 0)], "user_id string, ts timestamp_ntz, raw_prompt string, status string, retry_count int")
         new = checkpointed(next_ids(new, old, ["ts"]))
-        self.store.append("processing_queue", new)
+        self.store.append("processing_queue", new, user_id)
         return new.first()["id"]
 
     def process(self, user_id: str = "default") -> dict:
-        """Consolidates the user's queue, extracts its next jobs and stores what they hold: {success, failed}."""
-        q = self.store.read("processing_queue")
-        mine = q.filter(F.col("user_id") == user_id)
+        """One turn of the user's queue: {success, failed}.
+
+        Fresh jobs are consolidated; failed ones are tried again as they are, up to MAX_RETRY times. What they hold is stored, then
+        decisions are judged, detached memories repaired, the tree reorganised where REORG messages have gathered, leaves and their
+        parents described and topics embedded. One process at a time a user; other users and add() may run beside it, but what is
+        added between the reading of the queue and its new version is to be added again.
+        """
+        mine = checkpointed(self.store.read("processing_queue", user_id))
         if mine.isEmpty():
             return {"success": 0, "failed": 0}
-        merged = queue.consolidate(mine.filter("retry_count < 5")).withColumn("status", F.lit("pending")).withColumn("retry_count", F.lit(0))
-        spent = mine.filter("retry_count >= 5")
-        jobs = checkpointed(merged.drop("jobs"))
+        fresh = (F.col("status") == "pending") & (F.col("retry_count") == 0)
+        merged = queue.consolidate(mine.filter(fresh)).drop("jobs").withColumn("status", F.lit("pending")).withColumn("retry_count", F.lit(0))
+        jobs = checkpointed(merged.unionByName(mine.filter(~fresh), allowMissingColumns=True))
         todo = queue.pick_jobs(jobs).collect()  # one poll
-        paths = [r.path for r in tree.paths(checkpointed(self._topics(user_id))).select("path").orderBy("path").limit(200).collect()]
+        if not todo:
+            return {"success": 0, "failed": 0}
+        known = checkpointed(self._topics(user_id))
+        paths = tree.paths(known).select("topic_id", "path")
+        before = self.store.read("messages", user_id).count()
         done, failed = [], []
         for job in todo:
             try:
                 prompt = self.spark.createDataFrame([(job.raw_prompt,)], "t string").select(X.clean_prompt(F.col("t"))).first()[0]
-                done.append((job.id, job.ts, job.raw_prompt, json.dumps(self.extractor(prompt, paths))))
+                done.append((job.id, job.ts, job.raw_prompt, json.dumps(self.extractor(prompt, self._routes(prompt, known, paths)))))
             except Exception:
                 failed.append(job.id)
         outcome = self.spark.createDataFrame([(d[0], "done") for d in done] + [(i, "failed") for i in failed], "id bigint, new_status string")
         if done:
             self._save(user_id, done)
-        rest = queue.mark(jobs, outcome).unionByName(spent, allowMissingColumns=True)
-        self.store.write("processing_queue", q.filter(F.col("user_id") != user_id).unionByName(rest, allowMissingColumns=True))
-        self._judge(user_id)
+        self.store.write("processing_queue", queue.mark(jobs, outcome), user_id)
+        if done:
+            self._judge(user_id)
+            self.embed_topics(user_id)
+            self.repair(user_id)
+            if self.spark.range(1).select(tree.reorg_due(F.lit(before), F.lit(before + len(done)))).first()[0]:
+                self.reorganize_tree(user_id)
+            self.summarize(user_id)
+            self.embed_topics(user_id)
         self._refresh(user_id)
         return {"success": len(done), "failed": len(failed)}
 
+    def _routes(self, prompt: str, topics: DataFrame, paths: DataFrame) -> list[str]:
+        """Paths of the leaves nearest to the prompt, ROUTES at most; those without a vector come last, by name."""
+        q = self._embed(self.spark.createDataFrame([(0, prompt)], "qid int, text string"), "qid", "text").select(X.unit(F.col("embedding")).alias("_q"))
+        sim = F.coalesce(F.round(X.dot(X.unit(F.col("embedding")), F.col("_q")), 9), F.lit(-1.0))
+        near = tree.leaves(topics).join(paths, "topic_id").crossJoin(F.broadcast(q)).select("path", sim.alias("sim"))  # one query row
+        return [r.path for r in near.orderBy(F.desc("sim"), "path").limit(ROUTES).collect()]
+
+    def _embed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        return self.embedder(texts, key, text, DIMS)
+
+    def embed_topics(self, user_id: str = "default") -> int:
+        """Fills the vectors of topics that have none, from path and description; returns how many."""
+        topics = checkpointed(self._topics(user_id))
+        bare = topics.filter("embedding is null")
+        n = bare.count()
+        if n:
+            said = bare.join(tree.paths(topics).select("topic_id", "path"), "topic_id", "left").select("topic_id", F.concat_ws(" ", "path", "description").alias("text"))
+            vectors = self._embed(said, "topic_id", "text").withColumnRenamed("embedding", "_v")
+            self.store.write("topics", topics.join(vectors, "topic_id", "left").withColumn("embedding", F.coalesce("embedding", "_v")), user_id)
+        return n
+
     process_queue = process
 
     def _topics(self, user_id: str) -> DataFrame:
-        return self.store.read("topics").filter(F.col("user_id") == user_id)
+        return self.store.read("topics", user_id)
 
     def _memories(self, user_id: str) -> DataFrame:
-        return self.store.read("memories").filter(F.col("user_id") == user_id)
+        return self.store.read("memories", user_id)
 
     def _save(self, user_id: str, done: list[tuple]) -> None:
         raw = self.spark.createDataFrame(done, "job_id bigint, ts timestamp_ntz, raw_msg string, doc string")
         old_msgs = self.store.read("messages")
         msgs = checkpointed(next_ids(raw.withColumn("user_id", F.lit(user_id)), old_msgs, ["job_id"], "id"))
-        self.store.append("messages", msgs.select("id", "user_id", "ts", "raw_msg"))
+        self.store.append("messages", msgs.select("id", "user_id", "ts", "raw_msg"), user_id)
         flat = queue.flatten_extraction(msgs.select("job_id", F.from_json("doc", _DOC).alias("doc")))
         flat = flat.withColumn("user_id", F.lit(user_id)).filter(F.trim("content") != "")
-        stored = self.store.read("memories")
-        new = checkpointed(queue.dedup_memories(flat, stored, ("job_id", "bucket", "pos")))
+        new = checkpointed(queue.dedup_memories(flat, self._memories(user_id), ("job_id", "bucket", "pos")))
         if new.isEmpty():
             return
         chains = checkpointed(new.select("chain").distinct().withColumn("chain_id", F.xxhash64("chain")))
-        topics = self.store.read("topics")
-        top = topics.agg(F.coalesce(F.max("topic_id"), F.lit(0))).first()[0]
+        top = self.store.read("topics").agg(F.coalesce(F.max("topic_id"), F.lit(0))).first()[0]
         to, grown = tree.resolve(checkpointed(self._topics(user_id).select("topic_id", "parent_id", "name")), chains, top + 1)
         grown = checkpointed(grown)
         known = self._topics(user_id).drop("parent_id", "name")
-        merged = grown.join(known, "topic_id", "left").withColumn("user_id", F.lit(user_id))
-        self.store.write("topics", topics.filter(F.col("user_id") != user_id).unionByName(merged, allowMissingColumns=True))
+        touched = to.select("topic_id", F.lit(True).alias("_touched")).distinct()
+        merged = grown.join(known, "topic_id", "left").join(touched, "topic_id", "left").withColumn("user_id", F.lit(user_id))
+        merged = merged.withColumn("embedding", F.when(F.col("_touched").isNull(), F.col("embedding")))  # a touched leaf is embedded anew
+        self.store.write("topics", merged, user_id)
         rows = new.join(chains, "chain").join(to, "chain_id").join(msgs.select("job_id", "ts", F.col("id").alias("message_id")), "job_id")
         rows = rows.withColumn("status", F.when(F.col("memory_type") == "decision", "active"))
-        rows = checkpointed(next_ids(rows, stored, ["job_id", "bucket", "memory_type", "pos"]))
-        vectors = self.embedder(rows.select("id", "content"), "id", "content", DIMS) if self.embedder is models.hashed_embeddings else self.embedder(rows.select("id", "content"), "id", "content")
-        self.store.append("memories", rows.join(vectors, "id", "left").select("id", "user_id", "memory_type", "content", "ts", "embedding", "topic_id", "message_id", "status"))
+        rows = checkpointed(next_ids(rows, self.store.read("memories"), ["job_id", "bucket", "memory_type", "pos"]))
+        vectors = self._embed(rows.select("id", "content"), "id", "content")
+        self.store.append("memories", rows.join(vectors, "id", "left").select("id", "user_id", "memory_type", "content", "ts", "embedding", "topic_id", "message_id", "status"), user_id)
 
     def _judge(self, user_id: str) -> None:
-        from palimpsest.operators.cluster import decision_clusters
-
         mine = self._memories(user_id).filter("memory_type = 'decision'")
         live = D.live(mine).filter("embedding is not null")
         if live.isEmpty():
@@ -125,10 +162,10 @@ class Engine:
         verdicts = checkpointed(self.judge(due))
         if verdicts.isEmpty():
             return
-        every = self.store.read("memories")
+        every = self._memories(user_id)
         now = F.when(F.col("new_status").isNotNull(), F.current_timestamp().cast("timestamp_ntz")).otherwise(F.col("last_validated_at"))
         changed = every.join(verdicts, "id", "left").withColumn("last_validated_at", now).withColumn("context", F.when(F.col("new_status").isNotNull(), F.coalesce("context", F.lit("judged by recency"))).otherwise(F.col("context"))).withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
-        self.store.write("memories", changed)
+        self.store.write("memories", changed, user_id)
 
     def reorganize_tree(self, user_id: str = "default", dry_run: bool = False) -> dict:
         """Planner's changes, root and sibling merges, chain collapse and pruning, in one pass; memories follow redirects."""
@@ -145,48 +182,124 @@ class Engine:
             changed = t.select("topic_id", F.coalesce("_k", "parent_id").alias("parent_id"), "name")
         changed, folded = tree.collapse_chains(checkpointed(changed))
         moves.append(folded)
-        memories = self.store.read("memories")
+        memories = self._memories(user_id)
         for go in moves:
             go = checkpointed(go)
             memories = memories.join(go, "topic_id", "left").withColumn("topic_id", F.coalesce("kept", "topic_id")).drop("kept")
         memories = checkpointed(memories)
-        kept = checkpointed(tree.prune_empty(checkpointed(changed), tree.memory_counts(memories.filter(F.col("user_id") == user_id))))
+        kept = checkpointed(tree.prune_empty(checkpointed(changed), tree.memory_counts(memories)))
         report = {"topics_before": topics.count(), "topics_after": kept.count()}
         if not dry_run:
             rest = self._topics(user_id).drop("parent_id", "name")
-            self.store.write("topics", self.store.read("topics").filter(F.col("user_id") != user_id).unionByName(kept.join(rest, "topic_id", "left").withColumn("user_id", F.lit(user_id)), allowMissingColumns=True))
-            self.store.write("memories", memories)
+            self.store.write("topics", kept.join(rest, "topic_id", "left").withColumn("user_id", F.lit(user_id)), user_id)
+            self.store.write("memories", memories, user_id)
+            now = self._topics(user_id)
+            self.store.write("source_map", tree.purge_source_map(self.store.read("source_map", user_id), now), user_id)
             self._refresh(user_id)
         return report
 
     def summarize(self, user_id: str = "default") -> int:
-        """Descriptions of leaves over the gate from the summarizer, bottom up; returns how many were written."""
-        items = summaries.format_leaf(summaries.leaf_items(self._memories(user_id))).filter(F.col("items") > summaries.GATE)
-        said = [(r.topic_id, self.summarizer(r.text.split("\n"), 2_000)) for r in items.toLocalIterator()]
-        if said:
-            new = self.spark.createDataFrame(said, "topic_id bigint, new string")
-            topics = self.store.read("topics").join(new, "topic_id", "left").withColumn("description", F.coalesce("new", "description")).drop("new")
-            self.store.write("topics", topics)
-            self._refresh(user_id)
-        return len(said)
+        """Descriptions of leaves over the gate, then of their parents level by level; returns how many were written.
+
+        A leaf is created, updated from what its stored summary lacks, or rebuilt after REBUILD_AFTER updates. A parent is patched
+        with its children that changed since; one with a single child takes that child's description.
+        """
+        items = checkpointed(summaries.leaf_items(self._memories(user_id)))
+        sizes = items.groupBy("topic_id").agg(F.count("*").alias("n"))
+        if sizes.filter(F.col("n") > summaries.GATE).isEmpty():
+            return 0
+        topics = checkpointed(self._topics(user_id))
+        stored, state = self.store.read("leaf_summary_items", user_id), self.store.read("leaf_state", user_id)
+        delta = checkpointed(summaries.leaf_delta(items, stored))
+        d = topics.select("topic_id", "description").join(sizes, "topic_id").join(state, "topic_id", "left").join(delta.select("topic_id", F.lit(True).alias("_c")).distinct(), "topic_id", "left")
+        updates = F.coalesce("desc_update_count", F.lit(0))
+        mode = summaries.route_leaf(F.col("n"), F.coalesce(F.trim("description"), F.lit("")) != "", F.coalesce("desc_dirty", F.lit(False)), updates, F.coalesce("_c", F.lit(False)))
+        d = checkpointed(d.select("topic_id", "description", updates.alias("updates"), mode.alias("mode")))
+        work = d.filter("mode <> 'none'")
+        whole = summaries.format_leaf(items.join(work.filter("mode <> 'update'").select("topic_id"), "topic_id", "left_semi"))
+        added = summaries.format_leaf(delta.join(work.filter("mode = 'update'").select("topic_id"), "topic_id", "left_semi"))
+        asked = work.join(whole.unionByName(added), "topic_id").select("topic_id", "mode", F.when(F.col("mode") == "update", F.concat_ws("\n", "description", "text")).otherwise(F.col("text")).alias("text"))
+        said = [(r.topic_id, self.summarizer(r.text.split("\n"), 2_000), r.mode) for r in asked.toLocalIterator()]  # a model's answers, one by one
+        answers = checkpointed(self.spark.createDataFrame(said, "topic_id bigint, new string, mode string"))
+        after = checkpointed(summaries.write_back(d.select("topic_id", "description", "updates"), answers))
+        told = answers.filter(F.trim("new") != "").select("topic_id")
+        self.store.write("leaf_summary_items", checkpointed(stored.join(told, "topic_id", "left_anti").unionByName(items.join(told, "topic_id", "left_semi"))), user_id)
+        self.store.write("leaf_state", after.select("topic_id", F.lit(False).alias("desc_dirty"), F.col("updates").alias("desc_update_count")), user_id)
+        now = F.current_timestamp().cast("timestamp_ntz")
+        new = after.join(told, "topic_id", "left_semi").select("topic_id", F.col("description").alias("_new"))
+        topics = checkpointed(topics.join(new, "topic_id", "left").withColumn("ts", F.when(F.col("_new").isNotNull(), now).otherwise(F.col("ts"))).withColumn("embedding", F.when(F.col("_new").isNull(), F.col("embedding"))).withColumn("description", F.coalesce("_new", "description")).drop("_new"))
+        topics, n = self._describe_parents(user_id, topics)
+        self.store.write("topics", topics, user_id)
+        self._refresh(user_id)
+        return len(said) + n
+
+    def _describe_parents(self, user_id: str, topics: DataFrame) -> tuple[DataFrame, int]:
+        """Topics with their parents described from the deepest level up, and how many were."""
+        levels = checkpointed(tree.paths(topics).select("topic_id", "level"))
+        deepest, written = levels.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0], 0
+        source_map = checkpointed(self.store.read("source_map", user_id))
+        for level in range(int(deepest) - 1, -1, -1):
+            here = levels.filter(F.col("level") == level).select("topic_id")
+            children = topics.filter("parent_id is not null").select("parent_id", F.col("topic_id").alias("child_id"), "description", "ts").join(here.withColumnRenamed("topic_id", "parent_id"), "parent_id", "left_semi")
+            parents = topics.join(here, "topic_id", "left_semi").select(F.col("topic_id").alias("parent_id"), F.when(F.col("description").isNotNull(), F.col("ts")).alias("ts"))
+            changed = checkpointed(summaries.child_delta(children, source_map, parents))
+            if changed.isEmpty():
+                continue
+            said = [(r.parent_id, r.child_id, "modify", self.summarizer([r.text], 500)) for r in changed.toLocalIterator()]
+            patch = self.spark.createDataFrame(said, "parent_id bigint, child_id bigint, action string, new_text string")
+            source_map = checkpointed(summaries.patch_source_map(source_map, patch, changed))
+            touched = changed.select("parent_id").distinct()
+            single = summaries.inherit_single(children).withColumnRenamed("description", "_one")
+            new = touched.join(summaries.describe(source_map), "parent_id", "left").join(single, "parent_id", "left").select(F.col("parent_id").alias("topic_id"), F.coalesce("_one", "description").alias("_new"))
+            fresh = F.col("_new").isNotNull()
+            topics = topics.join(new, "topic_id", "left").withColumn("ts", F.when(fresh, F.current_timestamp().cast("timestamp_ntz")).otherwise(F.col("ts"))).withColumn("embedding", F.when(~fresh, F.col("embedding")))
+            topics = checkpointed(topics.withColumn("description", F.coalesce("_new", "description")).drop("_new"))
+            written += touched.count()
+        self.store.write("source_map", source_map, user_id)
+        return topics, written
 
     def _refresh(self, user_id: str) -> None:
-        """Forgets the user's index."""
-        old = self._indexes.pop(user_id, None)
-        if old is not None:
-            old.unpersist()
+        """Forgets what is cached of the user's index."""
+        for frame in self._indexes.pop(user_id, ()):
+            frame.unpersist()
 
     refresh_tree_cache = _refresh
 
-    def _pool(self, user_id: str) -> DataFrame:
+    def _index(self, user_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Pool, postings by family, statistics, corpus row and families of a user, cached.
+
+        Postings and statistics are stored tables. Entries that they lack are appended; only where some have gone or changed are
+        they written anew, so a new process starts from what is stored.
+        """
         if user_id not in self._indexes:
             topics = checkpointed(self._topics(user_id))
             paths = tree.paths(topics.select("topic_id", "parent_id", "name")).select("topic_id", "path")
             mem = index.build_pool(self._memories(user_id), paths).select("entry_key", "id", "memory_type", "status", "path", "content", "text", "ts", "embedding")
             nodes = index.summary_entries(topics, paths).select("entry_key", F.col("topic_id").alias("id"), F.lit("node").alias("memory_type"), F.lit(None).cast("string").alias("status"), "path", F.col("description").alias("content"), "text", "ts", "embedding")
-            self._indexes[user_id] = mem.unionByName(nodes).persist()
+            pool = mem.unionByName(nodes).persist()
+            own = pool.select("entry_key", F.xxhash64("text").alias("sig"))
+            post, stats = self.store.read("postings", user_id), self.store.read("doc_stats", user_id)
+            fresh = checkpointed(own.join(stats.select("entry_key", "sig"), ["entry_key", "sig"], "left_anti"))
+            toks = index.tokens(pool.join(fresh, "entry_key", "left_semi"), "entry_key")
+            more = toks.groupBy("entry_key", "token", "lemma").agg(F.count("*").alias("tf"))
+            sized = fresh.join(index.doc_stats(toks, "entry_key"), "entry_key", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+            gone = not stats.join(own, ["entry_key", "sig"], "left_anti").isEmpty()
+            if gone:
+                kept = checkpointed(stats.join(own, ["entry_key", "sig"], "left_semi"))
+                self.store.write("postings", checkpointed(post.join(kept, "entry_key", "left_semi").unionByName(more)), user_id)
+                self.store.write("doc_stats", kept.unionByName(sized), user_id)
+            elif not fresh.isEmpty():
+                self.store.append("postings", more, user_id)
+                self.store.append("doc_stats", sized, user_id)
+            post = self.store.read("postings", user_id)
+            stats = self.store.read("doc_stats", user_id).filter("dl > 0").select("entry_key", "dl").persist()
+            fam = index.families(post).persist()
+            by_family = post.join(fam, "token").groupBy("family", "entry_key").agg(F.sum("tf").alias("tf")).persist()
+            corp = self.spark.createDataFrame([tuple(index.corpus(stats, pool).first())], "n bigint, avg_dl double")
+            self._indexes[user_id] = (pool, by_family, stats, corp, fam)
             while len(self._indexes) > INDEXES:
-                self._indexes.popitem(last=False)[1].unpersist()
+                for frame in self._indexes.popitem(last=False)[1]:
+                    frame.unpersist()
         self._indexes.move_to_end(user_id)
         return self._indexes[user_id]
 
@@ -202,39 +315,62 @@ class Engine:
             raise RetrievalError(f"search failed: {e}") from e
 
     def _search(self, query: str, user_id: str, top_k: int, rerank: bool) -> RetrievalResult:
-        q = self.spark.createDataFrame([(0, query)], "qid int, text string")
+        said = self.denoise(query) if "\n" in query else query
+        q = self.spark.createDataFrame([(0, said)], "qid int, text string")
         kind = q.select(X.classify_query(F.col("text"))).first()[0]
-        pool = self._pool(user_id)
+        pool, post, stats, corp, fam = self._index(user_id)
         if pool.isEmpty():
             return RetrievalResult("", {"entries": []}, HINT, kind)
-        toks = index.tokens(pool, "entry_key")
-        stats = index.doc_stats(toks, "entry_key")
-        words = index.tokens(q, "qid").select(F.col("token").alias("family"))
-        lexical = index.bm25(index.postings(toks, key="entry_key"), stats, index.corpus(stats, pool), words, "entry_key")
-        vector = (self.embedder(q, "qid", "text", DIMS) if self.embedder is models.hashed_embeddings else self.embedder(q, "qid", "text")).select(F.col("embedding").alias("_q"))
-        scored = pool.join(lexical, "entry_key", "left").crossJoin(F.broadcast(vector))  # one query row
-        scored = scored.withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9)).withColumn("cosine", F.round(F.coalesce(X.dot(F.col("embedding"), F.col("_q")), F.lit(0.0)), 9)).drop("embedding", "_q")
-        best = retrieval.partitioned_topk(retrieval.fuse(scored, "entry_key"), "entry_key", kind == "broad_overview")
-        if rerank:
-            best = self.reranker(query, best).withColumn("rrf", F.col("score"))
-        hits = retrieval.quotas(best, "entry_key", top_k).withColumn("entry_id", F.col("id")).withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("")))
-        rows = retrieval.context_items(hits).select("section", "memory_type", "tier", "place", "entry_id", "line").collect()  # bounded by the quotas
-        rows.sort(key=lambda r: (r.section or 9, r.tier, r.place))
+        lexical = index.bm25(post, stats, corp, index.query_families(index.tokens(q, "qid"), fam, "qid"), "entry_key")
+        vector = self._embed(q, "qid", "text").first()["embedding"]
+        cosine = X.dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
+        scored = pool.select("entry_key", "memory_type", "id", F.round(F.coalesce(cosine, F.lit(0.0)), 9).alias("cosine")).join(lexical, "entry_key", "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
+        fused = retrieval.fuse(scored, "entry_key").persist()  # keys and scores only; texts join what is left of them
+        try:
+            best = retrieval.partitioned_topk(fused, "entry_key", kind == "broad_overview")
+            if rerank:
+                best = self.reranker(query, best.join(pool.select("entry_key", "path", "content"), "entry_key")).withColumn("rrf", F.col("score"))
+            hits = [r.asDict() for r in retrieval.quotas(best, "entry_key", top_k).select("entry_key", "memory_type", "tier", "place", "rrf").collect()]  # bounded by the quotas
+            near = self._expand(hits, fused, pool, post, stats, corp, fam)
+        finally:
+            fused.unpersist()
+        chosen = self.spark.createDataFrame([(h["entry_key"], h["tier"], h["place"]) for h in hits + near] or [("", 0, 0)], "entry_key string, tier int, place bigint")
+        full = pool.join(F.broadcast(chosen), "entry_key").withColumn("entry_id", F.col("id")).withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("")))
+        rows = retrieval.context_items(full).select("section", "memory_type", "tier", "place", "entry_id", "line").collect()
+        rows.sort(key=lambda r: (r.section or 9, r.tier, r.place, r.entry_id))
         parts: dict[str, list[str]] = {}
         for r in rows:
             parts.setdefault(r.memory_type.upper() if r.memory_type != "node" else "SUMMARY", []).append(r.line)
         context = "\n\n".join(f"== {k} ==\n" + "\n".join(v) for k, v in parts.items())
-        return RetrievalResult(context, {"entries": [f"{r.memory_type}:{r.entry_id}" for r in rows], "anchors": [r.entry_id for r in rows if r.tier == 0]}, HINT, kind)
+        trace = {"entries": [f"{r.memory_type}:{r.entry_id}" for r in rows], "anchors": [r.entry_id for r in rows if r.tier == 0], "expansions": {h["anchor_id"]: [x["entry_key"] for x in near if x["anchor_id"] == h["anchor_id"]] for h in near}}
+        return RetrievalResult(context, trace, HINT, kind)
+
+    def _expand(self, hits: list[dict], fused: DataFrame, pool: DataFrame, post: DataFrame, stats: DataFrame, corp: DataFrame, fam: DataFrame) -> list[dict]:
+        """Knowledge and episodes near each decision anchor that neither the hits nor an earlier anchor has; tier 3, by anchor."""
+        anchors = sorted((h for h in hits if h["tier"] == 0), key=lambda h: h["place"])
+        if not anchors:
+            return []
+        ranks = self.spark.createDataFrame([(h["entry_key"], h["place"]) for h in anchors], "anchor_id string, anchor_rank bigint")
+        said = pool.join(F.broadcast(ranks), F.col("entry_key") == F.col("anchor_id")).select("anchor_id", "content")
+        words = index.query_families(index.tokens(said, "anchor_id", "content"), fam, "anchor_id")
+        others = fused.filter(F.col("memory_type").isin("knowledge", "episodic")).select("entry_key", "rrf")
+        scores = index.bm25_each(post, stats, corp, words, "anchor_id", "entry_key").join(others, "entry_key")
+        kept = retrieval.keep_expansions(retrieval.expansions(scores, "entry_key"), "entry_key").join(F.broadcast(ranks), "anchor_id")
+        claimed = self.spark.createDataFrame([(h["entry_key"],) for h in hits], "entry_key string")
+        out = retrieval.dedup_expansions(kept, claimed, "entry_key").select("anchor_id", "anchor_rank", "entry_key", "kept").collect()  # five an anchor at most
+        return [{"entry_key": r.entry_key, "anchor_id": r.anchor_id, "tier": 3, "place": r.anchor_rank * 100 + r.kept} for r in out]
 
     def inspect(self, user_id: str = "default", view: str = "memories", memory_type: str | None = None):
-        """Memories with their topic (or General) as a DataFrame, or the topic tree as nested dicts."""
-        if view not in ("memories", "tree"):
-            raise InvalidRequest("view is memories or tree")
+        """Memories with their topic (or General) as a DataFrame, the topic tree as nested dicts, or both by name (view all)."""
+        if view not in ("memories", "tree", "all"):
+            raise InvalidRequest("view is memories, tree or all")
         if memory_type is not None and memory_type not in MEMORY_TYPES:
             raise InvalidRequest(f"memory_type is one of {', '.join(MEMORY_TYPES)}")
         if view == "tree":
             return self.tree(user_id)
-        m = self._memories(user_id).join(self.store.read("topics").select("topic_id", F.col("name").alias("topic")), "topic_id", "left")
+        if view == "all":
+            return {"memories": self.inspect(user_id, memory_type=memory_type), "tree": self.tree(user_id)}
+        m = self._memories(user_id).join(self._topics(user_id).select("topic_id", F.col("name").alias("topic")), "topic_id", "left")
         m = m if memory_type is None else m.filter(F.col("memory_type") == memory_type)
         return m.select("id", "memory_type", "content", F.coalesce("topic", F.lit("General")).alias("topic"), "status", "ts")
 
@@ -248,11 +384,10 @@ class Engine:
         return [nodes[r.topic_id] for r in sorted(rows, key=lambda r: r.topic_id) if r.parent_id is None]
 
     def forget(self, memory_id: int, user_id: str = "default") -> bool:
-        mine = (F.col("id") == memory_id) & (F.col("user_id") == user_id)
-        every = self.store.read("memories")
+        mine, every = F.col("id") == memory_id, self._memories(user_id)
         if every.filter(mine).isEmpty():
             return False
-        self.store.write("memories", every.filter(~mine))
+        self.store.write("memories", every.filter(~mine), user_id)
         self._refresh(user_id)
         return True
 
@@ -260,9 +395,9 @@ class Engine:
 
     def reset(self, user_id: str) -> None:
         """Removes all of a user's rows, messages included."""
-        for name in ("processing_queue", "memories", "topics", "messages"):
-            self.store.write(name, self.store.read(name).filter(F.col("user_id") != user_id))
         self._refresh(user_id)
+        for name in SCHEMAS:
+            self.store.remove(name, user_id)
 
     def repair(self, user_id: str = "default") -> int:
         """Gives detached memories a topic; returns how many."""
@@ -270,7 +405,7 @@ class Engine:
         found = checkpointed(D.repair(mine, self._topics(user_id).select("topic_id", "embedding")).select("id", F.col("topic_id").alias("_t")))
         n = found.count()
         if n:
-            self.store.write("memories", self.store.read("memories").join(found, "id", "left").withColumn("topic_id", F.coalesce("topic_id", "_t")).drop("_t"))
+            self.store.write("memories", mine.join(found, "id", "left").withColumn("topic_id", F.coalesce("topic_id", "_t")).drop("_t"), user_id)
             self._refresh(user_id)
         return n
 

@@ -18,9 +18,9 @@ class Extractor(Protocol):
 
 
 class Embedder(Protocol):
-    """(key, embedding) for the texts of a frame."""
+    """(key, embedding) for the texts of a frame; dims is the length that the engine stores."""
 
-    def __call__(self, texts: DataFrame, key: str, text: str) -> DataFrame: ...
+    def __call__(self, texts: DataFrame, key: str, text: str, dims: int) -> DataFrame: ...
 
 
 class Reranker(Protocol):

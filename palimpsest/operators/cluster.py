@@ -1,7 +1,8 @@
 """Vectors: blocked nearest neighbours, centroids, k-means splits, communities, complete linkage, batch packing.
 
-All-pairs work runs in blocks of a matrix product inside tasks; only each row's best leave a block, so nothing of quadratic size
-moves. Community search and linkage run per user group; MAX_GROUP bounds one task, larger groups are first cut by k-means.
+All-pairs work runs in blocks of a matrix product inside tasks; each row goes to every block of its group, and only its best leave
+one. Community search runs per user group, of which MAX_GROUP bounds one task: larger groups are first cut by k-means. Linkage takes
+a user's active decisions in one task without a bound.
 """
 
 from __future__ import annotations
@@ -136,7 +137,10 @@ def local_moving(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution
 
 
 def sized_communities(x: np.ndarray, k: int = NEIGHBOURS, target: int = 300, largest: int = 500) -> np.ndarray:
-    """Communities of a k-NN graph whose resolution is bisected to a mean size of `target`; those over `largest` are cut again."""
+    """Communities of a k-NN graph whose resolution is bisected until the largest has about `target` members.
+
+    Those over `largest` are cut by k-means, and their parts again, until none is (parts of equal vectors are halved).
+    """
     n = len(x)
     if n <= 2:
         return np.zeros(n, int)
@@ -151,16 +155,20 @@ def sized_communities(x: np.ndarray, k: int = NEIGHBOURS, target: int = 300, lar
     for _ in range(8):
         mid = (low * high) ** 0.5
         label = local_moving(n, a, b, w, mid)
-        mean = n / (label.max() + 1)
-        if best is None or abs(mean - target) < abs(best[0] - target):
-            best = (mean, label)
-        low, high = (mid, high) if mean > target else (low, mid)
-    label, top = best[1].copy(), int(best[1].max()) + 1
-    for c in range(top):
-        own = np.flatnonzero(label == c)
-        if len(own) > largest:
-            part, _ = kmeans(x[own], -(-len(own) // largest) + 1)
-            label[own] = np.where(part == 0, c, label.max() + part)
+        size = int(np.bincount(label).max())
+        if best is None or abs(size - target) < abs(best[0] - target):
+            best = (size, label)
+        low, high = (mid, high) if size > target else (low, mid)
+    label = best[1].copy()
+    large = [own for c in range(int(label.max()) + 1) if len(own := np.flatnonzero(label == c)) > largest]
+    while large:
+        own = large.pop()
+        part, _ = kmeans(x[own], -(-len(own) // largest) + 1)
+        if not part.any():
+            part = np.arange(len(own)) * 2 // len(own)
+        for p in range(1, int(part.max()) + 1):
+            label[own[part == p]] = label.max() + 1
+        large += [own[part == p] for p in range(int(part.max()) + 1) if (part == p).sum() > largest]
     number = {old: i for i, old in enumerate(dict.fromkeys(label.tolist()))}
     return np.array([number[v] for v in label])
 

@@ -39,10 +39,11 @@ def tokens(entries: DataFrame, key: str = "entry_id", text: str = "text") -> Dat
     return t.withColumn("lemma", X.lemma(F.col("token")))
 
 
-def families(toks: DataFrame, rounds: int = 30) -> DataFrame:
+def families(toks: DataFrame, rounds: int = 100) -> DataFrame:
     """(token, family): components of words that share lemmas; a family is named by its smallest member.
 
-    Labels pass along token-lemma edges until none changes. With suffix lemmas chains are short, so a few rounds do.
+    Labels pass along token-lemma edges until none changes. With suffix lemmas chains are short, so a few rounds do; where labels
+    still change after `rounds`, it raises.
     """
     pairs = toks.select("token", "lemma").distinct()
     edges = pairs.unionByName(pairs.select(F.col("lemma").alias("token"), F.col("token").alias("lemma"))).unionByName(pairs.select("token", F.col("token").alias("lemma"))).unionByName(pairs.select(F.col("lemma").alias("token"), "lemma")).distinct()
@@ -56,8 +57,8 @@ def families(toks: DataFrame, rounds: int = 30) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("family", "old"), "token").filter("family <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"families still change after {rounds} rounds")
 
 
 def postings(toks: DataFrame, fam: DataFrame | None = None, key: str = "entry_id") -> DataFrame:
@@ -93,6 +94,22 @@ def bm25(post: DataFrame, stats: DataFrame, corp: DataFrame, query: DataFrame, k
     return scored.groupBy(key).agg(F.sum(part).alias("bm25"))
 
 
+def bm25_each(post: DataFrame, stats: DataFrame, corp: DataFrame, queries: DataFrame, qid: str, key: str = "entry_id") -> DataFrame:
+    """(qid, key, bm25) for several queries at once: queries has a row (qid, family) for each word."""
+    asked = queries.groupBy(qid, "family").agg(F.count("*").alias("qn"))
+    hits = post.join(F.broadcast(asked.select("family").distinct()), "family")
+    df = hits.groupBy("family").agg(F.count("*").alias("df"))
+    scored = hits.join(F.broadcast(df), "family").join(F.broadcast(asked), "family").join(stats, key).crossJoin(F.broadcast(corp))
+    part = F.col("qn") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
+    return scored.groupBy(qid, key).agg(F.sum(part).alias("bm25"))
+
+
+def query_families(words: DataFrame, fam: DataFrame, qid: str) -> DataFrame:
+    """(qid, family) of query tokens (qid, token, lemma): the family of the word, else of its lemma, else the word itself."""
+    own, by_lemma = fam.select("token", F.col("family").alias("_f")), fam.select(F.col("token").alias("lemma"), F.col("family").alias("_g"))
+    return words.join(own, "token", "left").join(by_lemma, "lemma", "left").select(qid, F.coalesce("_f", "_g", "token").alias("family"))
+
+
 def ingest(post: DataFrame, stats: DataFrame, new_entries: DataFrame, key: str = "entry_id") -> tuple[DataFrame, DataFrame]:
     """Postings and statistics with the new entries' appended; entries already present are left out."""
     fresh = tokens(new_entries.join(stats.select(key), key, "left_anti"), key)

@@ -25,8 +25,11 @@ def rank(score: Column, *ties: str, by: tuple[str, ...] = ()) -> Column:
 def fuse(scored: DataFrame, key: str = "entry_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rank_vec, rank_bm25 and rrf. `by`: the query or user column when several are ranked at once.
 
-    A global rank needs the (key, score) pairs in one order; only those two columns travel.
+    A global rank needs the (key, score) pairs in one order; where nothing parts them, only these are ranked and joined back.
     """
+    if not by:
+        ranks = scored.select(key, rank(F.col("cosine"), key).alias("rank_vec"), rank(F.col("bm25"), key).alias("rank_bm25"))
+        return scored.join(ranks, key).withColumn("rrf", F.round(F.lit(W_VEC) / (RRF_K + F.col("rank_vec")) + F.lit(W_BM25) / (RRF_K + F.col("rank_bm25")), 9))
     d = scored.withColumn("rank_vec", rank(F.col("cosine"), key, by=by)).withColumn("rank_bm25", rank(F.col("bm25"), key, by=by))
     return d.withColumn("rrf", F.round(F.lit(W_VEC) / (RRF_K + F.col("rank_vec")) + F.lit(W_BM25) / (RRF_K + F.col("rank_bm25")), 9))
 

@@ -20,21 +20,27 @@ TREE_ROWS = 100_000
 MAX_LEAF, K_PER, K_MIN, K_MAX = 100, 30, 2, 5
 
 
+def _unbounded(topics: DataFrame) -> DataFrame:
+    """topics, in a session whose recursion is bounded by depth alone: a million rows, its default, is no large tree."""
+    topics.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return topics
+
+
 def paths(topics: DataFrame) -> DataFrame:
     """(topic_id, path, level, sort_key) of nodes reachable from the roots."""
-    topics.select("topic_id", "parent_id", "name").createOrReplaceTempView("_pal_topics")
+    _unbounded(topics).select("topic_id", "parent_id", "name").createOrReplaceTempView("_pal_topics")
     return topics.sparkSession.sql(f"""
         WITH RECURSIVE walk(topic_id, path, level, sort_key) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT topic_id, name, cast(0 as bigint), lpad(cast(topic_id as string), 12, '0') FROM _pal_topics WHERE parent_id IS NULL
+          SELECT topic_id, name, cast(0 as bigint), lpad(cast(topic_id as string), 20, '0') FROM _pal_topics WHERE parent_id IS NULL
           UNION ALL
-          SELECT t.topic_id, concat(w.path, ' > ', t.name), w.level + 1, concat(w.sort_key, '/', lpad(cast(t.topic_id as string), 12, '0'))
+          SELECT t.topic_id, concat(w.path, ' > ', t.name), w.level + 1, concat(w.sort_key, '/', lpad(cast(t.topic_id as string), 20, '0'))
           FROM walk w JOIN _pal_topics t ON t.parent_id = w.topic_id)
         SELECT * FROM walk""")
 
 
 def closure(topics: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance), each node its own ancestor at 0."""
-    topics.select("topic_id", "parent_id").createOrReplaceTempView("_pal_edges")
+    _unbounded(topics).select("topic_id", "parent_id").createOrReplaceTempView("_pal_edges")
     return topics.sparkSession.sql(f"""
         WITH RECURSIVE up(ancestor, descendant, distance) MAX RECURSION LEVEL {DEPTH} AS (
           SELECT topic_id, topic_id, cast(0 as bigint) FROM _pal_edges
@@ -256,9 +262,12 @@ class Forest:
             a, b = self.at(a), self.at(b) if b is not None else None
             if b is None or a == b or a not in self.parent or b not in self.parent:
                 continue
-            if self.above(a, b):  # merged into its own descendant: the branch that leads there rises first
-                self.parent[b] = self.parent[a]
-                moved.add(b)
+            if self.above(a, b):  # merged into its own descendant: the bridge, a's child above it, rises first
+                bridge = b
+                while self.parent[bridge] != a:
+                    bridge = self.parent[bridge]
+                self.parent[bridge] = self.parent[a]
+                moved.add(bridge)
             for child in [i for i, p in self.parent.items() if p == a and i != b]:
                 self.parent[child] = b
                 moved.add(child)

@@ -238,3 +238,36 @@ def test_vector_from_blob(spark):
     v = np.array([0.5, -2.0, 3.25e-3, 0.0], np.float32)
     d = spark.createDataFrame([(bytearray(v.tobytes()),), (bytearray(),), (None,)], "b binary").select(vector_from_blob(F.col("b")).alias("v")).collect()
     assert np.allclose(d[0].v, v) and d[1].v == []
+
+
+def test_merge_into_a_deeper_descendant_lifts_the_bridge():
+    f = tree.Forest([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 1, "d")]).apply([{"id": 1, "merged_into_id": 3}])
+    assert f.rows() == [(2, None, "b"), (3, 2, "c"), (4, 3, "d")]
+
+
+def test_no_community_is_over_the_largest():
+    x = np.random.default_rng(3).standard_normal((300, 8))
+    x[:120] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.bincount(cluster.sized_communities(x, target=40, largest=60)).max() <= 60
+
+
+def test_skeleton_keeps_comments_and_heads():
+    code = "/* one\n   two */\nint main() {\n  int x = compute();\n  return x;\n}\ngetSize() {\n  y = 1;\n  if (y) {\n  }\n}\ndef f(a,\n      b):\n    '''doc\n    more'''\n    z = 1\n    return z\nLIMIT = 3\nother = 4"
+    got = denoise.skeleton(code).split("\n")
+    for line in ("/* one", "   two */", "int main() {", "  return x;", "getSize() {", "def f(a,", "      b):", "    more'''", "    return z", "LIMIT = 3"):
+        assert line in got
+    assert not {"  y = 1;", "    z = 1", "other = 4", "  if (y) {"} & set(got)
+
+
+def test_writers_stand_side_by_side(spark, tmp_path):
+    a, b = Warehouse(spark, f"file://{tmp_path}/wh"), Warehouse(spark, f"file://{tmp_path}/wh")
+    row = lambda i, u: spark.createDataFrame([(i, u)], "id bigint, user_id string")
+    a.append("messages", row(1, "x/y"), "x/y")
+    b.append("messages", row(2, "x/y"), "x/y")
+    a.append("messages", row(3, "z"), "z")
+    assert {r.id for r in b.read("messages", "x/y").collect()} == {1, 2} and a.read("messages").count() == 3
+    a.write("messages", row(9, "z"), "z")
+    assert {r.id for r in b.read("messages").collect()} == {1, 2, 9}
+    a.remove("messages", "x/y")
+    assert b.read("messages").count() == 1
