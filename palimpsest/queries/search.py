@@ -120,7 +120,7 @@ def expansion_dedup(spark, d):
 
 
 def context_assembly(spark, d):
-    hits = R.quotas(_topk(spark, d)).withColumn("day", F.lit("2024-01-01")).withColumn("content", F.substring("content", 1, 120))
+    hits = R.quotas(_topk(spark, d)).withColumn("day", F.lit("2024-01-01"))
     return R.assemble(R.context_items(hits)).select("section", "memory_type", "n_items", F.sha2("body", 256).alias("body_sha256"))
 
 
@@ -183,7 +183,7 @@ ORACLE_SQL = {
     "rerank_order": f"WITH {TYPE_SQL} SELECT entry_id, row_number() OVER (ORDER BY rrf DESC, entry_id) AS place FROM topk",
     "anchor_expansion": f"WITH {EXPAND_SQL} SELECT anchor_id, entry_id, bm25, x_rank, kept FROM kept",
     "expansion_dedup": f"WITH {EXPAND_SQL} SELECT anchor_id, entry_id FROM (SELECT k.anchor_id, k.entry_id, row_number() OVER (PARTITION BY k.entry_id ORDER BY anchor_rank) AS n FROM kept k JOIN anchors a USING (anchor_id) WHERE k.entry_id NOT IN (SELECT entry_id FROM hits)) WHERE n = 1",
-    "context_assembly": f"WITH {QUOTA_SQL} SELECT list_position(['decision','user','knowledge','episodic'], memory_type)::BIGINT AS section, memory_type, count(*) AS n_items, sha256(string_agg('[id=' || entry_id || ' type=' || memory_type || ' date=2024-01-01] ' || regexp_replace(substring(content, 1, 120), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) ORDER BY tier, place, entry_id)) AS body_sha256 FROM hits GROUP BY memory_type",
+    "context_assembly": f"WITH {QUOTA_SQL} SELECT list_position(['decision','user','knowledge','episodic'], memory_type)::BIGINT AS section, memory_type, count(*) AS n_items, sha256(string_agg('[id=' || entry_id || ' type=' || memory_type || ' date=2024-01-01] ' || regexp_replace(content, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) ORDER BY tier, place, entry_id)) AS body_sha256 FROM hits GROUP BY memory_type",
     "retrieval_trace": f"WITH {QUOTA_SQL} SELECT 'mem:' || memory_type || ':' || entry_id AS entry_key, path AS topic, tier = 0 AS is_anchor FROM hits",
     "query_classify": f"SELECT conv_id, turn, CASE WHEN len(list_filter({list(X.BROAD_PHRASES)}, lambda p: contains(lower(text), p))) > 0 THEN 'broad_overview' ELSE 'information_extraction' END AS query_class FROM conversations",
     "ce_truncate": "WITH t AS (SELECT doc_id, list_filter(string_split_regex(lang || ' > ' || source || ' : ' || text, '\\s+'), lambda x: x <> '')[1:200] AS w FROM documents) SELECT doc_id, sha256(array_to_string(w, ' ')) AS pair_sha256, len(w) AS n_words FROM t",

@@ -111,7 +111,7 @@ def summary_merge(spark, d):
     """Leaf summary items of two languages merged: filled values of the first stay."""
     doc = table(spark, d, "documents")
     key = (F.col("doc_id") % 500).alias("mem_id")
-    side = lambda lang: doc.filter(F.col("lang") == lang).groupBy("source", key).agg(F.max(F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)).otherwise("")).alias("text"))
+    side = lambda lang: doc.filter(F.col("lang") == lang).groupBy("source", key).agg(F.max(F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise("")).alias("text"))
     return T.merge_items(side("en"), side("fr"), ["source", "mem_id"], "text")
 
 
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "leaf_constraint": f"WITH {_NAT}, s AS (SELECT topic_id, name, row_number() OVER (ORDER BY topic_id) + 9999 AS leaf FROM nat WHERE parent_id IS NULL AND topic_id % 2 = 0 AND topic_id < 5 AND topic_id IN (SELECT parent_id FROM nat)) SELECT topic_id, parent_id, name, topic_id IN (SELECT topic_id FROM s) AS was_split FROM nat UNION ALL SELECT leaf, topic_id, 'General ' || name, false FROM s",
     "sibling_dedup": f"WITH {_SURV} SELECT topic_id, survivor FROM s",
     "metadata_merge": f"WITH {_SURV} SELECT survivor AS topic_id, count(*) AS merged, sha256(coalesce(string_agg(CASE WHEN n % 5 <> 0 THEN name END, chr(10) || '[Merged source]' || chr(10) ORDER BY topic_id <> survivor, topic_id), '')) AS description_sha256, DATE '2024-01-01' + min(n)::INT AS first_day FROM s GROUP BY 1",
-    "summary_merge": "WITH i AS (SELECT lang, source, doc_id % 500 AS mem_id, max(CASE WHEN doc_id % 3 <> 0 THEN substring(text, 1, 20) ELSE '' END) AS text FROM documents WHERE lang IN ('en','fr') GROUP BY 1, 2, 3) SELECT source, mem_id, coalesce(nullif(e.text, ''), f.text, e.text) AS text FROM (SELECT * FROM i WHERE lang = 'en') e FULL JOIN (SELECT * FROM i WHERE lang = 'fr') f USING (source, mem_id)",
+    "summary_merge": "WITH i AS (SELECT lang, source, doc_id % 500 AS mem_id, max(CASE WHEN doc_id % 3 <> 0 THEN text ELSE '' END) AS text FROM documents WHERE lang IN ('en','fr') GROUP BY 1, 2, 3) SELECT source, mem_id, coalesce(nullif(e.text, ''), f.text, e.text) AS text FROM (SELECT * FROM i WHERE lang = 'en') e FULL JOIN (SELECT * FROM i WHERE lang = 'fr') f USING (source, mem_id)",
     "root_merge": """WITH k AS (SELECT DISTINCT substring(source, 4)::BIGINT AS k FROM documents), r AS (SELECT k AS topic_id, k FROM k UNION ALL SELECT k + 50, k FROM k),
       c AS (SELECT CASE WHEN doc_id % 3 = 0 THEN substring(source, 4)::BIGINT + 50 ELSE substring(source, 4)::BIGINT END AS topic_id, count(*) AS n FROM documents GROUP BY 1),
       z AS (SELECT r.topic_id, k, 1 + coalesce(n, 0) AS size FROM r LEFT JOIN c USING (topic_id)) SELECT topic_id, first_value(topic_id) OVER (PARTITION BY k ORDER BY size DESC, topic_id) AS survivor, size FROM z""",
