@@ -24,7 +24,7 @@ def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier predicts toxic go."""
+    """Documents that the weakly supervised classifier predicts toxic go. Null and empty texts stay; repeated rows share a fate."""
     learn = docs.select("doc_id", "text").filter(common.bucket_of(F.col("doc_id"), 5) != 0)
     return toxicity.accepted(docs, toxicity.fit(learn, common.table(spark, sf_dir, "labels")))
 
@@ -36,17 +36,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays, all its rows where several have it."""
     return _without(docs, jaccard_join.near_duplicates(docs).filter("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go, all rows of their doc_id; null and empty texts stay."""
     return _without(docs, decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with their digests."""
+    """Token ids of every row with their digests; null and empty texts have none."""
     return sentencepiece_codec.encode(docs, keep_decoded=False)
 
 

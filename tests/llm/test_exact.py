@@ -455,3 +455,29 @@ def test_pipeline_stages(spark, sf_dir, texts):
     last = P.encode(spark, clean, sf_dir)
     assert last.count() == clean.count() and "ids" in last.columns
     assert F is not None
+
+
+def test_pipeline_run_on_odd_rows(spark, sf_dir, texts, tmp_path):
+    """run() over nulls, empties, repeated rows and clashing columns: survivors and token ids as brute force has them."""
+    import corpus_pipeline as P
+
+    odd = [(900_001, None), (900_002, ""), (900_003, " \n "), (900_004, "alone here"), (900_004, "alone here"), (900_005, "alone here")]
+    some = sorted(texts.items())[:60]
+    frame = spark.createDataFrame(some + odd, "doc_id bigint, text string").withColumn("cls", F.lit("clash")).withColumn("k1s", F.lit(1)).withColumn("lost", F.lit(2))
+    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        common.table(spark, sf_dir, name).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = P.run(spark, f"file://{tmp_path}").collect()
+    kept = {r.doc_id for r in common.written(P.drop_toxic(spark, common.documents(spark, f"file://{tmp_path}"), f"file://{tmp_path}")).select("doc_id").collect()}
+    docs = {i: t or "" for i, t in some + odd if i in kept}
+    holders = collections.defaultdict(set)
+    for i, t in docs.items():
+        for line in t.split("\n"):
+            holders[line.strip(" \t\n\v\f\r").translate(FOLD)].add(i)
+    gone = lambda i, line: len(k := line.strip(" \t\n\v\f\r").translate(FOLD)) >= 10 and min(holders[k]) < i
+    lines = {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in docs.items()}
+    first = {i: t for i, t in lines.items() if near_duplicates(lines)[i][1] == i}
+    left = spark.createDataFrame(sorted(first.items()), "doc_id bigint, text string")
+    leaked = {r.doc_id for r in decontamination.decontaminate(left, common.table(spark, sf_dir, "benchmark")).collect()}
+    lib = sentencepiece_codec.Codec(sentencepiece_codec.model_path()).lib
+    assert {r.doc_id: list(r.ids) for r in got} == {i: lib.encode(t) for i, t in first.items() if i not in leaked}
