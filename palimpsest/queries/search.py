@@ -170,6 +170,7 @@ _IDF = f"WITH {_TOK}, p AS (SELECT DISTINCT t, doc_id FROM tok) SELECT t AS fami
 ORACLE_SQL = {
     "pool_build": f"WITH {POOL_SQL} SELECT entry_id, entry_key, memory_type, path, length(text) AS text_length FROM pool",
     "tokenize_stats": f"WITH {_TOK} SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1",
+    "word_families": f"WITH RECURSIVE {_TOK}, p AS (SELECT DISTINCT t AS a, {_LEMMA} AS b FROM tok), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT a, a FROM p UNION SELECT b, b FROM p), r(n, m) AS (SELECT a, b FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m), f AS (SELECT n, min(m) AS family FROM r GROUP BY n) SELECT family, count(*) AS members, max(n) AS last_member FROM f GROUP BY family",
     "inverted_index": f"WITH {_TOK} SELECT t AS family, count(DISTINCT doc_id) AS df, count(*) AS cf, min(doc_id) AS first_doc FROM tok GROUP BY 1",
     "bm25_idf": _IDF,
     "incremental_index": _IDF,

@@ -191,6 +191,9 @@ _RENDER = """w AS (SELECT topic_id, name, 0 AS level, lpad(topic_id::VARCHAR, 12
 _LINE = "string_agg(repeat(chr(9), level) || name || CASE WHEN children > 0 THEN ' [children:' || children || ']' ELSE ' [memories:' || coalesce(n, 0) || ']' END, chr(10) ORDER BY k)"
 ORACLE_SQL = {
     "tree_paths": f"WITH RECURSIVE {_T}, w AS (SELECT topic_id, name AS path, 0::BIGINT AS level FROM t WHERE parent_id IS NULL UNION ALL SELECT t.topic_id, w.path || ' > ' || t.name, w.level + 1 FROM w JOIN t ON t.parent_id = w.topic_id) SELECT topic_id, path, level FROM w",
+    "apply_changes": f"""WITH RECURSIVE {_NAT}, t AS (SELECT * FROM nat), {_UP}, mv AS (SELECT * FROM (VALUES (1, 100), (2, 107)) AS v(a, p) WHERE NOT EXISTS (SELECT 1 FROM up WHERE ancestor = a AND descendant = p)), top AS (SELECT max(topic_id) + 1 AS made FROM nat)
+      SELECT topic_id, CASE WHEN topic_id = 103 THEN made WHEN topic_id IN (SELECT a FROM mv) THEN (SELECT p FROM mv WHERE a = topic_id) WHEN parent_id = 101 THEN 102 ELSE parent_id END AS parent_id, CASE WHEN topic_id = 0 THEN 'Africa' ELSE name END AS name FROM nat, top WHERE topic_id <> 101
+      UNION ALL SELECT made, NULL, 'Old World' FROM top""",
     "tree_leaves": f"WITH {_T} SELECT topic_id FROM t WHERE topic_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL)",
     "topic_counts": "SELECT 1000 + o_custkey AS topic_id, count(*) AS n FROM orders GROUP BY 1",
     "tree_render": f"WITH RECURSIVE {_NAT}, x AS (SELECT * FROM nat), {_RENDER}, c AS (SELECT 100 + c_nationkey AS topic_id, count(*) AS n FROM customer GROUP BY 1) SELECT root, {_LINE} AS tree FROM w LEFT JOIN ch USING (topic_id) LEFT JOIN c USING (topic_id) GROUP BY root",

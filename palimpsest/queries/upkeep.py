@@ -213,5 +213,6 @@ ORACLE_SQL = {
     "parent_descriptions": f"WITH {_PATCH} SELECT parent_id, sha256(string_agg(text, chr(10) ORDER BY child_id)) AS description_sha256 FROM pm WHERE state = 'source' GROUP BY 1",
     "single_child": "SELECT (p_size * 100 + p_partkey % 61)::BIGINT AS parent_id, max(p_name) AS description FROM part GROUP BY 1 HAVING count(*) = 1",
     "hierarchical_rollup": f"WITH RECURSIVE {_T}, {_UP}, o AS (SELECT 1000 + o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT ancestor AS topic_id, CASE WHEN ancestor < 100 THEN 0 WHEN ancestor < 1000 THEN 1 ELSE 2 END::BIGINT AS level, coalesce(sum(n), 0)::BIGINT AS total, CASE WHEN ancestor < 100 THEN 'high' WHEN ancestor < 1000 THEN 'mid' ELSE 'near_leaf' END AS tier FROM up LEFT JOIN o ON o.k = descendant GROUP BY ancestor",
+    "fill_missing_vectors": r"SELECT doc_id, 64 AS dims, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "forget_reset": f"WITH {MEM_SQL} SELECT lang AS user_id, memory_type, count(*) AS n FROM mem WHERE lang <> 'es' AND id % 7 <> 0 GROUP BY 1, 2",
 }

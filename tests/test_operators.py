@@ -271,3 +271,72 @@ def test_writers_stand_side_by_side(spark, tmp_path):
     assert {r.id for r in b.read("messages").collect()} == {1, 2, 9}
     a.remove("messages", "x/y")
     assert b.read("messages").count() == 1
+
+
+def _plain_linkage(x, limit):
+    """Clusters by the definition: the pair whose farthest members are nearest is joined while those are under the limit."""
+    parts = [[i] for i in range(len(x))]
+    while True:
+        best = min(((max(1 - x[i] @ x[j] for i in a for j in b), p, q) for p, a in enumerate(parts) for q, b in enumerate(parts) if p < q), default=None)
+        if best is None or best[0] >= limit:
+            return sorted(sorted(p) for p in parts)
+        parts[best[1]] += parts.pop(best[2])
+
+
+def test_linkage_against_its_definition(spark):
+    rng = np.random.default_rng(5)
+    for n, limit in ((1, 0.5), (12, 0.4), (40, 0.7), (40, 2.1)):
+        x = cluster.matrix(list(rng.standard_normal((n, 6))))
+        label = cluster.complete_linkage(x, limit)
+        assert sorted(np.flatnonzero(label == c).tolist() for c in set(label)) == _plain_linkage(x, limit)
+
+
+def test_decision_clusters_stay_within_a_user(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 2], i, rng.standard_normal(4).tolist()) for i in range(30)]
+    got = cluster.decision_clusters(spark.createDataFrame(rows, "user_id string, id bigint, embedding array<double>"), similarity=0.3).collect()
+    assert sorted(r.id for r in got) == list(range(30))
+    for u in "ab":
+        ids = [r[1] for r in rows if r[0] == u]
+        parts = {}
+        for r in got:
+            if r.user_id == u:
+                parts.setdefault(r.cluster, []).append(ids.index(r.id))
+        assert sorted(map(sorted, parts.values())) == _plain_linkage(cluster.matrix([rows[i][2] for i in ids]), 0.7)
+
+
+def test_batches_are_whole_and_within_budget():
+    rng = np.random.default_rng(7)
+    for n, budget in ((1, 3), (9, 12), (25, 30)):
+        x, tokens = cluster.matrix(list(rng.standard_normal((n, 5)))), rng.integers(1, 20, n)
+        packs = cluster.pack_batches(x, tokens, budget)
+        assert sorted(c for p in packs for c in p) == list(range(n))
+        assert all(tokens[p].sum() <= budget or len(p) == 1 for p in packs)
+        left, s = set(range(n)), x @ x.T
+        for p in packs:  # every step by the definition
+            pairs = [(s[i, j], i, j) for i in left for j in left if i < j]
+            if pairs:
+                _, i, j = max(pairs)
+                assert p[0] in (i, j) and tokens[p[0]] == max(tokens[i], tokens[j])
+            for k in range(1, len(p)):
+                rest = left - set(p[:k])
+                assert np.isclose(s[p[k], p[:k]].mean(), max(s[c, p[:k]].mean() for c in rest))
+            left -= set(p)
+
+
+def test_split_overloaded_against_its_definition(spark):
+    rng = np.random.default_rng(8)
+    home = rng.standard_normal((3, 6)) * 4
+    rows = [(t, t * 1000 + i, (home[i % 3] + rng.standard_normal(6)).tolist()) for t, n in ((1, 120), (2, 100), (3, 7)) for i in range(n)]
+    got = cluster.split_overloaded(spark.createDataFrame(rows, "topic bigint, vec_id bigint, embedding array<double>")).collect()
+    assert sorted(r.vec_id for r in got) == [r[1] for r in rows if r[0] == 1]  # only the leaf over 100 is split
+    x = cluster.matrix([r[2] for r in rows if r[0] == 1])
+    label = np.array([r.cluster for r in sorted(got, key=lambda r: r.vec_id)])
+    stands = np.array([r.representative for r in sorted(got, key=lambda r: r.vec_id)])
+    assert 2 <= len(set(label)) <= 5
+    centre = np.stack([x[label == c].mean(axis=0) for c in range(label.max() + 1)])
+    d = ((x[:, None] - centre) ** 2).sum(axis=2)
+    assert (d.argmin(axis=1) == label).all()
+    for c in set(label):
+        own, far = d[label == c, c], stands[label == c]
+        assert far.sum() == min(8, len(own)) and own[far].max() <= own[~far].min(initial=np.inf)
