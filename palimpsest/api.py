@@ -39,6 +39,7 @@ class Engine:
         self.spark, self.store = spark, Warehouse(spark, path)
         self.extractor, self.embedder, self.reranker, self.judge, self.summarizer, self.planner = extractor, embedder, reranker, judge, summarizer, planner
         self._indexes: OrderedDict[str, tuple[DataFrame, ...]] = OrderedDict()
+        self._sizes: dict[str, int] = {}  # entries of each pool
 
     def add(self, messages: list[dict], user_id: str = "default", timestamp=None) -> int:
         """Queues a conversation; returns the job's id."""
@@ -295,7 +296,9 @@ class Engine:
             stats = self.store.read("doc_stats", user_id).filter("dl > 0").select("entry_key", "dl").persist()
             fam = index.families(post).persist()
             by_family = post.join(fam, "token").groupBy("family", "entry_key").agg(F.sum("tf").alias("tf")).persist()
-            corp = self.spark.createDataFrame([tuple(index.corpus(stats, pool).first())], "n bigint, avg_dl double")
+            n, avg_dl = index.corpus(stats, pool).first()
+            self._sizes[user_id] = n
+            corp = self.spark.sql("SELECT CAST(:n AS BIGINT) AS n, CAST(:avg_dl AS DOUBLE) AS avg_dl", args={"n": n, "avg_dl": avg_dl})
             self._indexes[user_id] = (pool, by_family, stats, corp, fam)
             while len(self._indexes) > INDEXES:
                 for frame in self._indexes.popitem(last=False)[1]:
@@ -316,16 +319,16 @@ class Engine:
 
     def _search(self, query: str, user_id: str, top_k: int, rerank: bool) -> RetrievalResult:
         said = self.denoise(query) if "\n" in query else query
-        q = self.spark.createDataFrame([(0, said)], "qid int, text string")
+        q = self.spark.sql("SELECT 0 AS qid, :said AS text", args={"said": said})
         kind = q.select(X.classify_query(F.col("text"))).first()[0]
         pool, post, stats, corp, fam = self._index(user_id)
-        if pool.isEmpty():
+        if not self._sizes[user_id]:
             return RetrievalResult("", {"entries": []}, HINT, kind)
         lexical = index.bm25(post, stats, corp, index.query_families(index.tokens(q, "qid"), fam, "qid"), "entry_key")
         vector = self._embed(q, "qid", "text").first()["embedding"]
         cosine = X.dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
         scored = pool.select("entry_key", "memory_type", "id", F.round(F.coalesce(cosine, F.lit(0.0)), 9).alias("cosine")).join(lexical, "entry_key", "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
-        fused = retrieval.fuse(scored, "entry_key").persist()  # keys and scores only; texts join what is left of them
+        fused = retrieval.fuse(scored, "entry_key", rows=self._sizes[user_id], narrow=True).persist()  # keys and scores only; texts join what is left of them
         try:
             best = retrieval.partitioned_topk(fused, "entry_key", kind == "broad_overview")
             if rerank:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.sources.tables import checkpointed
 
 from .index import RRF_K, W_BM25, W_VEC
 
@@ -13,6 +14,8 @@ from .index import RRF_K, W_BM25, W_VEC
 TOP_K = {"episodic": 40, "knowledge": 40, "user": 30, "decision": 30, "node": 10}
 FIXED_TIER = {"episodic": 5, "knowledge": 5, "decision": 5, "user": 8, "node": 5}
 ANCHORS, EXPAND_TOP, EXPAND_MIN, EXPAND_KEEP, SUMMARY_CAP, CORPUS_K = 3, 20, 0.5, 5, 3, 30
+#: Entries whose (key, score) pairs one task ranks; more are ranked in ranges.
+RANK_ROWS = 2_000_000
 SECTIONS = ("decision", "user", "knowledge", "episodic")
 
 
@@ -22,16 +25,42 @@ def rank(score: Column, *ties: str, by: tuple[str, ...] = ()) -> Column:
     return F.row_number().over(w.orderBy(F.round(score, 9).desc(), *ties)).cast("bigint")
 
 
-def fuse(scored: DataFrame, key: str = "entry_id", by: tuple[str, ...] = ()) -> DataFrame:
+def ordered_ranks(scored: DataFrame, score: str, key: str, parts: int) -> DataFrame:
+    """(key, rank) of all rows by falling score, ties by key, without a task that holds them all.
+
+    Ranges of (score, key) are sorted each on its own; a row's rank is its place in its range and the sizes of the ranges before.
+    The ranges are written, so their bounds are fixed; `parts` sizes are all that the driver sees.
+    """
+    order = F.round(F.col(score), 9).desc(), F.col(key)
+    cut = scored.select(key, F.col(score)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut = checkpointed(cut.select(key, F.monotonically_increasing_id().alias("_at")))  # range number << 33 | place
+    sizes = cut.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r["_part"]], total = total, total + r["n"]
+    before = F.create_map(*[F.lit(x) for p, n in starts.items() for x in (p, n)]) if starts else F.create_map(F.lit(0), F.lit(0))
+    return cut.select(key, (before[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint").alias("rank"))
+
+
+def fuse(scored: DataFrame, key: str = "entry_id", by: tuple[str, ...] = (), rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Adds rank_vec, rank_bm25 and rrf. `by`: the query or user column when several are ranked at once.
 
     A global rank needs the (key, score) pairs in one order; where nothing parts them, only these are ranked and joined back.
+    rows: how many there are, where known; over RANK_ROWS they are ranked in ranges instead of one task. narrow: scored holds
+    keys and scores only, so up to RANK_ROWS it is ranked as it is.
     """
-    if not by:
+    fused = F.round(F.lit(W_VEC) / (RRF_K + F.col("rank_vec")) + F.lit(W_BM25) / (RRF_K + F.col("rank_bm25")), 9)
+    if not by and (rows or 0) > RANK_ROWS:
+        scored = checkpointed(scored)
+        for score, name in (("cosine", "rank_vec"), ("bm25", "rank_bm25")):
+            ranks = ordered_ranks(scored.select(key, "cosine", "bm25"), score, key, -(-rows // RANK_ROWS) + 1)
+            scored = scored.join(ranks.withColumnRenamed("rank", name), key)
+        return scored.withColumn("rrf", fused)
+    if not by and not narrow:
         ranks = scored.select(key, rank(F.col("cosine"), key).alias("rank_vec"), rank(F.col("bm25"), key).alias("rank_bm25"))
-        return scored.join(ranks, key).withColumn("rrf", F.round(F.lit(W_VEC) / (RRF_K + F.col("rank_vec")) + F.lit(W_BM25) / (RRF_K + F.col("rank_bm25")), 9))
+        return scored.join(ranks, key).withColumn("rrf", fused)
     d = scored.withColumn("rank_vec", rank(F.col("cosine"), key, by=by)).withColumn("rank_bm25", rank(F.col("bm25"), key, by=by))
-    return d.withColumn("rrf", F.round(F.lit(W_VEC) / (RRF_K + F.col("rank_vec")) + F.lit(W_BM25) / (RRF_K + F.col("rank_bm25")), 9))
+    return d.withColumn("rrf", fused)
 
 
 def _per_type(values: dict[str, int]) -> Column:

@@ -71,12 +71,16 @@ def cosine_topk(spark, d):
     return s.orderBy(F.desc("cosine"), "vec_id").limit(100)
 
 
+def _fused(spark, d):
+    return R.fuse(scored(spark, d), rows=table(spark, d, "documents").count())  # the pool has no more rows than documents
+
+
 def hybrid_rrf(spark, d):
-    return R.fuse(scored(spark, d)).select("entry_id", F.round("cosine", 6).alias("cosine"), F.round("bm25", 6).alias("bm25"), "rank_vec", "rank_bm25", "rrf")
+    return _fused(spark, d).select("entry_id", F.round("cosine", 6).alias("cosine"), F.round("bm25", 6).alias("bm25"), "rank_vec", "rank_bm25", "rrf")
 
 
 def _topk(spark, d):
-    return R.partitioned_topk(R.fuse(scored(spark, d)))
+    return R.partitioned_topk(_fused(spark, d))
 
 
 def partitioned_topk(spark, d):
@@ -94,7 +98,7 @@ def rerank_order(spark, d):
 
 def _anchor_scores(spark, d) -> tuple[DataFrame, DataFrame]:
     """(anchor_id, entry_id, bm25, rrf) of knowledge and episodic entries, and the hits. Anchors are three at most."""
-    fused = R.fuse(scored(spark, d))
+    fused = _fused(spark, d)
     hits = R.quotas(R.partitioned_topk(fused))
     anchors = hits.filter("tier = 0").select(F.col("entry_id").alias("anchor_id"), "content")
     p = pool(spark, d)

@@ -340,3 +340,16 @@ def test_split_overloaded_against_its_definition(spark):
     for c in set(label):
         own, far = d[label == c, c], stands[label == c]
         assert far.sum() == min(8, len(own)) and own[far].max() <= own[~far].min(initial=np.inf)
+
+
+def test_ranks_in_ranges_equal_a_plain_sort(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [(i, "ab"[i % 2], round(float(rng.integers(0, 9)) / 7, 9), 0.0 if i % 3 else float(rng.integers(0, 4))) for i in range(500)]
+    d = spark.createDataFrame(data, "entry_id bigint, memory_type string, cosine double, bm25 double").repartition(6)
+    want = {x[0]: n + 1 for n, x in enumerate(sorted(data, key=lambda x: (-x[2], x[0])))}
+    assert {r.entry_id: r["rank"] for r in retrieval.ordered_ranks(d, "cosine", "entry_id", 7).collect()} == want
+    assert retrieval.ordered_ranks(d.limit(0), "cosine", "entry_id", 7).count() == 0
+    plain = rows(retrieval.fuse(d).select("entry_id", "rank_vec", "rank_bm25", "rrf"))
+    assert rows(retrieval.fuse(d, narrow=True).select("entry_id", "rank_vec", "rank_bm25", "rrf")) == plain
+    monkeypatch.setattr(retrieval, "RANK_ROWS", 60)
+    assert rows(retrieval.fuse(d, rows=500).select("entry_id", "rank_vec", "rank_bm25", "rrf")) == plain
