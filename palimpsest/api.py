@@ -5,8 +5,9 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import json
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,7 +296,7 @@ class Engine:
             post = self.store.read("postings", user_id)
             stats = self.store.read("doc_stats", user_id).filter("dl > 0").select("entry_key", "dl").persist()
             fam = index.families(post).persist()
-            by_family = post.join(fam, "token").groupBy("family", "entry_key").agg(F.sum("tf").alias("tf")).persist()
+            by_family = index.weighted(post.join(fam, "token").groupBy("family", "entry_key").agg(F.sum("tf").alias("tf")), stats, "entry_key").persist()
             n, avg_dl = index.corpus(stats, pool).first()
             self._sizes[user_id] = n
             corp = self.spark.sql("SELECT CAST(:n AS BIGINT) AS n, CAST(:avg_dl AS DOUBLE) AS avg_dl", args={"n": n, "avg_dl": avg_dl})
@@ -324,7 +325,7 @@ class Engine:
         pool, post, stats, corp, fam = self._index(user_id)
         if not self._sizes[user_id]:
             return RetrievalResult("", {"entries": []}, HINT, kind)
-        lexical = index.bm25(post, stats, corp, index.query_families(index.tokens(q, "qid"), fam, "qid"), "entry_key")
+        lexical = index.bm25(post, stats, corp, self._asked(index.tokens(q, "qid"), fam, "qid"), "entry_key")
         vector = self._embed(q, "qid", "text").first()["embedding"]
         cosine = X.dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
         scored = pool.select("entry_key", "memory_type", "id", F.round(F.coalesce(cosine, F.lit(0.0)), 9).alias("cosine")).join(lexical, "entry_key", "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
@@ -337,7 +338,7 @@ class Engine:
             near = self._expand(hits, fused, pool, post, stats, corp, fam)
         finally:
             fused.unpersist()
-        chosen = self.spark.createDataFrame([(h["entry_key"], h["tier"], h["place"]) for h in hits + near] or [("", 0, 0)], "entry_key string, tier int, place bigint")
+        chosen = self.spark.createDataFrame(pa.table({"entry_key": pa.array([h["entry_key"] for h in hits + near], pa.string()), "tier": pa.array([h["tier"] for h in hits + near], pa.int32()), "place": pa.array([h["place"] for h in hits + near], pa.int64())}))
         full = pool.join(F.broadcast(chosen), "entry_key").withColumn("entry_id", F.col("id")).withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("")))
         rows = retrieval.context_items(full).select("section", "memory_type", "tier", "place", "entry_id", "line").collect()
         rows.sort(key=lambda r: (r.section or 9, r.tier, r.place, r.entry_id))
@@ -348,18 +349,29 @@ class Engine:
         trace = {"entries": [f"{r.memory_type}:{r.entry_id}" for r in rows], "anchors": [r.entry_id for r in rows if r.tier == 0], "expansions": {h["anchor_id"]: [x["entry_key"] for x in near if x["anchor_id"] == h["anchor_id"]] for h in near}}
         return RetrievalResult(context, trace, HINT, kind)
 
+    def _asked(self, words: DataFrame, fam: DataFrame, qid: str) -> DataFrame:
+        """(qid, family, qn) of words (qid, token, lemma), as a local frame: those of a query, or of a few anchors, whose texts the context holds anyway."""
+        said = words.groupBy(qid, "token", "lemma").agg(F.count("*").alias("n")).collect()
+        asked = self.spark.createDataFrame(pa.table({"token": pa.array(sorted({x for r in said for x in (r.token, r.lemma)}), pa.string())}))
+        names = {r.token: r.family for r in fam.join(F.broadcast(asked), "token").select("token", "family").collect()}
+        n: Counter = Counter()
+        for r in said:
+            n[r[qid], names.get(r.token, names.get(r.lemma, r.token))] += r.n
+        kind = pa.int32() if words.schema[qid].dataType.typeName() == "integer" else pa.string()
+        return self.spark.createDataFrame(pa.table({qid: pa.array([k[0] for k in n], kind), "family": pa.array([k[1] for k in n], pa.string()), "qn": pa.array(list(n.values()), pa.int64())}))
+
     def _expand(self, hits: list[dict], fused: DataFrame, pool: DataFrame, post: DataFrame, stats: DataFrame, corp: DataFrame, fam: DataFrame) -> list[dict]:
         """Knowledge and episodes near each decision anchor that neither the hits nor an earlier anchor has; tier 3, by anchor."""
         anchors = sorted((h for h in hits if h["tier"] == 0), key=lambda h: h["place"])
         if not anchors:
             return []
-        ranks = self.spark.createDataFrame([(h["entry_key"], h["place"]) for h in anchors], "anchor_id string, anchor_rank bigint")
+        ranks = self.spark.createDataFrame(pa.table({"anchor_id": [h["entry_key"] for h in anchors], "anchor_rank": pa.array([h["place"] for h in anchors], pa.int64())}))
         said = pool.join(F.broadcast(ranks), F.col("entry_key") == F.col("anchor_id")).select("anchor_id", "content")
-        words = index.query_families(index.tokens(said, "anchor_id", "content"), fam, "anchor_id")
+        words = self._asked(index.tokens(said, "anchor_id", "content"), fam, "anchor_id")
         others = fused.filter(F.col("memory_type").isin("knowledge", "episodic")).select("entry_key", "rrf")
         scores = index.bm25_each(post, stats, corp, words, "anchor_id", "entry_key").join(others, "entry_key")
         kept = retrieval.keep_expansions(retrieval.expansions(scores, "entry_key"), "entry_key").join(F.broadcast(ranks), "anchor_id")
-        claimed = self.spark.createDataFrame([(h["entry_key"],) for h in hits], "entry_key string")
+        claimed = self.spark.createDataFrame(pa.table({"entry_key": [h["entry_key"] for h in hits]}))
         out = retrieval.dedup_expansions(kept, claimed, "entry_key").select("anchor_id", "anchor_rank", "entry_key", "kept").collect()  # five an anchor at most
         return [{"entry_key": r.entry_key, "anchor_id": r.anchor_id, "tier": 3, "place": r.anchor_rank * 100 + r.kept} for r in out]
 

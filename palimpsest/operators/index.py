@@ -85,29 +85,50 @@ def terms(post: DataFrame, corp: DataFrame) -> DataFrame:
     return post.groupBy("family").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corp.select("n"))).select("family", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def weighted(post: DataFrame, stats: DataFrame, key: str = "entry_id") -> DataFrame:
+    """Postings with their family's df and their entry's dl: what a stored index is searched by without a join."""
+    df = post.groupBy("family").agg(F.count("*").alias("df"))
+    return post.join(df, "family").join(stats.select(key, "dl"), key).select("family", key, "tf", "df", "dl")
+
+
+def _weighed(hits: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """hits with df and dl, where they lack them. hits: all postings of the families in it; these are as few as a query's words."""
+    if "df" not in hits.columns:
+        hits = hits.join(F.broadcast(hits.groupBy("family").agg(F.count("*").alias("df"))), "family")
+    return hits if "dl" in hits.columns else hits.join(stats, key)
+
+
+def _part() -> Column:
+    """What a query word that occurs qn times adds to an entry's score."""
+    return F.col("qn") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
+
+
+def _times(query: DataFrame) -> Column:
+    return (F.sum("qn") if "qn" in query.columns else F.count("*")).alias("qn")
+
+
 def bm25(post: DataFrame, stats: DataFrame, corp: DataFrame, query: DataFrame, key: str = "entry_id") -> DataFrame:
-    """(key, bm25) of entries with a query term. query: one row for each query word (family); repeated words add again."""
-    hits = post.join(F.broadcast(query.groupBy("family").agg(F.count("*").alias("qn"))), "family")
-    df = hits.groupBy("family").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "family").join(stats, key).crossJoin(F.broadcast(corp))
-    part = F.col("qn") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy(key).agg(F.sum(part).alias("bm25"))
+    """(key, bm25) of entries with a query term. query: one row for each query word (family), or for several with their number qn; repeated words add again."""
+    hits = post.join(F.broadcast(query.groupBy("family").agg(_times(query))), "family")
+    return _weighed(hits, stats, key).crossJoin(F.broadcast(corp)).groupBy(key).agg(F.sum(_part()).alias("bm25"))
 
 
 def bm25_each(post: DataFrame, stats: DataFrame, corp: DataFrame, queries: DataFrame, qid: str, key: str = "entry_id") -> DataFrame:
-    """(qid, key, bm25) for several queries at once: queries has a row (qid, family) for each word."""
-    asked = queries.groupBy(qid, "family").agg(F.count("*").alias("qn"))
-    hits = post.join(F.broadcast(asked.select("family").distinct()), "family")
-    df = hits.groupBy("family").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "family").join(F.broadcast(asked), "family").join(stats, key).crossJoin(F.broadcast(corp))
-    part = F.col("qn") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy(qid, key).agg(F.sum(part).alias("bm25"))
+    """(qid, key, bm25) for several queries at once: queries has a row (qid, family) for each word, or for several with their number qn."""
+    asked = queries.groupBy(qid, "family").agg(_times(queries))
+    hits = post if "df" in post.columns else post.join(F.broadcast(asked.select("family").distinct()), "family")
+    return _weighed(hits, stats, key).join(F.broadcast(asked), "family").crossJoin(F.broadcast(corp)).groupBy(qid, key).agg(F.sum(_part()).alias("bm25"))
 
 
 def query_families(words: DataFrame, fam: DataFrame, qid: str) -> DataFrame:
-    """(qid, family) of query tokens (qid, token, lemma): the family of the word, else of its lemma, else the word itself."""
-    own, by_lemma = fam.select("token", F.col("family").alias("_f")), fam.select(F.col("token").alias("lemma"), F.col("family").alias("_g"))
-    return words.join(own, "token", "left").join(by_lemma, "lemma", "left").select(qid, F.coalesce("_f", "_g", "token").alias("family"))
+    """(qid, family) of query tokens (qid, token, lemma): the family of the word, else of its lemma, else the word itself.
+
+    Only the words of queries and their families travel; fam stays where it is.
+    """
+    asked = words.select("token").union(words.select("lemma")).distinct()
+    few = fam.join(F.broadcast(asked), "token").select("token", "family")
+    own, by_lemma = few.withColumnRenamed("family", "_f"), few.select(F.col("token").alias("lemma"), F.col("family").alias("_g"))
+    return words.join(F.broadcast(own), "token", "left").join(F.broadcast(by_lemma), "lemma", "left").select(qid, F.coalesce("_f", "_g", "token").alias("family"))
 
 
 def ingest(post: DataFrame, stats: DataFrame, new_entries: DataFrame, key: str = "entry_id") -> tuple[DataFrame, DataFrame]:
