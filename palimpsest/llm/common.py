@@ -67,6 +67,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A join key is hot where it holds over one row in so many; there are at most as many such keys, whatever the size of the table.
+HOT_SHARE = 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], counted: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key at most; the rows of a hot key are dealt to several tasks.
+
+    counted: the key and n, the rows that left has of it (at most; a key that is not there counts as rare). It is read twice. by: columns
+    of left by whose hash a hot key's rows are dealt, the same at every try. Rows of right are repeated for hot keys, at most
+    2 * HOT_SHARE of them, and so bounded is what is broadcast. Null keys of left meet nothing, as in any join.
+    """
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
+    salt, parts, hot_key = (free_name([*left.columns, *right.columns], x) for x in ("salt", "parts", "hot_key"))
+    hot = counted.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(F.struct(*key).alias(hot_key), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("long").alias(parts))
+    hot = F.broadcast(hot)
+    own, other = (d.join(hot, F.struct(*(d[k] for k in key)) == hot[hot_key], "left").drop(hot_key).withColumn(parts, F.coalesce(parts, F.lit(1))) for d in (left, right))
+    own = own.withColumn(salt, F.pmod(F.xxhash64(*by), F.col(parts))).drop(parts)
+    other = other.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))).drop(parts)
+    return own.join(other, [*key, salt], how).drop(salt)
+
+
 def task(run):
     """`run` of a mapInArrow whose worker gives memory back when its task ends: workers outlive tasks, and stages add up."""
 

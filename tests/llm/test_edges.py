@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, media_columns, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
+from palimpsest.llm import common, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, media_columns, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 CLASHES = ("key", "cls", "digest", "n", "spans", "comp", "block", "fp", "score", "k1", "gold", "lang_pred", "_k1s", "word")
 LONG = "lorem ipsum dolor sit amet " * 60_000  # 1.6 MB
@@ -63,3 +63,16 @@ def test_whole_rows_stay_in_place(spark):
     assert out.columns == d.columns and out.count() == len(ROWS)
     kept = toxicity.accepted(d, toxicity.Scorer())
     assert kept.columns == d.columns
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_the_join(spark, how):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}", i % 2) for i in range(3000)] + [(-1, None, 0), (-1, None, 0), (-2, "rare", 1)], "i long, k string, salt int")
+    right = spark.createDataFrame([("hot", 1, "x"), ("k0", 2, "y"), ("k3", 3, None), ("unused", 4, "z")], "k string, parts int, v string")
+    counted = left.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    got = common.spread_join(left, right, ["k"], counted, ["i"], how)
+    want = left.join(right, ["k"], how)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    none = common.spread_join(left.limit(0), right, ["k"], counted.limit(0), ["i"], how)
+    assert none.count() == 0
