@@ -129,13 +129,15 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     return d.mapInArrow(common.task(run), f"`{key}` {d.schema[key].dataType.simpleString()}, segments array<{SEGMENT}>")
 
 
-def resolved(seqs: DataFrame, media: DataFrame, key: str = "page_id", *more: str) -> DataFrame:
+def resolved(seqs: DataFrame, media: DataFrame, key: str = "page_id", *more: str, counted: DataFrame | None = None) -> DataFrame:
     """A row for each segment, media segments with the columns of their row of `media` (digest, ...), by one join on the digest.
 
-    more: further columns of seqs that rows keep.
+    more: further columns of seqs that rows keep. counted: digest and n, how often it is referred to; given that, references to
+    one payload that very many pages share are dealt to several tasks.
     """
     flat = seqs.select(key, *more, F.explode("segments").alias("s")).select(key, *more, "s.*")
-    named = flat.filter("digest is not null").join(media, "digest", "left")
+    named = flat.filter("digest is not null")
+    named = named.join(media, "digest", "left") if counted is None else common.spread_join(named, media, ["digest"], counted, [key, "position"], "left")
     rest = flat.filter("digest is null").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema if f.name != "digest"))
     return named.unionByName(rest)  # text runs do not travel to the join
 
@@ -214,4 +216,5 @@ def document_media(docs: DataFrame) -> DataFrame:
     measured = every.select("digest", "medium").mapInArrow(common.task(measure), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     kept = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     once = measured.groupBy("digest").agg(*(F.min(c).alias(c) for c in kept))
-    return resolved(pages, once, "doc_id", "n_segments").select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *kept, "position", "n_segments")
+    counted = common.written(every.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"))
+    return resolved(pages, once, "doc_id", "n_segments", counted=counted).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *kept, "position", "n_segments")
