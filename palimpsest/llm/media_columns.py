@@ -200,7 +200,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     Then the place of its reference among the segments of its page, and how many these are.
     """
     pages = sequences(pages_of(docs), "doc_id")
-    pages = pages.select("doc_id", F.filter("segments", lambda x: x["kind"] == "media").alias("segments"), F.size("segments").alias("n_segments"))
+    media = F.filter("segments", lambda x: x["kind"] == "media").alias("segments")
+    pages = common.written(pages.select("doc_id", media, F.size("segments").alias("n_segments")))  # parsed once, read by both parts of resolved()
     every = common.written(media_table(docs))  # the store; what follows reads its bytes back
 
     def measure(batches):
