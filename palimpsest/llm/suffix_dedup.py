@@ -264,17 +264,17 @@ def _hashed(pieces: DataFrame) -> DataFrame:
 def covers(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b): byte ranges that repeated windows cover, possibly overlapping."""
     seg = common.written(segments(docs))
-    # counts are combined before a shuffle, and joins of written tables leave AQE free to split a hot anchor
+    # counts are combined before a shuffle, and joins deal a hot anchor's segments to several tasks
     several = F.min("sh") < F.max("sh")
-    fps = seg.groupBy("fp").agg(F.count("*").alias("all"), several.alias("several")).filter("all > 1").select("fp", "several")
-    seen = common.written(seg.join(fps, "fp"))
+    fps = common.written(seg.groupBy("fp").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1"))
+    seen = common.written(common.spread_join(seg, fps.drop("n"), ["fp"], fps, ["doc_id", "lo"]))
     alike = seen.filter("not several")  # all segments of the anchor are equal
     mixed = seen.filter("several")
     kinds = common.written(mixed.groupBy("fp", "sh").agg(F.count("*").alias("cnt"), *(F.first(c).alias(c) for c in ("doc_id", "lo", "n", "o"))))
-    again = mixed.join(kinds.filter("cnt > 1").select("fp", "sh"), ["fp", "sh"], "left_semi")
+    again = common.spread_join(mixed, kinds.filter("cnt > 1").select("fp", "sh"), ["fp", "sh"], kinds.select("fp", "sh", F.col("cnt").alias("n")), ["doc_id", "lo"])
     whole = alike.unionByName(again).select("doc_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    number = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(number, "fp").withColumn("hot", F.col("kinds") > HOT).withColumn("parts", F.ceil(F.col("kinds") * 70 / 1_000_000).cast("long"))
+    number = common.written(kinds.groupBy("fp").agg(F.count("*").alias("kinds")))
+    wanted = common.spread_join(kinds, number, ["fp"], number.select("fp", F.col("kinds").alias("n")), ["sh"]).withColumn("hot", F.col("kinds") > HOT).withColumn("parts", F.ceil(F.col("kinds") * 70 / 1_000_000).cast("long"))
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "cnt", "lo", "n", "o", "hot", "parts")).alias("w"))
 
     def clip(batches):
