@@ -79,10 +79,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], counted: Data
     2 * HOT_SHARE of them, and so bounded is what is broadcast. Null keys of left meet nothing, as in any join.
     """
     total = counted.agg(F.sum("n").alias("n")).first().n or 0
-    salt, parts, hot_key = (free_name([*left.columns, *right.columns], x) for x in ("salt", "parts", "hot_key"))
-    hot = counted.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(F.struct(*key).alias(hot_key), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("long").alias(parts))
+    taken = [*left.columns, *right.columns]
+    salt, parts = (free_name(taken, x) for x in ("salt", "parts"))
+    named = [free_name([*taken, salt, parts], f"hot_{k}") for k in key]
+    hot = counted.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(*(F.col(k).alias(x) for k, x in zip(key, named, strict=True)), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("long").alias(parts))
     hot = F.broadcast(hot)
-    own, other = (d.join(hot, F.struct(*(d[k] for k in key)) == hot[hot_key], "left").drop(hot_key).withColumn(parts, F.coalesce(parts, F.lit(1))) for d in (left, right))
+    own, other = (d.join(hot, [d[k] == hot[x] for k, x in zip(key, named, strict=True)], "left").drop(*named).withColumn(parts, F.coalesce(parts, F.lit(1))) for d in (left, right))
     own = own.withColumn(salt, F.pmod(F.xxhash64(*by), F.col(parts))).drop(parts)
     other = other.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))).drop(parts)
     return own.join(other, [*key, salt], how).drop(salt)
