@@ -32,7 +32,7 @@ LENGTH, GRAM = 200, 64
 #: Bits of a position in a packed minimum; longer texts are taken in pieces.
 _POS = 22
 PIECE = (1 << _POS) - 4 * LENGTH
-INDEX_BYTES, HOT = 1 << 21, 6_000
+INDEX_BYTES, HOT = 1 << 17, 6_000
 BROADCAST_IDS = 2_000_000
 
 
