@@ -1,7 +1,7 @@
 """Topic tree: paths, closures, rendering, constraints, merges, pruning and change-sets.
 
 topics: topic_id, parent_id, name (and user_id where several users share a table). Paths and closures are recursive SQL over the
-adjacency list, so depth, not size, sets the number of rounds. Only order-dependent change-sets collect a tree (TREE_ROWS bounds it).
+adjacency list, so depth, not size, sets the number of rounds; chains of only children are followed by doubling pointers. Only order-dependent change-sets collect a tree (TREE_ROWS bounds it).
 """
 
 from __future__ import annotations
@@ -162,6 +162,22 @@ def merge_items(target: DataFrame, source: DataFrame, keys: list[str], value: st
     return target.join(s, keys, "full").select(*keys, F.coalesce(F.nullif(value, F.lit("")), "_s", value).alias(value))
 
 
+def chain_heads(links: DataFrame) -> DataFrame:
+    """(topic_id, head, distance) for links (topic_id, parent_id) that form chains. The depth of chains doubles with every round of joins."""
+    from palimpsest.sources.tables import checkpointed
+
+    at = checkpointed(links.select("topic_id", F.col("parent_id").alias("head"), F.lit(1).cast("bigint").alias("distance"), F.lit(True).alias("moved")))
+    n, reach = at.count(), 1
+    while not at.filter("moved").isEmpty():
+        if reach > 2 * n:
+            raise ValueError("topics stand in a cycle")
+        hop = at.select(F.col("topic_id").alias("head"), F.col("head").alias("_h"), F.col("distance").alias("_d"))
+        moved = F.col("_h").isNotNull()
+        at = checkpointed(at.join(hop, "head", "left").select("topic_id", F.coalesce("_h", "head").alias("head"), F.when(moved, F.col("distance") + F.col("_d")).otherwise(F.col("distance")).alias("distance"), moved.alias("moved")))
+        reach *= 2
+    return at.drop("moved")
+
+
 def collapse_chains(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topics after every only child has folded into its parent, and redirects (topic_id, kept).
 
@@ -170,10 +186,9 @@ def collapse_chains(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     kids = topics.filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"), F.max("topic_id").alias("only"))
     single = kids.filter("n = 1").select(F.col("only").alias("topic_id"), F.col("parent_id").alias("up"))
     c = topics.join(single, "topic_id").select("topic_id", F.col("up").alias("parent_id"))
-    nodes = c.unionByName(c.select(F.col("parent_id").alias("topic_id"), F.lit(None).cast("bigint").alias("parent_id")).join(c.select("topic_id"), "topic_id", "left_anti").distinct())
-    chain = closure(nodes)
-    heads = nodes.filter("parent_id is null").select(F.col("topic_id").alias("ancestor"))
-    member = chain.join(heads, "ancestor").join(topics.select(F.col("topic_id").alias("descendant"), "name"), "descendant")
+    below = chain_heads(c)
+    chain = below.unionByName(below.select(F.col("head").alias("topic_id"), "head", F.lit(0).cast("bigint").alias("distance")).distinct())
+    member = chain.select(F.col("head").alias("ancestor"), F.col("topic_id").alias("descendant"), "distance").join(topics.select(F.col("topic_id").alias("descendant"), "name"), "descendant")
     order = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
     zero, step = F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull(), x["name"]).otherwise(X.better_name(x["name"], acc))
     named = member.groupBy("ancestor").agg(F.aggregate(order, zero, step).alias("new_name"))

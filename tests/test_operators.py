@@ -70,6 +70,16 @@ def test_collapse_deep_chain(spark):
     assert {r.kept for r in redirect.collect()} == {1} and redirect.count() == 3
 
 
+def test_collapse_chains_deeper_than_recursion_goes(spark):
+    n = 150
+    rows_ = [(1, None, "top"), (2, 1, "a"), (3, 1, "b")] + [(i, i - 1 if i > 4 else 2, f"n{i}") for i in range(4, n)]
+    out, redirect = tree.collapse_chains(checkpointed(spark.createDataFrame(rows_, "topic_id bigint, parent_id bigint, name string")))
+    assert [(r.topic_id, r.parent_id) for r in out.orderBy("topic_id").collect()] == [(1, None), (2, 1), (3, 1)]
+    assert redirect.count() == n - 4 and {r.kept for r in redirect.collect()} == {2}
+    with pytest.raises(ValueError, match="cycle"):
+        tree.collapse_chains(checkpointed(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "topic_id bigint, parent_id bigint, name string")))
+
+
 def test_prune_and_survivors(spark, tiny):
     counts = spark.createDataFrame([(2, 1)], "topic_id bigint, n bigint")
     assert rows(tree.prune_empty(tiny, counts).select("topic_id")) == [(1,), (2,)]
