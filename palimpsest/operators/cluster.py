@@ -2,11 +2,13 @@
 
 All-pairs work runs in blocks of a matrix product inside tasks; each row goes to every block of its group, and only its best leave
 one. Community search runs per user group, of which MAX_GROUP bounds one task: larger groups are first cut by k-means. Linkage takes
-a user's active decisions in one task without a bound.
+a user's active decisions in one task without a bound; it keeps pairs nearer than its limit only, or the matrix of those it cannot part.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -192,24 +194,106 @@ def communities(vectors: DataFrame, by: str = "user_id", key: str = "vec_id", ve
 
 
 def complete_linkage(x: np.ndarray, limit: float) -> np.ndarray:
-    """Clusters whose every pair is nearer than `limit` in cosine distance, merged nearest first."""
-    n = len(x)
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    alive = np.ones(n, bool)
-    while n > 1:
-        m = np.where(alive[:, None] & alive, d, np.inf)
-        i, j = divmod(int(m.argmin()), n)
-        if not m[i, j] < limit:
+    """Clusters whose every pair is nearer than `limit` in cosine distance, merged nearest first, ties by first members.
+
+    Pairs at the limit or beyond never merge, so only nearer ones are kept, each set that they connect is merged by itself, and copies
+    of a vector are one from the start. A set whose pairs are few is merged by pairs, another by its matrix.
+    """
+    label = np.arange(len(x))
+    if limit > 0 and len(x):
+        _, first, inv = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        label = np.where(x.any(axis=1), first[inv.ravel()], label)  # zero vectors are as far from each other as from any
+    rows = np.flatnonzero(label == np.arange(len(x)))
+    y, found = x[rows], []
+    for lo in range(0, len(y), BLOCK):
+        d = 1 - y[lo : lo + BLOCK] @ y[lo:].T
+        i, j = np.nonzero(np.triu(d < limit, 1))
+        found.append((i + lo, j + lo, d[i, j]))
+    a, b, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    part = np.arange(len(y))
+    while len(a):  # sets that pairs connect, by their least member
+        new = part.copy()
+        least = np.minimum(part[a], part[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == part).all():
             break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i] = np.inf
-        alive[j] = False
-        label[label == j] = i
+        part = new
+    order, of = np.argsort(part, kind="stable"), np.argsort(part[a], kind="stable")
+    to = np.arange(len(y))
+    for head in np.unique(part[a]).tolist():
+        own = order[slice(*np.searchsorted(part, (head, head + 1), sorter=order))]
+        e = of[slice(*np.searchsorted(part[a], (head, head + 1), sorter=of))]
+        if len(e) * 40 < len(own) ** 2:
+            merged = _merge_pairs(len(own), np.searchsorted(own, a[e]), np.searchsorted(own, b[e]), d[e])
+        else:
+            merged = _merge_matrix(1 - y[own] @ y[own].T, limit)
+        to[own] = own[merged]
+    kept = np.zeros(len(x), int)
+    kept[rows] = rows[to]
+    label = kept[label]
     number = {old: k for k, old in enumerate(dict.fromkeys(label.tolist()))}
-    return np.array([number[v] for v in label], int)
+    return np.array([number[v] for v in label.tolist()], int)
+
+
+def _heads(up: list[int]) -> np.ndarray:
+    """Of items that merged into earlier ones, the last each went to."""
+    for i, j in enumerate(up):
+        up[i] = up[j]
+    return np.array(up, int)
+
+
+def _merge_pairs(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The first member of each item's cluster; pairs a < b that are not given never merge. Every pair goes once, so this is E log E."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    heap = list(zip(d.tolist(), a.tolist(), b.tolist(), strict=True))
+    for v, i, j in heap:
+        near[i][j] = near[j][i] = v
+    heapq.heapify(heap)
+    up = list(range(n))
+    while heap:
+        v, i, j = heapq.heappop(heap)
+        if near[i].get(j) != v:
+            continue  # merged, forbidden or further apart by now
+        up[j] = i
+        mine, other = near[i], near[j]
+        del mine[j], other[i]
+        near[j] = {}
+        for k in [k for k in mine if k not in other]:
+            del mine[k], near[k][i]
+        for k, w in other.items():
+            del near[k][j]
+            if k in mine and w > mine[k]:
+                mine[k] = near[k][i] = w
+                heapq.heappush(heap, (w, min(i, k), max(i, k)))
+    return _heads(up)
+
+
+def _merge_matrix(d: np.ndarray, limit: float) -> np.ndarray:
+    """The first member of each item's cluster by a symmetric matrix, which is overwritten. Each row keeps its nearest; few change at a merge."""
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    near = d.argmin(axis=1)
+    best = d[np.arange(n), near]
+    up = list(range(n))
+    while True:
+        i = int(best.argmin())
+        if not best[i] < limit:
+            break
+        i, j = sorted((i, int(near[i])))
+        up[j] = i
+        np.maximum(d[i], d[j], out=d[i])
+        d[i, i] = d[i, j] = np.inf
+        d[:, i] = d[i]
+        d[j] = d[:, j] = np.inf
+        best[j] = np.inf
+        stale = (best < np.inf) & ((near == j) | ((near == i) & (d[i] != best)))
+        stale[i] = True
+        for k in np.flatnonzero(stale).tolist():
+            near[k] = d[k].argmin()
+            best[k] = d[k, near[k]]
+    return _heads(up)
 
 
 def decision_clusters(decisions: DataFrame, by: str = "user_id", key: str = "id", vector: str = "embedding", similarity: float = 0.75) -> DataFrame:

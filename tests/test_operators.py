@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -301,6 +302,27 @@ def test_linkage_against_its_definition(spark):
         assert sorted(np.flatnonzero(label == c).tolist() for c in set(label)) == _plain_linkage(x, limit)
 
 
+def test_linkage_of_many_vectors_ends():
+    rng = np.random.default_rng(8)
+    for x in (rng.standard_normal((3000, 64)), rng.standard_normal((1500, 64)) * 0.3 + 1):  # few near pairs, and nearly all
+        x = cluster.matrix(list(np.concatenate((x, x[:200], np.zeros((3, 64))))))
+        began = time.perf_counter()
+        label = cluster.complete_linkage(x, 0.7)
+        assert time.perf_counter() - began < 30
+        assert (label[:200] == label[-203:-3]).all() and len(set(label[-3:])) == 3
+        s = x @ x.T
+        assert all(s[np.ix_(own, own)].min() > 0.3 for c in range(label.max() + 1) if len(own := np.flatnonzero(label == c)) > 1)
+
+
+@pytest.mark.parametrize("limit", (0.05, 0.4, 0.9, 1.5))
+def test_both_ways_of_linkage_agree(limit):
+    rng = np.random.default_rng(9)
+    x = cluster.matrix(list(np.round(rng.standard_normal((60, 3)), 1)))
+    d = 1 - x @ x.T
+    i, j = np.nonzero(np.triu(d < limit, 1))
+    assert cluster._merge_pairs(60, i, j, d[i, j]).tolist() == cluster._merge_matrix(d, limit).tolist()
+
+
 def test_decision_clusters_stay_within_a_user(spark):
     rng = np.random.default_rng(6)
     rows = [("ab"[i % 2], i, rng.standard_normal(4).tolist()) for i in range(30)]
