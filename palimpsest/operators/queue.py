@@ -1,11 +1,14 @@
 """Queue and ingestion: turn formatting, greedy consolidation, job states, turn pairs, chunks, deduplication, routing texts.
 
 The greedy folds depend on order within a user, so they run as `aggregate` over the user's sorted jobs (JVM side, one array per
-user; a user's pending queue is bounded by the poll). Everything else is joins, windows and aggregates.
+user; a user's pending queue is bounded by the poll); greedy batches of any items are a sorted stream. Everything else is joins, windows and aggregates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,13 +152,48 @@ def budgeted(items: DataFrame, by: str, order: list[Column], size: Column, budge
 
 
 def greedy_batches(items: DataFrame, by: str, order: str, size: str, limit: int = BUDGET) -> DataFrame:
-    """(by, order, batch): a batch ends before the item that would pass the limit; an oversize item is alone."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(size).cast("bigint").alias("n"))))
-    zero = F.expr("named_struct('b', cast(0 as bigint), 'size', cast(0 as bigint), 'out', cast(array() as array<struct<o:bigint,batch:bigint>>))")
+    """(by, order, batch): a batch ends before the item that would pass the limit; an oversize item is alone.
 
-    def step(acc, x):
-        new = (acc["b"] == 0) | (acc["size"] + x["n"] > limit)
-        b = acc["b"] + F.when(new, 1).otherwise(0)
-        return F.struct(b.alias("b"), F.when(new, x["n"]).otherwise(acc["size"] + x["n"]).alias("size"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), b.alias("batch")))).alias("out"))
+    Batches follow from one another, so a group is one sorted stream in one task, of which no more than an Arrow batch is held.
+    After a null size a batch never ends, as no sum with it passes the limit.
+    """
 
-    return items.groupBy(by).agg(arr.alias("a")).select(by, F.explode(F.aggregate("a", zero, step, lambda a: a["out"])).alias("x")).select(by, F.col("x.o").alias(order), "x.batch")
+    def run(batches):
+        key, b, total, fresh = None, 0, 0, True
+        for batch in batches:
+            group = batch.column(0)
+            runs = pc.run_end_encode(group)
+            ends = runs.run_ends.to_pylist()
+            out, lo, sizes = np.empty(batch.num_rows, np.int64), 0, batch.column(2)
+            for name, hi in zip(runs.values.to_pylist(), ends, strict=True):
+                if fresh or name != key:
+                    key, b, total, fresh = name, 0, 0, False
+                own = sizes.slice(lo, hi - lo)
+                nulls = np.flatnonzero(own.is_null().to_numpy(zero_copy_only=False))
+                known = int(nulls[0]) if len(nulls) else hi - lo
+                open_end = total is None
+                ahead = np.concatenate(([0], np.cumsum(own.slice(0, known).to_numpy(), dtype=np.int64)))
+                i = 0
+                while i < known and not open_end:  # one step a batch, not an item
+                    if b == 0:
+                        b, j = 1, i + 1
+                        total = int(ahead[j] - ahead[i])
+                    else:
+                        j = max(i, int(np.searchsorted(ahead, ahead[i] + limit - total, side="right")) - 1)
+                        total += int(ahead[j] - ahead[i])
+                    out[lo + i : lo + j] = b
+                    i = j
+                    if i < known and total + int(ahead[i + 1] - ahead[i]) > limit:
+                        b, total = b + 1, int(ahead[i + 1] - ahead[i])
+                        out[lo + i] = b
+                        i += 1
+                if i < hi - lo:
+                    b, total = max(b, 1), None
+                    out[lo + i : hi] = b
+                lo = hi
+            yield pa.RecordBatch.from_arrays([group, batch.column(1), pa.array(out)], names=["by", "order", "batch"])
+
+    kind = items.schema[by].dataType.simpleString()
+    rows = items.select(F.col(by).alias("by"), F.col(order).cast("bigint").alias("order"), F.col(size).cast("bigint").alias("size"))
+    dealt = rows.repartition("by").sortWithinPartitions("by", "order", "size")
+    return dealt.mapInArrow(run, f"by {kind}, order bigint, batch bigint").select(F.col("by").alias(by), F.col("order").alias(order), "batch")

@@ -81,6 +81,24 @@ def test_collapse_chains_deeper_than_recursion_goes(spark):
         tree.collapse_chains(checkpointed(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "topic_id bigint, parent_id bigint, name string")))
 
 
+def test_greedy_batches_of_a_large_group(spark):
+    rng = np.random.default_rng(10)
+    data = [(g, i, int(n)) for g in ("a", None) for i, n in enumerate(rng.choice((0, 1, 3, 40, 90, 120), 60_000 if g else 500))] + [("b", 1, None), ("b", 2, 500), ("c", 1, 10), ("c", 2, None), ("c", 3, 200), ("d", 1, 500), ("d", 2, 0)]
+    want, last, b, total = [], 0, 0, 0
+    for g, i, n in data:
+        if g != last:
+            last, b, total = g, 0, 0
+        if b == 0 or (None not in (total, n) and total + n > 100):
+            b, total = b + 1, n
+        else:
+            total = None if None in (total, n) else total + n
+        want.append((b, i, g))
+    began = time.perf_counter()
+    got = queue.greedy_batches(spark.createDataFrame(data, "g string, i bigint, n bigint"), "g", "i", "n", 100)
+    assert rows(got) == sorted(((b, g, i) for b, i, g in want), key=repr)
+    assert time.perf_counter() - began < 60
+
+
 def test_prune_and_survivors(spark, tiny):
     counts = spark.createDataFrame([(2, 1)], "topic_id bigint, n bigint")
     assert rows(tree.prune_empty(tiny, counts).select("topic_id")) == [(1,), (2,)]
