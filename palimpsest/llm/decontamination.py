@@ -2,8 +2,9 @@
 
 Passages are runs of PASSAGE words at every half of that; words are hashed into DIMS buckets and weighted by the square of
 the logarithm of inverse passage frequency (a factor for either side of the cosine), counted over all documents. A randomised singular value decomposition of the TF-IDF passages of the
-benchmark, with a documented sample of corpus passages at a small weight, gives latent directions, RANK and more with the
-benchmark's passages; the corpus part of its products is summed on executors. Every passage of every document is then compared by
+benchmark, with the passages of all documents at a small weight, gives latent directions, RANK and more with the
+benchmark's passages: a product with the benchmark alone gives directions to start from, one with both the final ones, whose
+corpus part is summed on executors in a pass over all documents. Every passage of every document is then compared by
 latent cosine with every benchmark passage, in blocks. Each pair at COSINE or more goes to the exact checks: the longest common
 subsequence of words between the item and the text around the passage, over the item's words, must reach LCS; or reach LCS_ANSWER
 where the item's last words (its answer) also stand there in a row.
@@ -24,6 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,14 @@ from . import common
 
 PASSAGE, DIMS, RANK, OVERSAMPLE = 24, 1 << 13, 96, 16
 COSINE, LCS, LCS_ANSWER, ANSWER = 0.7, 0.7, 0.5, 4
-#: Corpus documents in the fit, and their weight against the benchmark's.
-FIT_DOCS, CORPUS_WEIGHT = 2_000, 0.1
+#: The weight of the corpus in the fit against the benchmark's, and tasks of its pass to a core (each sends its sums once).
+CORPUS_WEIGHT, PER_CORE = 0.1, 4
 #: Words of the benchmark searched in one pass: its broadcast stays below some 200 MB (a vector of up to 1,024 numbers for 12 words).
 SET_WORDS = 400_000
-#: Passages of the benchmark in a block of the fit and in one of the search, and parts that the fit's sums travel in.
-ROWS, COLUMNS, STRIPS = 512, 4_096, 16
+#: Passages of the benchmark in a block of the fit and in one of the search, parts that the fit's sums travel in, and tasks summed at once.
+ROWS, COLUMNS, STRIPS, TOGETHER_TASKS = 512, 4_096, 16, 16
+#: Words of one bucket that are added one by one in the fit; more are summed first, in pieces.
+FEW, PIECE = 24, 4_096
 #: Common words that call for the exact checks, bits of a word in the table of items' words, benchmark passages to a latent direction.
 TOGETHER, CODE, PER_DIRECTION = 3, 20, 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,6 +98,36 @@ def _grown(sums: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _half_sums(v: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each half passage, of which `first` gives the first words, the sum of its words' rows of v."""
+    n = np.diff(np.append(first, len(b)))
+    out = np.zeros((len(first), v.shape[1]), np.float32)
+    for lo in range(0, len(first), ROWS):
+        own = slice(lo, lo + ROWS)
+        for i in range(int(n[own].max(initial=0))):
+            more = np.flatnonzero(n[own] > i) + lo
+            if len(more) == len(n[own]):
+                out[own] += v[b[first[own] + i]]
+            else:
+                out[more] += v[b[first[more] + i]]
+    return out
+
+
+def _add_by_bucket(out: np.ndarray, b: np.ndarray, p: np.ndarray, own: np.ndarray) -> None:
+    """Adds to row b[i] of out the row own[i] of p, for every word i."""
+    order = np.argsort(b.astype(np.uint16), kind="stable")
+    x = b[order]
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    n = np.diff(np.append(cuts, len(x)))
+    row = own[order]
+    for i in range(min(FEW, int(n.max(initial=0)))):  # the i-th words of rare buckets, no bucket twice
+        at = cuts[(n > i) & (n <= FEW)]
+        out[x[at]] += p[row[at + i]]
+    for c, k in zip(cuts[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
+        for lo in range(c, c + k, PIECE):
+            out[x[c]] += p[row[lo : min(lo + PIECE, c + k)]].sum(axis=0)
+
+
 def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """For each bucket the half passages that hold it, over all documents; and their number."""
 
@@ -190,8 +224,8 @@ class Space:
         x = _grown(x, self.doc[lo:end])[: hi - lo]
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def fit(self, some: DataFrame) -> Space:
-        """The randomised decomposition: two passes over the sample `some` (text) for its part of the products, the benchmark's here.
+    def fit(self, docs: DataFrame) -> Space:
+        """The randomised decomposition: a pass over all `docs` (text) for their part of the second product, the benchmark's parts here.
 
         Products of executors are summed there, in STRIPS of buckets, so the driver gets one matrix.
         """
@@ -199,20 +233,24 @@ class Space:
         rank = max(RANK, min(len(self.first) // PER_DIRECTION, DIMS // 8))
         k = rank + OVERSAMPLE
         y = np.linalg.qr(rng.standard_normal((DIMS, k)).astype(np.float32))[0]
-        spark = some.sparkSession
+        spark = docs.sparkSession
+        docs = docs.coalesce(PER_CORE * max(16, spark.sparkContext.defaultParallelism))
         wide = DIMS // STRIPS
 
         def total(t: pa.Table) -> pa.Table:
             z = np.zeros((wide, k), np.float32)
             for x in t["z"]:
                 z += np.frombuffer(x.as_buffer(), np.float32).reshape(wide, k)
-            return pa.table({"strip": t["strip"].slice(0, 1).cast(pa.int64()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "z": pa.array([z.tobytes()], pa.binary())})
+            return pa.table({"part": pa.array([0], pa.int64()), "strip": t["strip"].slice(0, 1).cast(pa.int64()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "z": pa.array([z.tobytes()], pa.binary())})
 
-        for _ in range(2):
+        for corpus in (False, True):
             z = np.zeros((DIMS, k), np.float32)
             for lo in range(0, len(self.first), ROWS):
                 x = self.rows(lo, min(lo + ROWS, len(self.first)))
                 z += x.T @ (x @ y)
+            if not corpus:
+                y = np.linalg.qr(z)[0]
+                continue
             sent = spark.sparkContext.broadcast((y, self.idf))
 
             def run(batches, sent=sent):
@@ -225,19 +263,18 @@ class Space:
                         first, doc = halves(at, PASSAGE // 2)
                         if not len(first):
                             continue
-                        p = _grown(np.add.reduceat(weighted[b], first), doc)
-                        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
-                        order = np.argsort(b, kind="stable")
-                        x = b[order]
-                        cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-                        total[x[cuts]] += idf[x[cuts]][:, None] * np.add.reduceat(p[own[order]], cuts)
+                        p = _grown(_half_sums(weighted, b, first), doc)
+                        _add_by_bucket(total, b, p, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b)))))
                         n += len(first)
                 if n:
+                    total *= idf[:, None]
+                    part = TaskContext.get().partitionId() // TOGETHER_TASKS
                     for i in range(STRIPS):
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([total[i * wide : (i + 1) * wide].tobytes()], pa.binary())], names=["strip", "n", "z"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([total[i * wide : (i + 1) * wide].tobytes()], pa.binary())], names=["part", "strip", "n", "z"])
 
-            kind = "strip long, n long, z binary"
-            parts = some.mapInArrow(common.task(run), kind).groupBy("strip").applyInArrow(total, kind).toArrow()  # STRIPS rows
+            kind = "part long, strip long, n long, z binary"
+            sums = docs.mapInArrow(common.task(run), kind).groupBy("part", "strip").applyInArrow(total, kind)
+            parts = sums.groupBy("strip").applyInArrow(total, kind).toArrow()  # STRIPS rows
             sent.destroy()
             n = parts["n"][0].as_py() if parts.num_rows else 0
             for i, x in zip(parts["strip"].to_pylist(), parts["z"], strict=True):
@@ -350,11 +387,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
     bench = benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text")
     df, n = passage_frequency(docs)
     idf = (np.log((n + 1) / (df + 1)) ** 2).astype(np.float32) + np.float32(0.01)
-    share = min(1.0, FIT_DOCS * 40 / max(1, n))  # in half passages: of forty a document
-    some = common.written(docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text"))
     out = None
     for items in _sets(bench):
-        found = search(docs, Space(items, idf).fit(some), cosine)
+        found = search(docs, Space(items, idf).fit(docs.select("text")), cosine)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 

@@ -388,6 +388,29 @@ def test_op9_recall_on_a_large_benchmark(spark):
     assert all(-1.001 <= r.cosine <= 1.001 and (r.lcs >= 0.7 or r.lcs >= 0.5 and r.answer) for r in got)
 
 
+def test_op9_fits_on_all_documents(spark, monkeypatch):
+    seen = []
+    real = decontamination.Space.fit
+    monkeypatch.setattr(decontamination.Space, "fit", lambda self, docs: (seen.append(docs.count()), real(self, docs))[1])
+    docs = spark.range(2600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one two three four five "), 105).alias("text"))
+    bench = spark.createDataFrame([(1, "a passage of some words that stands in no document")], "item_id bigint, text string")
+    assert decontamination.decontaminate(docs, bench).count() == 0
+    assert seen == [2600]
+
+
+def test_op9_sums_of_the_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    b, v = rng.zipf(1.2, 5000) % 300, rng.standard_normal((300, 7)).astype(np.float32)
+    first, doc = decontamination.halves(np.array([0, 5, 5, 4000, 5000]), 12)
+    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
+    assert np.allclose(decontamination._half_sums(v, b, first), np.add.reduceat(v[b], first), atol=1e-4)
+    p, want, got = rng.standard_normal((len(first), 7)).astype(np.float32), np.zeros((300, 7)), np.zeros((300, 7), np.float32)
+    np.add.at(want, b, p[own])
+    monkeypatch.setattr(decontamination, "PIECE", 100)
+    decontamination._add_by_bucket(got, b, p, own)
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(200):
