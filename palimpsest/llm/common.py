@@ -59,11 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. An empty table comes back empty, with its schema."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. An empty table comes back empty, with its schema.
+
+    options: of the writer, beside its compression.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

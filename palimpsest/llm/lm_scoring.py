@@ -10,9 +10,9 @@ before it, so windows of 2 * STRIDE overlap by half and every id is scored once,
 Texts are read, hashed and encoded once: a scan turns them into blocks of about BLOCK_BYTES, which hold their distinct words with
 learning counts and subword ids, and each text as numbers of words. Training and scoring work on blocks alone.
 
-Unigram part: counts of all words of all learning documents. A block sends its distinct words (64-bit hashes) with their learning
-counts, the sums come back to it only for words that other blocks have too, so what travels is in proportion to distinct words per
-block and no vocabulary is gathered anywhere.
+Unigram part: counts of all words of all learning documents. A block deals its distinct words (64-bit hashes) with their learning
+counts over parts of the hashes, a packed row each, and gets back a row of sums from every part; so words travel once, what travels
+is in proportion to distinct words per block, and no vocabulary is gathered anywhere.
 
 Null and empty texts are one end token. Repeated rows are scored each. Extra columns are ignored.
 """
@@ -33,8 +33,10 @@ from .sentencepiece_codec import MARK, codec, model_path
 FIT_DOCS, BLOCK_BYTES = 1_500, 4 << 20
 STRIDE, DIM, BASE = 16, 16, 32
 STEPS, BATCH = 1_000, 64
-#: Of the training of partitions: sequences in a step, rate, and groups that sum weights before the driver does.
-PART_BATCH, PART_RATE, GROUPS = 1_024, 0.005, 16
+#: Of the training of partitions: sequences in a step, rate, strips that weights travel in, and tasks averaged at once.
+PART_BATCH, PART_RATE, STRIPS, TOGETHER_TASKS = 1_024, 0.005, 16, 16
+#: Blocks in a file (Spark's reader holds a file's rows at once), bytes of words in a part, and units in a worker's cache.
+FILE_BLOCKS, PART_BYTES, CACHE_UNITS = 8, 16 << 20, 500_000
 #: Sequences whose gradients are made at once, and logits from which a row's maximum is taken off (exp of a float32 holds up to 88).
 CHUNK, TALL = 128, 80
 _LOG10 = float(np.log(10))
@@ -105,41 +107,37 @@ class Model:
         a += np.where(mask, w["r"][np.maximum(back, 0)], np.float32(-1e9))
         lowered(a)
         np.exp(a, out=a)
-        a /= np.maximum(a.reshape(m, t) @ ones[:t], 1e-30).reshape(n, t, 1)
+        a *= (1 / np.maximum(a.reshape(m, t) @ ones[:t], 1e-30)).reshape(n, t, 1)
         c = (a @ v).reshape(m, DIM)
         h = c @ w["o"]
         h += w["b"]
         h += u.reshape(m, DIM)
         np.tanh(h, out=h)
+        # the softmax by falling frequency of targets: rows of one bias are neighbours, and a digit's arrays stay in cache
         d = self.digits[target.ravel()]
-        row = self.context(d)
-        out = np.concatenate([w[f"w{i}"] for i in range(3)], axis=1)
-        p = h @ out
-        for i in range(3):
-            p[:, i * BASE : (i + 1) * BASE] += w[f"b{i}"][row[i]]
-        each = p.reshape(m, 3, BASE)
-        lowered(each)
-        np.exp(p, out=p)
-        each /= np.maximum(each @ ones[:BASE], 1e-30)[..., None]
-        real = np.arange(m)[:, None] * (3 * BASE) + np.arange(3) * BASE + d
-        flat = p.reshape(-1)
-        loss = -float(np.log(flat[real] + 1e-30).sum())
-        flat[real] -= 1
-        gw = h.T @ p
-        for i in range(3):
-            own = p[:, i * BASE : (i + 1) * BASE]
-            g[f"w{i}"] += gw[:, i * BASE : (i + 1) * BASE]
-            if i:
-                add_rows(g[f"b{i}"], row[i], own)
-            else:
-                g["b0"] += own.sum(axis=0)
-        du = p @ out.T
+        order = np.argsort((d @ (BASE**2, BASE, 1)).astype(np.uint16), kind="stable")
+        d, by, at, du, loss = d[order], h[order], np.arange(m), np.zeros((m, DIM), h.dtype), 0.0
+        for i, row in enumerate(self.context(d)):
+            cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            z = by @ w[f"w{i}"]
+            z += w[f"b{i}"][row] if i else w["b0"]
+            lowered(z)
+            np.exp(z, out=z)
+            z *= (1 / np.maximum(z @ ones[:BASE], 1e-30))[:, None]
+            loss -= float(np.log(z[at, d[:, i]] + 1e-30).sum())
+            z[at, d[:, i]] -= 1
+            g[f"w{i}"] += by.T @ z
+            g[f"b{i}"][row[cuts]] += np.add.reduceat(z, cuts) if i else np.ones((1, m), z.dtype) @ z
+            du += z @ w[f"w{i}"].T
+        back_to = np.empty_like(order)
+        back_to[order] = at
+        du = du[back_to]
         du *= 1 - h * h
-        g["b"] += du.sum(axis=0)
+        g["b"] += np.ones(m, du.dtype) @ du
         g["o"] += c.T @ du
         dc = du @ w["o"].T
         ds = dc.reshape(n, t, DIM) @ v.transpose(0, 2, 1)
-        ds -= (dc * c).sum(axis=1).reshape(n, t, 1)
+        ds -= ((dc * c) @ ones[:DIM]).reshape(n, t, 1)
         ds *= a
         g["r"] += np.bincount(back[mask], ds.sum(axis=0)[mask], 2 * STRIDE).astype(np.float32)
         dy = np.empty((n, t, 4 * DIM), x.dtype)
@@ -178,9 +176,6 @@ class Model:
         self.tall = max(bound, reach) > TALL  # then scoring takes off each row's maximum
         back = np.arange(STRIDE, 2 * STRIDE)[:, None] - np.arange(2 * STRIDE)
         self.rel = np.where(back >= 0, w["r"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
-        first = self.rel.copy()
-        first[:, :STRIDE] = -1e9
-        self.rel_first = first
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """log10 probability of each document, its end included; ids stand document by document."""
@@ -205,7 +200,8 @@ class Model:
             q, k, v, u = (own[..., i * DIM : (i + 1) * DIM] for i in range(4))
             keys, vals = np.concatenate((k[:-1], k[1:]), axis=1), np.concatenate((v[:-1], v[1:]), axis=1)
             s = q[1:] @ keys.transpose(0, 2, 1)
-            s += np.where(first[lo:hi, None, None], self.rel_first, self.rel)
+            s += self.rel
+            s[first[lo:hi], :, :STRIDE] = -1e9
             if self.tall:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)  # scores and logits stay small after most trainings
@@ -293,42 +289,78 @@ def around(flat: np.ndarray, per: np.ndarray, start: int, end: int) -> np.ndarra
     return x
 
 
+class Units:
+    """Subword ids of words by hash, at most CACHE_UNITS and one block's kept by a worker: sorted arrays, made anew when full."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, u: np.ndarray, letters, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has. u: their sorted hashes; letters: gives the words at places of u."""
+        if len(self.known) + len(u) > CACHE_UNITS:
+            self.forget()
+        at = np.searchsorted(self.known, u)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != u) if len(self.known) else np.arange(len(u))
+        if len(new):
+            flat, count = codec(path).merged_flat([MARK + w for w in letters(new)])
+            start = np.cumsum(count) - count + len(self.flat)
+            self.known, self.start, self.count = (np.insert(x, at[new], y) for x, y in ((self.known, u[new]), (self.start, start), (self.count, count)))
+            self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+        at = np.searchsorted(self.known, u)
+        return self.flat[common.ragged(self.start[at], self.count[at])], self.count[at]
+
+
+_UNITS: dict[str, Units] = {}
+
+
 def _block(steps: list, path: str):
-    """Of hashed steps: documents' numbers of words, distinct words by first place (hashes), each word's number, ids by distinct word."""
+    """Of hashed steps: documents' numbers of words, distinct words (sorted hashes), each word's number, ids by distinct word."""
     h = np.concatenate([x[3] for x in steps])
     lens = np.concatenate([np.diff(x[4]) for x in steps])
     u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    number = np.empty(len(u), np.int64)
-    number[order] = np.arange(len(u))
-    names, done, first = [], 0, first[order]
-    for data, a, b, _, _ in steps:  # the distinct words' letters, where each first stands
-        mine = first[np.searchsorted(first, done) : np.searchsorted(first, done + len(a))] - done
-        raw = data.tobytes()
-        names += [raw[i:j].decode() for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)]
-        done += len(a)
-    flat, n = codec(path).merged_flat([MARK + w for w in names])
-    return lens, u[order], number[inv], flat, n
 
+    def letters(new: np.ndarray) -> list[str]:
+        """Of distinct words, the letters where each first stands."""
+        names, done, own = [""] * len(new), 0, first[new]
+        for data, a, b, _, _ in steps:
+            mine = np.flatnonzero((own >= done) & (own < done + len(a)))
+            raw = data.tobytes()
+            for k, i, j in zip(mine.tolist(), a[own[mine] - done].tolist(), b[own[mine] - done].tolist(), strict=True):
+                names[k] = raw[i:j].decode()
+            done += len(a)
+        return names
+
+    flat, n = _UNITS.setdefault(path, Units()).ids(u, letters, path)
+    return lens, u, inv, flat, n
 
-def halves(x: np.ndarray) -> bytes:
-    """Numbers below 2**32: their lower 16 bits, then their upper ones, which compress to next to nothing where numbers are small."""
-    return x.astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, compressed: their lowest bytes, then their second ones, as many as the largest needs."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    raw = b"".join((x >> 8 * i).astype(np.uint8).tobytes() for i in range(planes))
+    return len(x).to_bytes(8, "little") + planes.to_bytes(1, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def whole(x: pa.Scalar) -> np.ndarray:
-    low, high = np.frombuffer(x.as_buffer(), np.uint16).reshape(2, -1).astype(np.int64)
-    return low + (high << 16)
+    raw = x.as_buffer()
+    n, planes = int.from_bytes(raw[:8], "little"), raw[8]
+    out = np.zeros(n, np.int64)
+    for i, plane in enumerate(np.frombuffer(pa.decompress(raw[9:], n * planes, "zstd"), np.uint8).reshape(planes, n)):
+        out |= plane.astype(np.int64) << 8 * i
+    return out
 
 
-BLOCK = "block long, doc_id array<long>, held array<boolean>, lens array<long>, word array<long>, c array<long>, inv binary, n binary, ids binary"
+BLOCK = "block long, doc_id array<long>, held array<boolean>, lens array<long>, word binary, top binary, c binary, inv binary, n binary, ids binary"
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
     """The texts of docs (doc_id, text, held) as blocks of ids: a row for some BLOCK_BYTES of text, without a shuffle.
 
-    block, the documents' ids, folds and numbers of words; the block's distinct words (hashes) with their learning counts; for each
-    word of the texts the number of its distinct word; and each distinct word's number of subword ids and those ids.
+    block, the documents' ids, folds and numbers of words; the block's distinct words (hashes, and their upper 16 bits by themselves)
+    with their learning counts; for each word of the texts the number of its distinct word; and each distinct word's number of subword
+    ids and those ids.
     """
     if codec(path).lib.vocab_size() > BASE**3:
         raise ValueError(f"over {BASE**3} subwords")
@@ -347,8 +379,9 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
             held_out = pa.chunked_array(held).to_numpy()
             c = np.bincount(inv, np.repeat(~held_out, lens), len(word)).astype(np.int64)
             one = lambda x: pa.array([x])
-            cols = [one(part << 32 | made), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(ids)), one(held_out), one(lens), one(word.view(np.int64)), one(c)]
-            cols += [pa.array([x], pa.binary()) for x in (halves(inv), halves(n), flat.astype(np.uint16).tobytes())]
+            cols = [one(part << 32 | made), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(ids)), one(held_out), one(lens)]
+            top = (word >> np.uint64(48)).astype(np.uint16)
+            cols += [pa.array([x], pa.binary()) for x in (word.tobytes(), top.tobytes(), packed(c), packed(inv), packed(n), packed(flat))]
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
@@ -371,7 +404,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
 def _unpacked(t: pa.RecordBatch | pa.Table, i: int):
     """Of row i: numbers of words, number of each word's distinct word, ids of distinct words end to end, and how many each has."""
     lens = t["lens"][i].values.to_numpy(zero_copy_only=False)
-    return lens, whole(t["inv"][i]), np.frombuffer(t["ids"][i].as_buffer(), np.uint16).astype(np.int64), whole(t["n"][i])
+    return lens, whole(t["inv"][i]), whole(t["ids"][i]), whole(t["n"][i])
 
 
 def _learning(batches, start: int, end: int):
@@ -387,6 +420,27 @@ def _learning(batches, start: int, end: int):
                 yield around(flat[common.ragged((np.cumsum(n) - n)[w], k)], per, start, end)
 
 
+WEIGHTS = "part long, strip long, n long, w binary"
+
+
+def averaged(weights: DataFrame) -> DataFrame:
+    """Weights of tasks (part, strip, n, w) averaged by n, strip by strip: TOGETHER_TASKS tasks first, then all of a strip."""
+
+    def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")  # sums do not depend on who came first
+        n = t["n"].to_pylist()
+        w = sum(k * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for k, x in zip(n, t["w"], strict=True)) / sum(n)
+        return pa.table({"part": t["part"].slice(0, 1), "strip": t["strip"].slice(0, 1), "n": pa.array([sum(n)]), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    some = weights.groupBy(F.floor(F.col("part") / TOGETHER_TASKS).alias("some"), "strip").applyInArrow(mean, WEIGHTS)
+    return some.groupBy("strip").applyInArrow(mean, WEIGHTS)
+
+
+def _stored(made: DataFrame) -> DataFrame:
+    """Blocks, written in files of FILE_BLOCKS at most: a reader of Parquet holds a whole batch of rows, which these would overfill."""
+    return common.written(made, maxRecordsPerFile=FILE_BLOCKS)
+
+
 def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = None) -> Model:
     """A model of all learning documents, from a start on about FIT_DOCS, those of the lowest hashes of doc_id.
 
@@ -394,15 +448,15 @@ def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = No
     """
     c = codec(path)
     vocab, start, end = c.lib.vocab_size(), c.lib.bos_id(), c.lib.eos_id()
-    made = common.written(blocks(learn.withColumn("held", F.lit(False)), path)) if made is None else made
+    made = _stored(blocks(learn.withColumn("held", F.lit(False)), path)) if made is None else made
 
     def count(batches):
         n = np.zeros(vocab, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 own = ~batch["held"][i].values.to_numpy(zero_copy_only=False)
-                by_word = np.repeat(batch["c"][i].values.to_numpy(), whole(batch["n"][i]))
-                n += np.bincount(np.frombuffer(batch["ids"][i].as_buffer(), np.uint16), by_word, vocab).astype(np.int64)
+                by_word = np.repeat(whole(batch["c"][i]), whole(batch["n"][i]))
+                n += np.bincount(whole(batch["ids"][i]), by_word, vocab).astype(np.int64)
                 n[start] += own.sum()
                 n[end] += own.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocab)), pa.array(n)], names=["id", "n"])
@@ -426,19 +480,18 @@ def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = No
         for stream in _learning(batches, start, end):
             n += adam.epoch(stream)
         if n:
-            flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "w"])
-
-    def total(t: pa.Table) -> pa.Table:
-        w = sum(np.frombuffer(x.as_py(), np.float64) for x in t["w"])
-        return pa.table({"n": pa.array([sum(t["n"].to_pylist())]), "w": pa.array([w.tobytes()], pa.binary())})
+            flat = np.concatenate([own.w[k].ravel() for k in names])
+            part = TaskContext.get().partitionId()
+            for i, x in enumerate(np.array_split(flat, STRIPS)):
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([i]), pa.array([n]), pa.array([x.tobytes()], pa.binary())], names=["part", "strip", "n", "w"])
 
-    parts = made.select("held", "lens", "inv", "n", "ids").mapInArrow(common.task(learnt), "part long, n long, w binary").groupBy("part").applyInArrow(total, "n long, w binary").collect()  # GROUPS rows at most
+    weights = made.select("held", "lens", "inv", "n", "ids").mapInArrow(common.task(learnt), WEIGHTS)
+    strips = sorted(averaged(weights).collect(), key=lambda r: r.strip)  # the weights of one model
     sent.destroy()
-    if parts:
-        flat, lo = sum(np.frombuffer(r.w, np.float64) for r in parts) / sum(r.n for r in parts), 0
+    if strips:
+        flat, lo = np.concatenate([np.frombuffer(r.w, np.float32) for r in strips]), 0
         for k in names:
-            m.w[k] = flat[lo : lo + m.w[k].size].reshape(m.w[k].shape).astype(np.float32)
+            m.w[k] = flat[lo : lo + m.w[k].size].reshape(m.w[k].shape).copy()
             lo += m.w[k].size
     m.freeze()
     return m
@@ -459,32 +512,63 @@ def _sample(texts: DataFrame, path: str, start: int, end: int) -> DataFrame:
     return texts.mapInArrow(common.task(run), "ids binary")
 
 
+def part_bits(n_bytes: int) -> int:
+    """Upper bits of a word's hash that name its part, by the bytes of all blocks' words: parts of about PART_BYTES."""
+    return min(16, max(0, -(-n_bytes // PART_BYTES) - 1).bit_length())
+
+
+def word_sums(made: DataFrame, bits: int) -> DataFrame:
+    """block, part, all, n, v: for every block the counts over all blocks of its words in a part, by their numbers; n and v, the sum of
+    a part's counts and the number of its words with any, stand in one row of each part."""
+
+    def deal(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                word, c = np.frombuffer(batch["word"][i].as_buffer(), np.uint64), whole(batch["c"][i])
+                part = np.frombuffer(batch["top"][i].as_buffer(), np.uint16) >> (16 - bits)
+                order = np.argsort(part, kind="stable")
+                parts, first = np.unique(part[order], return_index=True)
+                cuts = np.append(first, len(part))
+                cols = [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), batch["block"][i].as_py(), np.int64))]
+                for x, size in ((word[order], 8), (c[order].astype(np.uint32), 4)):
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(x.tobytes())]))
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "block", "word", "c"])
+
+    def add(t: pa.Table) -> pa.Table:
+        raw, at = common.buffers(t["word"])
+        c = common.buffers(t["c"])[0].view(np.uint32).astype(np.int64)
+        u, inv = np.unique(raw.view(np.uint64), return_inverse=True)
+        total = np.zeros(len(u), np.int64)
+        np.add.at(total, inv, c)
+        rows = pa.Array.from_buffers(pa.large_binary(), t.num_rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(total[inv].tobytes())])
+        once = lambda x: pa.array(np.append(x, np.zeros(t.num_rows - 1, np.int64)))
+        return pa.table({"block": t["block"], "part": t["part"], "all": rows.cast(pa.binary()), "n": once(int(total.sum())), "v": once(int((total > 0).sum()))})
+
+    dealt = made.select("block", "word", "top", "c").mapInArrow(common.task(deal), "part long, block long, word binary, c binary")
+    return dealt.groupBy("part").applyInArrow(add, "block long, part long, all binary, n long, v long")
+
+
 def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns outside the held-out fold, scores all."""
     path = path or model_path()
     spark = docs.sparkSession
     own = docs.select("doc_id", "text", F.coalesce(common.bucket_of(F.col("doc_id"), 5) == 1, F.lit(False)).alias("held"))
-    made = common.written(blocks(own, path))
-    size = made.agg(F.sum(F.octet_length("inv") + F.octet_length("ids")).alias("b"), F.sum(F.size("lens")).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
+    made = _stored(blocks(own, path))
+    size = made.agg(F.sum(F.octet_length("inv") + F.octet_length("ids")).alias("b"), F.sum(F.octet_length("word")).alias("words"), F.sum(F.size("lens")).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
     model = train(own.filter("not held").select("doc_id", "text"), path, min(1.0, FIT_DOCS * 1.25 / max(1, size.n or 0)), made)
     sent = spark.sparkContext.broadcast(model)
-    words = made.select("block", F.explode(F.arrays_zip("word", "c")).alias("x")).select("block", "x.word", "x.c")
-    dealt = words.repartition(common.partitions(spark, size.b or 0, BLOCK_BYTES), "word")
-    by_word = Window.partitionBy("word")
-    back = dealt.select("block", "word", "c", F.sum("c").over(by_word).alias("all")).filter(F.col("all") > F.col("c")).select("block", "word", "all")
-    total = words.groupBy("word").agg(F.sum("c").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    bits = part_bits(size.words or 0)
+    summed = common.written(word_sums(made, bits))
+    total = summed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     ends = int(size.ends or 0)  # the end token: one of each learning document
     n_train, v_train = int(total.n) + ends, int(total.v) + (ends > 0)
 
     def score(t: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = sent.value
         lens, word, flat, n_ids = _unpacked(t, 0)
-        c = t["c"][0].values.to_numpy().copy()
-        kw = known["word"].to_numpy()
-        if len(kw):
-            u = t["word"][0].values.to_numpy()
-            order = np.argsort(u, kind="stable")
-            c[order[np.searchsorted(u[order], kw)]] = known["all"].to_numpy()
+        known = known.sort_by("part")
+        c = np.empty(len(n_ids), np.int64)
+        c[np.argsort(np.frombuffer(t["top"][0].as_buffer(), np.uint16) >> (16 - bits), kind="stable")] = common.buffers(known["all"])[0].view(np.int64)
         log = np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1)))
         end = np.log10((ends + 0.5) / (n_train + 0.5 * (v_train + 1)))
         doc = np.repeat(np.arange(len(lens)), lens)
@@ -503,5 +587,6 @@ def lm_score(docs: DataFrame, path: str | None = None) -> DataFrame:
             lo = hi
         return pa.table({"doc_id": t["doc_id"][0].values, "held_out": t["held"][0].values, "n_tokens": pa.array(lens + 1), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(lens), n_train)), "base_score": pa.array(base), "score": pa.array(out)})
 
-    pairs = made.groupBy("block").cogroup(back.groupBy("block"))
-    return pairs.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = common.partitions(spark, size.b or 0, 4 * BLOCK_BYTES)
+    own, known = (x.repartition(parts, "block").groupBy("block") for x in (made.drop("word", "c"), summed.select("block", "part", "all")))
+    return own.cogroup(known).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -278,6 +278,42 @@ def test_op7_learns_from_documents_outside_the_start(spark, monkeypatch):
     assert b > 0.8 * a  # both are negative
 
 
+def test_op7_blocks_stand_in_small_files(spark):
+    """A reader holds all rows of a file at once; one file with every block of a task outgrew an executor at 6 GB."""
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.expr("repeat('lorem ipsum dolor ', 80000)").alias("text"), F.lit(False).alias("held")).coalesce(1)
+    made = lm_scoring._stored(lm_scoring.blocks(docs, sentencepiece_codec.model_path()))
+    by_file = [r["n"] for r in made.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(by_file) > lm_scoring.FILE_BLOCKS >= max(by_file)
+    assert made.agg(F.sum(F.size("doc_id")).alias("n")).first().n == 30
+
+
+def test_op7_words_travel_once_and_packed(spark):
+    """Every block gets the sums of its own words, part by part; what is shuffled is a row a block and part, not a row a word."""
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(200)), i % 5 == 1) for i in range(40)]
+    made = lm_scoring.blocks(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean").repartition(4), sentencepiece_codec.model_path()).collect()
+    made = spark.createDataFrame(made, lm_scoring.BLOCK)
+    want = collections.Counter(w for _, t, held in rows if not held for w in t.split())
+    bits = 3
+    got = lm_scoring.word_sums(made, bits).collect()
+    assert (sum(r.n for r in got), sum(r.v for r in got)) == (sum(want.values()), sum(c > 0 for c in want.values()))
+    assert len(got) <= 4 << bits
+    own = {i: collections.Counter(t.split()) for i, t, _ in rows}
+    for b in made.collect():
+        sums = np.concatenate([np.frombuffer(r["all"], np.int64) for r in sorted(got, key=lambda r: r.part) if r.block == b.block])
+        assert sorted(sums.tolist()) == sorted(want[w] for w in set().union(*(own[i] for i in b.doc_id)))
+
+
+def test_op7_weights_are_averaged_in_bounded_groups(spark):
+    """No group holds the weights of more than TOGETHER_TASKS tasks, nor a last one more than a strip of them."""
+    rng = np.random.default_rng(1)
+    w, n = rng.standard_normal((40, 2, 8)).astype(np.float32), rng.integers(1, 9, 40)
+    rows = [(p, i, int(n[p]), w[p, i].tobytes()) for p in range(40) for i in range(2)]
+    got = lm_scoring.averaged(spark.createDataFrame(rows, lm_scoring.WEIGHTS)).collect()
+    assert sorted((r.strip, r.n) for r in got) == [(0, int(n.sum())), (1, int(n.sum()))]
+    for r in got:
+        assert np.frombuffer(r.w, np.float32) == pytest.approx(np.average(w[:, r.strip], axis=0, weights=n), abs=1e-6)
+
+
 def test_model_gradients_and_windows():
     lm_scoring_dim = lm_scoring.DIM
     m = lm_scoring.Model(64, 1, 2)
