@@ -292,6 +292,17 @@ class Space:
         return self
 
 
+def _close_pairs(p: np.ndarray, qt: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of p and columns of qt whose product is `cosine` at least, and the product; by blocks of columns, then row by row."""
+    near = []
+    for q in range(0, qt.shape[1], COLUMNS):
+        cos = (p @ qt[:, q : q + COLUMNS]).ravel()
+        hit = np.flatnonzero(cos >= cosine)
+        i, j = np.divmod(hit, min(COLUMNS, qt.shape[1] - q))
+        near.append((i, j + q, cos[hit]))
+    return tuple(np.concatenate(x) for x in zip(*near, strict=True))
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bits of a machine number of any size."""
     where: dict = {}
@@ -330,19 +341,9 @@ def search(docs: DataFrame, space: Space, cosine: float = COSINE) -> DataFrame:
                 b = (h >> np.uint64(51)).astype(np.int64)
                 first, doc = halves(at, half)
                 if len(first) and qt.shape[1]:
-                    sums = np.empty((len(first), s.v.shape[1]), np.float32)
-                    ends = np.append(first[1:], len(b))
-                    for lo in range(0, len(first), 1024):
-                        hi = min(lo + 1024, len(first))
-                        sums[lo:hi] = np.add.reduceat(s.v[b[first[lo] : ends[hi - 1]]], first[lo:hi] - first[lo])
-                    p = _grown(sums, doc)
+                    p = _grown(_half_sums(s.v, b, first), doc)
                     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-                    near = []
-                    for q in range(0, qt.shape[1], COLUMNS):
-                        cos = p @ qt[:, q : q + COLUMNS]
-                        i, j = np.nonzero(cos >= cosine)
-                        near.append((i, j + q, cos[i, j]))
-                    pi, qi, close_by = (np.concatenate(x) for x in zip(*near, strict=True))
+                    pi, qi, close_by = _close_pairs(p, qt, cosine)
                     texts: dict[int, list[str]] = {}
                     seen: set[tuple[int, int, int]] = set()
                     wanted = np.stack([doc[pi], s.doc[qi], first[pi] - at[doc[pi]] - (s.first[qi] - s.at[s.doc[qi]])], axis=1)

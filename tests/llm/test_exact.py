@@ -314,6 +314,20 @@ def test_op7_weights_are_averaged_in_bounded_groups(spark):
         assert np.frombuffer(r.w, np.float32) == pytest.approx(np.average(w[:, r.strip], axis=0, weights=n), abs=1e-6)
 
 
+def test_op9_close_pairs_and_sums_are_the_plain_ones(monkeypatch):
+    """The search's cheaper steps give what a two-dimensional nonzero and reduceat gave."""
+    monkeypatch.setattr(decontamination, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    p, qt = rng.standard_normal((50, 8)).astype(np.float32), rng.standard_normal((8, 17)).astype(np.float32)
+    i, j, cos = decontamination._close_pairs(p, qt, 1.5)
+    want = [(*x, q) for q in (0, 7, 14) for x in np.argwhere(p @ qt[:, q : q + 7] >= 1.5).tolist()]
+    assert want and list(zip(i.tolist(), j.tolist())) == [(a, b + q) for a, b, q in want]
+    assert cos == pytest.approx((p @ qt)[i, j], rel=1e-5)
+    v, b = rng.standard_normal((64, 8)).astype(np.float32), rng.integers(0, 64, 400)
+    first = np.flatnonzero(np.arange(400) % 12 == 0)
+    assert decontamination._half_sums(v, b, first) == pytest.approx(np.add.reduceat(v[b], first), abs=1e-5)
+
+
 def test_model_gradients_and_windows():
     lm_scoring_dim = lm_scoring.DIM
     m = lm_scoring.Model(64, 1, 2)
