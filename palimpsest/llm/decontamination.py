@@ -43,6 +43,8 @@ ROWS, COLUMNS, STRIPS, TOGETHER_TASKS = 512, 4_096, 16, 16
 FEW, PIECE = 24, 4_096
 #: Common words that call for the exact checks, bits of a word in the table of items' words, benchmark passages to a latent direction.
 TOGETHER, CODE, PER_DIRECTION = 3, 20, 8
+#: Places whose words are compared with their items' at once, before the exact checks.
+PLACES = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -104,12 +106,12 @@ def _half_sums(v: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first), v.shape[1]), np.float32)
     for lo in range(0, len(first), ROWS):
         own = slice(lo, lo + ROWS)
-        for i in range(int(n[own].max(initial=0))):
-            more = np.flatnonzero(n[own] > i) + lo
-            if len(more) == len(n[own]):
-                out[own] += v[b[first[own] + i]]
-            else:
-                out[more] += v[b[first[more] + i]]
+        least = int(n[own].min())
+        for i in range(int(n[own].max())):
+            x = np.take(v, np.take(b, first[own] + i, mode="clip"), axis=0)
+            if i >= least:
+                x[n[own] <= i] = 0
+            out[own] += x
     return out
 
 
@@ -122,10 +124,22 @@ def _add_by_bucket(out: np.ndarray, b: np.ndarray, p: np.ndarray, own: np.ndarra
     row = own[order]
     for i in range(min(FEW, int(n.max(initial=0)))):  # the i-th words of rare buckets, no bucket twice
         at = cuts[(n > i) & (n <= FEW)]
-        out[x[at]] += p[row[at + i]]
+        out[x[at]] += np.take(p, row[at + i], axis=0)
     for c, k in zip(cuts[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
         for lo in range(c, c + k, PIECE):
-            out[x[c]] += p[row[lo : min(lo + PIECE, c + k)]].sum(axis=0)
+            out[x[c]] += np.take(p, row[lo : min(lo + PIECE, c + k)], axis=0).sum(axis=0)
+
+
+def _holders(b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each bucket the half passages that hold it; `first` gives their first words, of PASSAGE // 2 words at most each."""
+    n = np.diff(np.append(first, len(b)))
+    x = np.full((PASSAGE // 2, len(first)), DIMS, np.uint16)  # a half a column; DIMS where it has no word
+    x[common.ragged(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)] = b
+    new = np.ones(x.shape, bool)
+    for i in range(len(x)):
+        for j in range(i):
+            new[i] &= x[j] != x[i]
+    return np.bincount(x[new], minlength=DIMS + 1)[:DIMS]
 
 
 def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -137,11 +151,7 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
             for part in common.slices(batch):
                 b, at = buckets(*common.buffers(part.column(0)))
                 first, _ = halves(at, PASSAGE // 2)
-                own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b)))) if len(first) else np.zeros(0, np.int64)
-                for lo in range(0, len(b), 1 << 16):  # a block's passages by buckets fit a bitmap better than a sort
-                    x = own[lo : lo + (1 << 16)]
-                    seen = np.unique((x - x[0]) * DIMS + b[lo : lo + (1 << 16)]) if len(x) else x
-                    df += np.bincount(seen % DIMS, minlength=DIMS)
+                df += _holders(b, first)
                 n += len(first)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMS), -1)), pa.array(np.append(df, n))], names=["bucket", "n"])
 
@@ -323,6 +333,23 @@ def has_run(run: list, words: list) -> bool:
     return any(words[i : i + n] == run for i in range(len(words) - n + 1) if words[i] == run[0])
 
 
+def may_pass(space: Space, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, it: np.ndarray) -> np.ndarray:
+    """Whether enough words of item it[i] have their bucket among b[lo[i]:hi[i]] for the exact checks to pass, in any order; never falls short."""
+    out = np.zeros(len(it), bool)
+    for at in range(0, len(it), PLACES):
+        own = slice(at, at + PLACES)
+        k = hi[own] - lo[own]
+        there = np.zeros((len(k), DIMS), bool)
+        there[np.repeat(np.arange(len(k)), k), b[common.ragged(lo[own], k)]] = True
+        n = np.diff(space.at)[it[own]]
+        hit = there[np.repeat(np.arange(len(n)), n), space.b[common.ragged(space.at[it[own]], n)]]
+        sums = np.concatenate(([0], np.cumsum(hit)))
+        end = np.cumsum(n)
+        m, last = (sums[end] - sums[end - n]) / n, np.minimum(n, ANSWER)
+        out[own] = (m >= LCS) | (m >= LCS_ANSWER) & (sums[end] - sums[end - last] == last)
+    return out
+
+
 SCHEMA = "doc_id long, item_id long, word_start long, cosine double, lcs double, answer boolean"
 
 
@@ -345,14 +372,17 @@ def search(docs: DataFrame, space: Space, cosine: float = COSINE) -> DataFrame:
                     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                     pi, qi, close_by = _close_pairs(p, qt, cosine)
                     texts: dict[int, list[str]] = {}
-                    seen: set[tuple[int, int, int]] = set()
-                    wanted = np.stack([doc[pi], s.doc[qi], first[pi] - at[doc[pi]] - (s.first[qi] - s.at[s.doc[qi]])], axis=1)
-                    near_by = close_by.tolist() + [None] * len(must := s.places(h, at))
-                    for (d, it, start), close in zip(np.concatenate((wanted, must)).tolist(), near_by, strict=True):
-                        item, start = s.items[it][1], max(0, start)
-                        if (d, it, start // half) in seen:
-                            continue
-                        seen.add((d, it, start // half))
+                    must = s.places(h, at)
+                    wanted = np.concatenate((np.stack([doc[pi], s.doc[qi], first[pi] - at[doc[pi]] - (s.first[qi] - s.at[s.doc[qi]])], axis=1), must))
+                    near_by = np.append(close_by, np.full(len(must), np.nan))
+                    d, it, start = wanted[:, 0], wanted[:, 1], np.maximum(0, wanted[:, 2])
+                    once = np.unique((d * len(s.items) + it) * (int(start.max(initial=0)) // half + 1) + start // half, return_index=True)[1]
+                    d, it, start, near_by = d[once], it[once], start[once], near_by[once]
+                    n = np.diff(s.at)[it]
+                    low = np.minimum(at[d] + np.maximum(0, start - PASSAGE), at[d + 1])
+                    good = np.flatnonzero(may_pass(s, b, low, np.minimum(at[d] + start + n + PASSAGE + n // 2, at[d + 1]), it))
+                    for d, it, start, close in zip(d[good].tolist(), it[good].tolist(), start[good].tolist(), near_by[good].tolist(), strict=True):
+                        item = s.items[it][1]
                         lo, hi = max(0, start - PASSAGE), start + len(item) + PASSAGE + len(item) // 2
                         # first over buckets: equal words have equal ones, so this never falls short
                         near = b[at[d] + lo : min(at[d] + hi, at[d + 1])].tolist()
@@ -367,7 +397,7 @@ def search(docs: DataFrame, space: Space, cosine: float = COSINE) -> DataFrame:
                         answer = has_run(item[-ANSWER:], near)
                         if ratio >= LCS or answer:
                             old = out.get((d, it))
-                            if close is None:  # the best of the passages there
+                            if close != close:  # none: the best of the passages there
                                 x = np.searchsorted(first, (at[d] + max(0, start - half), min(at[d] + start + len(item), at[d + 1])))
                                 q = np.searchsorted(s.first, (s.at[it], s.at[it + 1]))
                                 close = (p[x[0] : x[1]] @ qt[:, q[0] : q[1]]).max()

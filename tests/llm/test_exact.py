@@ -328,6 +328,30 @@ def test_op9_close_pairs_and_sums_are_the_plain_ones(monkeypatch):
     assert decontamination._half_sums(v, b, first) == pytest.approx(np.add.reduceat(v[b], first), abs=1e-5)
 
 
+def test_op9_bound_and_counts_are_exact():
+    """No place that the exact checks pass is left out by the count of common words, most others are; halves count a bucket once."""
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, n))) for i, n in enumerate(rng.integers(2, 40, 60))]
+    s = decontamination.Space(items, np.ones(decontamination.DIMS, np.float32))
+    b = rng.choice(s.b, 4000)
+    lo, it = rng.integers(0, 3900, 600), rng.integers(0, 60, 600)
+    for k in range(0, 600, 3):  # part of the item, its answer every other time
+        own = s.b[s.at[it[k]] : s.at[it[k] + 1]]
+        b[lo[k] : lo[k] + len(own)] = np.where(rng.random(len(own)) < 0.6, own, 0)
+        if k % 2:
+            b[lo[k] + max(0, len(own) - 4) : lo[k] + len(own)] = own[-4:]
+    hi = lo + 60
+    got, want = decontamination.may_pass(s, b, lo, hi, it), []
+    for x, y, i in zip(lo, hi, it):
+        own, near = s.numbers[i], b[x:y].tolist()
+        ratio = decontamination.lcs(own, near) / len(own)
+        want.append(ratio >= 0.7 or ratio >= 0.5 and decontamination.has_run(own[-4:], near))
+    assert sum(want) > 50 and got[np.array(want)].all() and got.sum() < 300
+    first = decontamination.halves(np.array([0, 5, 5, 3990, 4000]), 12)[0]
+    count = np.bincount(np.concatenate([np.unique(x) for x in np.split(b, first[1:])]), minlength=decontamination.DIMS)
+    assert (decontamination._holders(b, first) == count).all()
+
+
 def test_model_gradients_and_windows():
     lm_scoring_dim = lm_scoring.DIM
     m = lm_scoring.Model(64, 1, 2)
