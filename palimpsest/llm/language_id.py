@@ -61,8 +61,9 @@ class Table:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where there is none."""
         at, mask = self._home(keys), len(self.key) - 1
-        out = np.where(self.key[at] == keys, self.row[at], -1)
-        left = np.flatnonzero((out < 0) & (self.row[at] >= 0))
+        row, same = np.take(self.row, at), np.take(self.key, at) == keys
+        out = np.where(same, row, -1)
+        left = np.flatnonzero(~same & (row >= 0))
         for step in range(1, self.steps):
             if not len(left):
                 break

@@ -1,8 +1,8 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy, beside an exact unigram score over words.
 
 Model: one head of causal self-attention with relative positions over subword embeddings, a tanh layer, and a next-id
-distribution in three steps of 32 (ids ordered by frequency are numbers of three digits in base 32; each digit's logits are a
-linear map of the state plus a bias that depends on the digits before). The order of ids and the first biases are counted on all
+distribution in steps of 32 (ids ordered by frequency are numbers of two digits in base 32, rare ones of a third and wider one too;
+each digit's logits are a linear map of the state plus a bias that depends on the digits before). The order of ids and the first biases are counted on all
 learning documents. STEPS steps of Adam on about FIT_DOCS of them give common weights to start from; from these every partition
 trains on all its learning documents, each id once, and the weights are averaged by ids. Scoring cuts a text's ids into strides of STRIDE; each stride sees itself and the stride
 before it, so windows of 2 * STRIDE overlap by half and every id is scored once, in batched masked attention.
@@ -38,7 +38,7 @@ PART_BATCH, PART_RATE, STRIPS, TOGETHER_TASKS = 1_024, 0.005, 16, 16
 #: Blocks in a file (Spark's reader holds a file's rows at once), bytes of words in a part, and units in a worker's cache.
 FILE_BLOCKS, PART_BYTES, CACHE_UNITS = 8, 16 << 20, 500_000
 #: Sequences whose gradients are made at once, and logits from which a row's maximum is taken off (exp of a float32 holds up to 88).
-CHUNK, TALL = 128, 80
+CHUNK, TALL = 64, 80
 _LOG10 = float(np.log(10))
 
 
@@ -47,7 +47,21 @@ def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at.astype(np.uint16), kind="stable")  # places are under BASE**3
     x = at[order]
     cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    out[x[cuts]] += np.add.reduceat(rows[order], cuts)
+    out[x[cuts]] += np.add.reduceat(np.take(rows, order, axis=0), cuts)
+
+
+def split(counts: np.ndarray) -> tuple[int, int]:
+    """For falling counts of ids, how many first digits lead to ids of two digits only, and how many third digits there are below the others.
+
+    Frequent ids then take two steps; the numbers are those with the fewest logits in third steps, over all counts.
+    """
+    two = np.arange(BASE + 1) * BASE
+    left = np.maximum(len(counts) - two, 0)
+    wide = np.where(two < BASE**2, -(-left // np.maximum(BASE**2 - two, 1)), np.where(left > 0, BASE**3, 0))
+    after = np.concatenate(([0.0], np.cumsum(counts + 0.05)))
+    cost = (after[-1] - after[np.minimum(two, len(counts))]) * wide
+    best = int(np.argmin(np.where(left > 0, cost, 0)))
+    return best, max(1, int(wide[best]))
 
 
 def lowered(z: np.ndarray) -> None:
@@ -63,20 +77,30 @@ class Model:
         self.start, self.end = start, end
         r = np.random.default_rng(3)
         g = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.digits = np.zeros((vocab, 3), np.int64)
+        self.digits, self.short, self.wide = np.zeros((vocab, 3), np.int64), BASE, 1
+        self.seen = np.arange(vocab)
         self.w = {"e": (r.standard_normal((vocab, DIM)) * 0.3).astype(np.float32), "q": g(DIM, DIM), "k": g(DIM, DIM), "v": g(DIM, DIM), "x": g(DIM, DIM), "o": g(DIM, DIM), "b": np.zeros(DIM, np.float32), "r": np.zeros(2 * STRIDE, np.float32)}
         self.w |= {f"w{i}": (g(DIM, BASE) * 0.1).astype(np.float32) for i in range(3)}
         self.w |= {f"b{i}": np.zeros((BASE**i, BASE), np.float32) for i in range(3)}
 
     def start_from(self, counts: np.ndarray) -> None:
-        """Digits by falling frequency; biases are the logarithms of the counts."""
+        """Digits by falling frequency; biases are the logarithms of the counts. Only ids with counts may be learnt from."""
+        self.seen = np.union1d(np.flatnonzero(counts), (self.start, self.end))
+        self.place = np.zeros(len(counts), np.int64)
+        self.place[self.seen] = np.arange(len(self.seen))
+        order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-        self.digits = np.stack([rank // BASE**2, rank // BASE % BASE, rank % BASE], axis=1)
-        cube = np.zeros(BASE**3)
-        cube[rank] = counts + 0.05
-        cube = cube.reshape(BASE, BASE, BASE)
-        for i, x in enumerate((cube.sum(axis=(1, 2))[None], cube.sum(axis=2), cube.reshape(-1, BASE))):
+        rank[order] = np.arange(len(counts))
+        self.short, self.wide = split(counts[order])
+        rest = np.maximum(rank - self.short * BASE, 0)
+        self.digits = np.stack([rank // BASE, rank % BASE, np.zeros_like(rank)], axis=1)
+        long = rank >= self.short * BASE
+        self.digits[long] = np.stack([self.short + rest // (BASE * self.wide), rest // self.wide % BASE, rest % self.wide], axis=1)[long]
+        self.rank = rank.astype(np.uint16)
+        self.w["w2"] = np.resize(self.w["w2"], (DIM, self.wide))
+        cube = np.zeros((BASE, BASE, self.wide))
+        cube[tuple(self.digits.T)] = counts + 0.05
+        for i, x in enumerate((cube.sum(axis=(1, 2))[None], cube.sum(axis=2), cube.reshape(-1, self.wide))):
             self.w[f"b{i}"] = np.log(np.maximum(x, 1e-3) / np.maximum(x.sum(axis=1, keepdims=True), 1e-3)).astype(np.float32)
 
     def context(self, d: np.ndarray) -> list[np.ndarray]:
@@ -84,20 +108,27 @@ class Model:
         return [np.zeros(len(d), np.int64), d[:, 0], d[:, 0] * BASE + d[:, 1]]
 
     def zeros(self) -> dict[str, np.ndarray]:
-        return {k: np.zeros_like(v) for k, v in self.w.items()}
+        """Zeros for all that is learnt: of the embeddings the rows of ids seen, of the last biases the rows of long ids."""
+        return {k: np.zeros_like(self.learnt(k)) for k in self.w}
+
+    def learnt(self, k: str) -> np.ndarray:
+        """The part of weights k that changes; a view but for the embeddings."""
+        w = self.w[k]
+        return w[self.seen] if k == "e" else w[self.short * BASE :] if k == "b2" else w
 
     def train_step(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats and gradients for sequences ids -> target (batch x 2 STRIDE)."""
         g = self.zeros()
-        loss = self.add_gradients(ids, target, g) / ids.size
-        return loss, {k: x / ids.size for k, x in g.items()}
+        loss, dx = self.add_gradients(ids, target, g)
+        add_rows(g["e"], self.place[ids.ravel()], dx)
+        return loss / ids.size, {k: x / ids.size for k, x in g.items()}
 
-    def add_gradients(self, ids: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> float:
-        """Adds the gradients of the summed loss to g, and gives that loss."""
+    def add_gradients(self, ids: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """Adds the gradients of the summed loss to g, less those of embeddings; gives that loss, and a row for the embedding of each id."""
         w, (n, t) = self.w, ids.shape
         m, scale = n * t, float(1 / np.sqrt(DIM))
         ids, ones = ids.ravel(), np.ones(max(t, BASE), np.float32)
-        x = w["e"][ids]
+        x = np.take(w["e"], ids, axis=0)
         mats = np.concatenate((w["q"] * scale, w["k"], w["v"], w["x"]), axis=1)
         y = (x @ mats).reshape(n, t, 4 * DIM)
         q, k, v, u = (y[..., i * DIM : (i + 1) * DIM] for i in range(4))
@@ -113,25 +144,37 @@ class Model:
         h += w["b"]
         h += u.reshape(m, DIM)
         np.tanh(h, out=h)
-        # the softmax by falling frequency of targets: rows of one bias are neighbours, and a digit's arrays stay in cache
-        d = self.digits[target.ravel()]
-        order = np.argsort((d @ (BASE**2, BASE, 1)).astype(np.uint16), kind="stable")
-        d, by, at, du, loss = d[order], h[order], np.arange(m), np.zeros((m, DIM), h.dtype), 0.0
+        # the softmax by falling frequency of targets: rows of one bias are neighbours, long ids stand last
+        rank = np.take(self.rank, target.ravel())
+        order = np.argsort(rank, kind="stable")
+        d, by, du, loss = np.take(self.digits, target.ravel()[order], axis=0), np.take(h, order, axis=0), np.zeros((m, DIM), h.dtype), 0.0
+        lo = m - int(np.count_nonzero(rank >= self.short * BASE))
         for i, row in enumerate(self.context(d)):
-            cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            z = by @ w[f"w{i}"]
-            z += w[f"b{i}"][row] if i else w["b0"]
+            mine = by
+            if i == 2:
+                if lo == m:
+                    break
+                mine, row = by[lo:], row[lo:] - self.short * BASE
+            z = mine @ w[f"w{i}"]
+            z += np.take(self.learnt(f"b{i}"), row, axis=0) if i else w["b0"]
             lowered(z)
             np.exp(z, out=z)
-            z *= (1 / np.maximum(z @ ones[:BASE], 1e-30))[:, None]
-            loss -= float(np.log(z[at, d[:, i]] + 1e-30).sum())
-            z[at, d[:, i]] -= 1
-            g[f"w{i}"] += by.T @ z
-            g[f"b{i}"][row[cuts]] += np.add.reduceat(z, cuts) if i else np.ones((1, m), z.dtype) @ z
-            du += z @ w[f"w{i}"].T
+            z *= (1 / np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30))[:, None]
+            at = np.arange(len(z)) * z.shape[1] + d[m - len(z) :, i]
+            flat = z.reshape(-1)
+            p = np.take(flat, at)
+            loss -= float(np.log(p + 1e-30).sum())
+            flat[at] = p - 1
+            g[f"w{i}"] += mine.T @ z
+            if i:
+                cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                g[f"b{i}"][row[cuts]] += np.add.reduceat(z, cuts)
+            else:
+                g["b0"] += np.ones((1, m), z.dtype) @ z
+            du[m - len(z) :] += z @ w[f"w{i}"].T
         back_to = np.empty_like(order)
-        back_to[order] = at
-        du = du[back_to]
+        back_to[order] = np.arange(m)
+        du = np.take(du, back_to, axis=0)
         du *= 1 - h * h
         g["b"] += np.ones(m, du.dtype) @ du
         g["o"] += c.T @ du
@@ -141,16 +184,15 @@ class Model:
         ds *= a
         g["r"] += np.bincount(back[mask], ds.sum(axis=0)[mask], 2 * STRIDE).astype(np.float32)
         dy = np.empty((n, t, 4 * DIM), x.dtype)
-        dy[..., :DIM] = ds @ k
-        dy[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
-        dy[..., 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dc.reshape(n, t, DIM)
+        np.matmul(ds, k, out=dy[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dy[..., DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), dc.reshape(n, t, DIM), out=dy[..., 2 * DIM : 3 * DIM])
         dy[..., 3 * DIM :] = du.reshape(n, t, DIM)
         dy = dy.reshape(m, 4 * DIM)
         gm = x.T @ dy
         for i, name in enumerate("qkvx"):
             g[name] += gm[:, i * DIM : (i + 1) * DIM] * (scale if name == "q" else 1)
-        add_rows(g["e"], ids, dy @ mats.T)
-        return loss
+        return loss, dy @ mats.T
 
     def train(self, docs: list[np.ndarray], steps: int = STEPS, counts: np.ndarray | None = None) -> list[float]:
         """docs: ids of each document without start and end; counts: of all ids, else those of docs. Returns the loss of every step."""
@@ -194,11 +236,11 @@ class Model:
         inp, out = inp.reshape(-1, STRIDE), out.reshape(-1, STRIDE)
         for lo in range(0, len(doc), block):
             hi = min(lo + block, len(doc))
-            own = self.kv[inp[max(0, lo - 1) : hi]]  # with the stride before
+            own = np.take(self.kv, inp[max(0, lo - 1) : hi], axis=0)  # with the stride before
             if lo == 0:
                 own = np.concatenate((own[:1], own))
-            q, k, v, u = (own[..., i * DIM : (i + 1) * DIM] for i in range(4))
-            keys, vals = np.concatenate((k[:-1], k[1:]), axis=1), np.concatenate((v[:-1], v[1:]), axis=1)
+            both = np.lib.stride_tricks.as_strided(own, (hi - lo, 2 * STRIDE, 4 * DIM), own.strides, writeable=False)  # strides stand end to end
+            q, u, keys, vals = own[..., :DIM], own[..., 3 * DIM :], both[..., DIM : 2 * DIM], both[..., 2 * DIM : 3 * DIM]
             s = q[1:] @ keys.transpose(0, 2, 1)
             s += self.rel
             s[first[lo:hi], :, :STRIDE] = -1e9
@@ -211,18 +253,28 @@ class Model:
             h = np.tanh(c).reshape(-1, DIM)
             target = out[lo:hi].ravel()
             real = np.flatnonzero(target >= 0)
-            d = self.digits[target[real]]
+            d = np.take(self.digits, target[real], axis=0)
             if len(real) < len(h):
-                h = h[real]
+                h = np.take(h, real, axis=0)
             logp = np.zeros(len(real), np.float32)
+            long = np.flatnonzero(d[:, 0] >= self.short)
             for i, row in enumerate(self.context(d)):
-                z = h @ self.w[f"w{i}"]
-                z += self.w[f"b{i}"][row]
+                mine, digit = h, d[:, i]
+                if i == 2:
+                    if not len(long):
+                        break
+                    mine, row, digit = h[long], row[long], digit[long]
+                z = mine @ self.w[f"w{i}"]
+                z += np.take(self.w[f"b{i}"], row, axis=0) if i else self.w["b0"]
                 if self.tall:
                     z -= z.max(axis=1, keepdims=True)
-                logp += z[np.arange(len(z)), d[:, i]]
+                p = np.take(z.reshape(-1), np.arange(len(z)) * z.shape[1] + digit)
                 np.exp(z, out=z)
-                logp -= np.log(z @ ones[:BASE])
+                p -= np.log(z @ np.ones(z.shape[1], z.dtype))
+                if i == 2:
+                    logp[long] += p
+                else:
+                    logp += p
             got[lo:hi] = np.bincount(real // STRIDE, logp, hi - lo)
         return np.bincount(doc, got, len(n)) / _LOG10
 
@@ -238,7 +290,9 @@ class Adam:
         """One step on all sequences; gradients are added up chunk by chunk, so that a chunk's arrays stay in cache."""
         self.n += 1
         w, m, u = self.model.w, self.m, self.u
-        loss = sum(self.model.add_gradients(ids[i : i + CHUNK], target[i : i + CHUNK], self.g) for i in range(0, len(ids), CHUNK)) / ids.size
+        got = [self.model.add_gradients(ids[i : i + CHUNK], target[i : i + CHUNK], self.g) for i in range(0, len(ids), CHUNK)]
+        add_rows(self.g["e"], np.take(self.model.place, ids.ravel()), np.concatenate([dx for _, dx in got]))
+        loss = sum(x for x, _ in got) / ids.size
         fix, fair = rate / (1 - 0.9**self.n), float(1 / (1 - 0.99**self.n))
         for k, x in self.g.items():
             x /= ids.size
@@ -252,7 +306,11 @@ class Adam:
             x += 1e-8
             np.divide(m[k], x, out=x)
             x *= fix
-            w[k] -= x
+            if k == "e":
+                w[k][self.model.seen] -= x
+            else:
+                part = self.model.learnt(k)
+                part -= x
             x[...] = 0
         return loss
 
@@ -320,10 +378,15 @@ def _block(steps: list, path: str):
     """Of hashed steps: documents' numbers of words, distinct words (sorted hashes), each word's number, ids by distinct word."""
     h = np.concatenate([x[3] for x in steps])
     lens = np.concatenate([np.diff(x[4]) for x in steps])
-    u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    x = np.take(h, order)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    u, first, inv = x[new], order[new], np.empty(len(x), np.int64)
+    inv[order] = np.cumsum(new) - 1
 
     def letters(new: np.ndarray) -> list[str]:
-        """Of distinct words, the letters where each first stands."""
+        """Of distinct words, the letters where each stands."""
         names, done, own = [""] * len(new), 0, first[new]
         for data, a, b, _, _ in steps:
             mine = np.flatnonzero((own >= done) & (own < done + len(a)))
@@ -480,7 +543,7 @@ def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = No
         for stream in _learning(batches, start, end):
             n += adam.epoch(stream)
         if n:
-            flat = np.concatenate([own.w[k].ravel() for k in names])
+            flat = np.concatenate([own.learnt(k).ravel() for k in names])
             part = TaskContext.get().partitionId()
             for i, x in enumerate(np.array_split(flat, STRIPS)):
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([i]), pa.array([n]), pa.array([x.tobytes()], pa.binary())], names=["part", "strip", "n", "w"])
@@ -491,8 +554,13 @@ def train(learn: DataFrame, path: str, share: float, made: DataFrame | None = No
     if strips:
         flat, lo = np.concatenate([np.frombuffer(r.w, np.float32) for r in strips]), 0
         for k in names:
-            m.w[k] = flat[lo : lo + m.w[k].size].reshape(m.w[k].shape).copy()
-            lo += m.w[k].size
+            part = m.learnt(k)
+            new = flat[lo : lo + part.size].reshape(part.shape)
+            if k == "e":
+                m.w[k][m.seen] = new
+            else:
+                part[...] = new
+            lo += part.size
     m.freeze()
     return m
 

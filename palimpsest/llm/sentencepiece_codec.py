@@ -144,24 +144,23 @@ class Codec:
         start = np.full((len(units), width), -1, np.int32)
         inner = np.arange(width) < long[:, None] - 1
         start[inner] = self._find(sym[:, :-1][inner], sym[:, 1:][inner])
-        pair, out, rows, cols = start, sym, np.arange(len(units)), np.arange(width + 1)
-        while True:
-            agenda = self.rank[pair]
+        pair, out, rows = start, sym, np.arange(len(units))
+        while True:  # every live row has merged as often as the others, so all have one width
+            agenda = np.take(self.rank, pair)
             best = agenda.argmin(axis=1)
-            live = np.flatnonzero(agenda[np.arange(len(rows)), best] < _NONE)
-            if len(live) < len(rows):
-                out[rows] = sym
-                rows, sym, pair, best = rows[live], sym[live], pair[live], best[live]
+            going = np.take_along_axis(agenda, best[:, None], axis=1)[:, 0] < _NONE
+            if not going.all():
+                out[rows[~going], : sym.shape[1]] = sym[~going]
+                out[rows[~going], sym.shape[1] :] = self.pad
+                rows, sym, pair, best = rows[going], sym[going], pair[going], best[going]
             if not len(rows):
                 break
             r = np.arange(len(rows))
             new = self.made[pair[r, best]]
-            shift = np.minimum(cols + (cols > best[:, None]), width)
-            sym = np.take_along_axis(sym, shift, axis=1)
-            sym[:, -1] = self.pad
+            stay = np.ones(sym.shape, bool)
+            stay[r, best + 1] = False  # a pair's right side; the last symbol is padding, so a pair stands there too
+            sym, pair = sym[stay].reshape(len(rows), -1), pair[stay[:, :-1]].reshape(len(rows), -1)
             sym[r, best] = new
-            pair = np.take_along_axis(pair, np.minimum(shift[:, :-1], width - 1), axis=1)
-            pair[:, -1] = -1
             pair[r, best] = self._find(new, sym[r, best + 1])
             back = np.flatnonzero(best > 0)
             pair[back, best[back] - 1] = self._find(sym[back, best[back] - 1], new[back])

@@ -389,6 +389,50 @@ def test_model_gradients_and_windows():
     assert one <= 1 + 1e-6
 
 
+def test_op7_frequent_ids_take_two_steps():
+    """Most of the text takes two softmax steps, rare ids three; gradients, and probabilities over all ids, stay those of one tree."""
+    counts = np.floor(1e5 / np.arange(1, 3001) ** 1.3)
+    m = lm_scoring.Model(3100, 1, 2)
+    m.start_from(np.append(counts, np.zeros(100)))  # the last hundred are in no text
+    two = m.digits[:3000, 0] < m.short
+    assert 0 < m.short < lm_scoring.BASE and counts[two].sum() > 0.85 * counts.sum() and not two.all()
+    assert len({tuple(d) for d in m.digits.tolist()}) == 3100
+    rng = np.random.default_rng(0)
+    ids, tgt = rng.integers(0, 3000, (2, 2 * lm_scoring.STRIDE)), rng.integers(0, 3000, (2, 2 * lm_scoring.STRIDE))
+    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    _, g = m.train_step(ids, tgt)
+    for k in ("e", "w0", "w1", "w2", "b0", "b1", "b2"):
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        i = (m.seen[at[0]], at[1]) if k == "e" else (at[0] + m.short * lm_scoring.BASE, at[1]) if k == "b2" else at
+        old, eps, ends = m.w[k][i], 1e-5, []
+        for step in (eps, -eps):
+            m.w[k][i] = old + step
+            ends.append(m.train_step(ids, tgt)[0])
+        m.w[k][i] = old
+        assert g[k][at] == pytest.approx((ends[0] - ends[1]) / (2 * eps), rel=1e-3, abs=1e-7)
+    m.w = {k: x.astype(np.float32) for k, x in m.w.items()}
+    before = m.w["e"].copy()
+    lm_scoring.Adam(m).step(ids, tgt, 0.01)
+    assert (m.w["e"][3000:] == before[3000:]).all() and (m.w["e"][np.unique(ids)] != before[np.unique(ids)]).any(axis=1).all()
+    m.freeze()
+    w, part = m.w, np.arange(3100)
+    want = np.zeros(3100)
+    for own, end in ((part, 0.0), (np.full(3100, 2), 1.0)):  # an id after the start, and the end after that id
+        x = w["e"][[1]] if not end else w["e"][part]
+        past = np.stack((np.broadcast_to(w["e"][1], (3100, lm_scoring.DIM)), w["e"][part]), axis=1)[:, : 1 + int(end)]
+        s = np.einsum("nti,ni->nt", past @ w["k"], np.broadcast_to(x @ w["q"], (3100, lm_scoring.DIM))) / np.sqrt(lm_scoring.DIM) + w["r"][: past.shape[1]][::-1]
+        a = np.exp(s)
+        h = np.tanh(x @ w["x"] + np.einsum("nt,nti->ni", a / a.sum(axis=1, keepdims=True), past @ w["v"]) @ w["o"] + w["b"])
+        d, got = m.digits[own], np.zeros(3100)
+        for k, row in enumerate(m.context(d)):
+            z = h @ w[f"w{k}"] + w[f"b{k}"][row]
+            p = z[part, d[:, k]] - np.log(np.exp(z).sum(axis=1))
+            got += np.where((k < 2) | (d[:, 0] >= m.short), p, 0)
+        want += got
+        assert end or 0.99 < np.exp(got).sum() <= 1 + 1e-4
+    assert m.score(part.astype(np.int32), np.arange(3101)) == pytest.approx(want / np.log(10), rel=1e-3)
+
+
 def covered(texts, need=200):
     seen = collections.Counter(t.encode()[p : p + need] for t in texts.values() for p in range(len(t.encode()) - need + 1))
     out = {}
