@@ -19,6 +19,7 @@ Null and empty texts are one end token. Repeated rows are scored each. Extra col
 
 from __future__ import annotations
 
+import itertools
 import pickle
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .sentencepiece_codec import MARK, codec, model_path
+from .sentencepiece_codec import codec, model_path
 
 FIT_DOCS, BLOCK_BYTES = 1_500, 4 << 20
 STRIDE, DIM, BASE = 16, 16, 32
@@ -37,8 +38,9 @@ STEPS, BATCH = 1_000, 64
 PART_BATCH, PART_RATE, STRIPS, TOGETHER_TASKS = 1_024, 0.005, 16, 16
 #: Blocks in a file (Spark's reader holds a file's rows at once), bytes of words in a part, and units in a worker's cache.
 FILE_BLOCKS, PART_BYTES, CACHE_UNITS = 8, 16 << 20, 500_000
-#: Sequences whose gradients are made at once, and logits from which a row's maximum is taken off (exp of a float32 holds up to 88).
-CHUNK, TALL = 64, 80
+#: Sequences whose gradients are made at once, logits from which a row's maximum is taken off (exp of a float32 holds up to 88), and rows
+#: of a matrix that are multiplied at once.
+CHUNK, TALL, SLAB = 128, 80, 256
 _LOG10 = float(np.log(10))
 
 
@@ -70,6 +72,32 @@ def lowered(z: np.ndarray) -> None:
         z -= z.max(axis=-1, keepdims=True)
 
 
+def by_slabs(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w for many rows and few columns, SLAB rows at a time where they come out even: BLAS has faster kernels for small matrices."""
+    if len(x) % SLAB:
+        return x @ w
+    return (x.reshape(-1, SLAB, x.shape[1]) @ w).reshape(len(x), w.shape[1])
+
+
+def slab_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y for many rows, by slabs as above."""
+    if len(x) % SLAB:
+        return x.T @ y
+    return (x.reshape(-1, SLAB, x.shape[1]).transpose(0, 2, 1) @ y.reshape(-1, SLAB, y.shape[1])).sum(axis=0)
+
+
+def less_targets(z: np.ndarray, digit: np.ndarray) -> float:
+    """Turns rows of logits into the gradients of the summed loss, probabilities less 1 at the target; gives that loss."""
+    lowered(z)
+    np.exp(z, out=z)
+    z *= (1 / np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30))[:, None]
+    at = np.arange(len(z)) * z.shape[1] + digit
+    flat = z.reshape(-1)
+    p = np.take(flat, at)
+    flat[at] = p - 1
+    return -float(np.log(p + 1e-30).sum())
+
+
 class Model:
     """Weights and both directions of the network. Arrays are float32."""
 
@@ -119,80 +147,80 @@ class Model:
     def train_step(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats and gradients for sequences ids -> target (batch x 2 STRIDE)."""
         g = self.zeros()
-        loss, dx = self.add_gradients(ids, target, g)
-        add_rows(g["e"], self.place[ids.ravel()], dx)
+        loss = self.add_gradients(ids, target, g, self.joined(ids.shape[1]))
         return loss / ids.size, {k: x / ids.size for k, x in g.items()}
 
-    def add_gradients(self, ids: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
-        """Adds the gradients of the summed loss to g, less those of embeddings; gives that loss, and a row for the embedding of each id."""
+    def joined(self, t: int) -> dict[str, np.ndarray]:
+        """What all chunks of a step on sequences of t ids share: the weights side by side, and of each distance between two ids its place."""
+        w = self.w
+        back = np.arange(t)[:, None] - np.arange(t)
+        ready = {"in": np.concatenate((w["q"] * float(1 / np.sqrt(DIM)), w["k"], w["v"], w["x"]), axis=1), "far": np.where(back >= 0, w["r"][np.maximum(back, 0)], np.float32(-1e9)), "back": (back.ravel()[:, None] == np.arange(2 * STRIDE)).astype(np.float32)}
+        ready["two"], ready["bias"] = self.two_steps()
+        return ready | {f"{k} across": np.ascontiguousarray(ready[k].T) for k in ("in", "two")}
+
+    def two_steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the first two digits side by side, and their biases for each first digit: both steps are then made at once."""
+        w = self.w
+        return np.concatenate((w["w0"], w["w1"]), axis=1), np.concatenate((np.repeat(w["b0"], BASE, axis=0), w["b1"]), axis=1)
+
+    def add_gradients(self, ids: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray], ready: dict[str, np.ndarray]) -> float:
+        """Adds the gradients of the summed loss to g, and gives that loss."""
         w, (n, t) = self.w, ids.shape
-        m, scale = n * t, float(1 / np.sqrt(DIM))
-        ids, ones = ids.ravel(), np.ones(max(t, BASE), np.float32)
+        m = n * t
+        ids, target, ones = ids.ravel(), target.ravel(), np.ones(max(m, t, BASE), w["q"].dtype)
         x = np.take(w["e"], ids, axis=0)
-        mats = np.concatenate((w["q"] * scale, w["k"], w["v"], w["x"]), axis=1)
-        y = (x @ mats).reshape(n, t, 4 * DIM)
+        y = by_slabs(x, ready["in"]).reshape(n, t, 4 * DIM)
         q, k, v, u = (y[..., i * DIM : (i + 1) * DIM] for i in range(4))
-        back = np.arange(t)[:, None] - np.arange(t)
-        mask = back >= 0
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(mask, w["r"][np.maximum(back, 0)], np.float32(-1e9))
+        across = np.ascontiguousarray(y[..., DIM : 3 * DIM].transpose(0, 2, 1))  # keys and values; BLAS is slow on small matrices that it has to transpose
+        a = q @ across[:, :DIM]
+        a += ready["far"]
         lowered(a)
         np.exp(a, out=a)
         a *= (1 / np.maximum(a.reshape(m, t) @ ones[:t], 1e-30)).reshape(n, t, 1)
         c = (a @ v).reshape(m, DIM)
-        h = c @ w["o"]
+        h = by_slabs(c, w["o"])
         h += w["b"]
         h += u.reshape(m, DIM)
         np.tanh(h, out=h)
-        # the softmax by falling frequency of targets: rows of one bias are neighbours, long ids stand last
-        rank = np.take(self.rank, target.ravel())
-        order = np.argsort(rank, kind="stable")
-        d, by, du, loss = np.take(self.digits, target.ravel()[order], axis=0), np.take(h, order, axis=0), np.zeros((m, DIM), h.dtype), 0.0
-        lo = m - int(np.count_nonzero(rank >= self.short * BASE))
-        for i, row in enumerate(self.context(d)):
-            mine = by
-            if i == 2:
-                if lo == m:
-                    break
-                mine, row = by[lo:], row[lo:] - self.short * BASE
-            z = mine @ w[f"w{i}"]
-            z += np.take(self.learnt(f"b{i}"), row, axis=0) if i else w["b0"]
-            lowered(z)
-            np.exp(z, out=z)
-            z *= (1 / np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30))[:, None]
-            at = np.arange(len(z)) * z.shape[1] + d[m - len(z) :, i]
-            flat = z.reshape(-1)
-            p = np.take(flat, at)
-            loss -= float(np.log(p + 1e-30).sum())
-            flat[at] = p - 1
-            g[f"w{i}"] += mine.T @ z
-            if i:
-                cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                g[f"b{i}"][row[cuts]] += np.add.reduceat(z, cuts)
-            else:
-                g["b0"] += np.ones((1, m), z.dtype) @ z
-            du[m - len(z) :] += z @ w[f"w{i}"].T
-        back_to = np.empty_like(order)
-        back_to[order] = np.arange(m)
-        du = np.take(du, back_to, axis=0)
+        d = np.take(self.digits, target, axis=0)
+        z = by_slabs(h, ready["two"])
+        z += np.take(ready["bias"], d[:, 0], axis=0)
+        loss = less_targets(z.reshape(2 * m, BASE), d[:, :2].ravel())
+        gw = slab_sums(h, z)
+        g["w0"] += gw[:, :BASE]
+        g["w1"] += gw[:, BASE:]
+        g["b0"] += ones[None, :m] @ z[:, :BASE]
+        g["b1"] += slab_sums(np.take(np.eye(BASE, dtype=z.dtype), d[:, 0], axis=0), z[:, BASE:])
+        du = by_slabs(z, ready["two across"])
+        long = np.flatnonzero(d[:, 0] >= self.short)
+        if len(long):
+            mine, row = h[long], self.context(d[long])[2] - self.short * BASE
+            z = mine @ w["w2"]
+            z += np.take(self.learnt("b2"), row, axis=0)
+            loss += less_targets(z, d[long, 2])
+            g["w2"] += mine.T @ z
+            add_rows(g["b2"], row, z)
+            du[long] += z @ w["w2"].T
         du *= 1 - h * h
-        g["b"] += np.ones(m, du.dtype) @ du
-        g["o"] += c.T @ du
-        dc = du @ w["o"].T
-        ds = dc.reshape(n, t, DIM) @ v.transpose(0, 2, 1)
+        g["b"] += ones[:m] @ du
+        g["o"] += slab_sums(c, du)
+        dc = by_slabs(du, w["o"].T)
+        ds = dc.reshape(n, t, DIM) @ across[:, DIM:]
         ds -= ((dc * c) @ ones[:DIM]).reshape(n, t, 1)
         ds *= a
-        g["r"] += np.bincount(back[mask], ds.sum(axis=0)[mask], 2 * STRIDE).astype(np.float32)
+        g["r"] += (ones[:n] @ ds.reshape(n, t * t)) @ ready["back"]
         dy = np.empty((n, t, 4 * DIM), x.dtype)
         np.matmul(ds, k, out=dy[..., :DIM])
         np.matmul(ds.transpose(0, 2, 1), q, out=dy[..., DIM : 2 * DIM])
         np.matmul(a.transpose(0, 2, 1), dc.reshape(n, t, DIM), out=dy[..., 2 * DIM : 3 * DIM])
         dy[..., 3 * DIM :] = du.reshape(n, t, DIM)
         dy = dy.reshape(m, 4 * DIM)
-        gm = x.T @ dy
+        gm = slab_sums(x, dy)
+        gm[:, :DIM] *= float(1 / np.sqrt(DIM))
         for i, name in enumerate("qkvx"):
-            g[name] += gm[:, i * DIM : (i + 1) * DIM] * (scale if name == "q" else 1)
-        return loss, dy @ mats.T
+            g[name] += gm[:, i * DIM : (i + 1) * DIM]
+        add_rows(g["e"], np.take(self.place, ids), by_slabs(dy, ready["in across"]))
+        return loss
 
     def train(self, docs: list[np.ndarray], steps: int = STEPS, counts: np.ndarray | None = None) -> list[float]:
         """docs: ids of each document without start and end; counts: of all ids, else those of docs. Returns the loss of every step."""
@@ -216,9 +244,19 @@ class Model:
         bound = max(float(np.abs(w[f"w{i}"]).sum(axis=0).max() + w[f"b{i}"].max()) for i in range(3))
         reach = float(np.linalg.norm(self.kv[:, :DIM], axis=1).max() * np.linalg.norm(self.kv[:, DIM : 2 * DIM], axis=1).max() + np.abs(w["r"]).max())
         self.tall = max(bound, reach) > TALL  # then scoring takes off each row's maximum
+        self.both, self.bias = self.two_steps()
         back = np.arange(STRIDE, 2 * STRIDE)[:, None] - np.arange(2 * STRIDE)
         self.rel = np.where(back >= 0, w["r"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
+    def logs(self, z: np.ndarray, digit: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each row's probability of its digit; z, the logits, are written over."""
+        if self.tall:
+            z -= z.max(axis=1, keepdims=True)
+        p = np.take(z.reshape(-1), np.arange(len(z)) * z.shape[1] + digit)
+        np.exp(z, out=z)
+        p -= np.log(z @ np.ones(z.shape[1], z.dtype))
+        return p
+
     def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """log10 probability of each document, its end included; ids stand document by document."""
         n = np.diff(offsets) + 1  # predictions: every id and the end
@@ -239,43 +277,34 @@ class Model:
             own = np.take(self.kv, inp[max(0, lo - 1) : hi], axis=0)  # with the stride before
             if lo == 0:
                 own = np.concatenate((own[:1], own))
-            both = np.lib.stride_tricks.as_strided(own, (hi - lo, 2 * STRIDE, 4 * DIM), own.strides, writeable=False)  # strides stand end to end
-            q, u, keys, vals = own[..., :DIM], own[..., 3 * DIM :], both[..., DIM : 2 * DIM], both[..., 2 * DIM : 3 * DIM]
-            s = q[1:] @ keys.transpose(0, 2, 1)
+            both = np.ndarray((hi - lo, 2 * STRIDE, 4 * DIM), own.dtype, own, strides=own.strides)  # strides stand end to end
+            q, u, vals = own[1:, :, :DIM], own[1:, :, 3 * DIM :], both[..., 2 * DIM : 3 * DIM]
+            across = np.ascontiguousarray(own.reshape(-1, 4 * DIM)[:, DIM : 2 * DIM].T)  # BLAS is slow on small matrices that it has to transpose
+            keys = np.ndarray((hi - lo, DIM, 2 * STRIDE), across.dtype, across, strides=(STRIDE * across.itemsize, *across.strides))
+            s = q @ keys
             s += self.rel
             s[first[lo:hi], :, :STRIDE] = -1e9
             if self.tall:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)  # scores and logits stay small after most trainings
             c = s @ vals
-            c /= (s.reshape(-1, 2 * STRIDE) @ ones[: 2 * STRIDE]).reshape(*s.shape[:2], 1)
-            c += u[1:]
-            h = np.tanh(c).reshape(-1, DIM)
+            c *= (1 / (s.reshape(-1, 2 * STRIDE) @ ones[: 2 * STRIDE])).reshape(*s.shape[:2], 1)
+            c += u
+            h = np.tanh(c, out=c).reshape(-1, DIM)
             target = out[lo:hi].ravel()
-            real = np.flatnonzero(target >= 0)
-            d = np.take(self.digits, target[real], axis=0)
-            if len(real) < len(h):
-                h = np.take(h, real, axis=0)
-            logp = np.zeros(len(real), np.float32)
-            long = np.flatnonzero(d[:, 0] >= self.short)
-            for i, row in enumerate(self.context(d)):
-                mine, digit = h, d[:, i]
-                if i == 2:
-                    if not len(long):
-                        break
-                    mine, row, digit = h[long], row[long], digit[long]
-                z = mine @ self.w[f"w{i}"]
-                z += np.take(self.w[f"b{i}"], row, axis=0) if i else self.w["b0"]
-                if self.tall:
-                    z -= z.max(axis=1, keepdims=True)
-                p = np.take(z.reshape(-1), np.arange(len(z)) * z.shape[1] + digit)
-                np.exp(z, out=z)
-                p -= np.log(z @ np.ones(z.shape[1], z.dtype))
-                if i == 2:
-                    logp[long] += p
-                else:
-                    logp += p
-            got[lo:hi] = np.bincount(real // STRIDE, logp, hi - lo)
+            real = target >= 0  # the last stride of a document may be longer than its rest, by a few rows that count for nothing
+            d = np.take(self.digits, target, axis=0, mode="wrap")
+            z = by_slabs(h, self.both)
+            z += np.take(self.bias, d[:, 0], axis=0)
+            z = z.reshape(-1, BASE)
+            logp = self.logs(z, d[:, :2].ravel()).reshape(-1, 2) @ ones[:2]
+            long = np.flatnonzero((d[:, 0] >= self.short) & real)
+            if len(long):
+                z = h[long] @ self.w["w2"]
+                z += np.take(self.w["b2"], self.context(d[long])[2], axis=0)
+                logp[long] += self.logs(z, d[long, 2])
+            logp[~real] = 0
+            got[lo:hi] = logp.reshape(-1, STRIDE) @ ones[:STRIDE]
         return np.bincount(doc, got, len(n)) / _LOG10
 
 
@@ -290,9 +319,8 @@ class Adam:
         """One step on all sequences; gradients are added up chunk by chunk, so that a chunk's arrays stay in cache."""
         self.n += 1
         w, m, u = self.model.w, self.m, self.u
-        got = [self.model.add_gradients(ids[i : i + CHUNK], target[i : i + CHUNK], self.g) for i in range(0, len(ids), CHUNK)]
-        add_rows(self.g["e"], np.take(self.model.place, ids.ravel()), np.concatenate([dx for _, dx in got]))
-        loss = sum(x for x, _ in got) / ids.size
+        ready = self.model.joined(ids.shape[1])
+        loss = sum(self.model.add_gradients(ids[i : i + CHUNK], target[i : i + CHUNK], self.g, ready) for i in range(0, len(ids), CHUNK)) / ids.size
         fix, fair = rate / (1 - 0.9**self.n), float(1 / (1 - 0.99**self.n))
         for k, x in self.g.items():
             x /= ids.size
@@ -347,6 +375,17 @@ def around(flat: np.ndarray, per: np.ndarray, start: int, end: int) -> np.ndarra
     return x
 
 
+def subwords(words: list[str], path: str, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words end to end, and how many each has, by the library itself: it takes half the time of the codec's merging in numpy."""
+    flat, count = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+    for lo in range(0, len(words), step):
+        got = codec(path).lib.encode(words[lo : lo + step], num_threads=1)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        flat.append(np.fromiter(itertools.chain.from_iterable(got), np.int32, int(n.sum())))
+        count[lo : lo + step] = n
+    return np.concatenate(flat), count
+
+
 class Units:
     """Subword ids of words by hash, at most CACHE_UNITS and one block's kept by a worker: sorted arrays, made anew when full."""
 
@@ -363,10 +402,10 @@ class Units:
         at = np.searchsorted(self.known, u)
         new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != u) if len(self.known) else np.arange(len(u))
         if len(new):
-            flat, count = codec(path).merged_flat([MARK + w for w in letters(new)])
+            flat, count = subwords(letters(new), path)
             start = np.cumsum(count) - count + len(self.flat)
             self.known, self.start, self.count = (np.insert(x, at[new], y) for x, y in ((self.known, u[new]), (self.start, start), (self.count, count)))
-            self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+            self.flat = np.concatenate((self.flat, flat))
         at = np.searchsorted(self.known, u)
         return self.flat[common.ragged(self.start[at], self.count[at])], self.count[at]
 

@@ -433,6 +433,32 @@ def test_op7_frequent_ids_take_two_steps():
     assert m.score(part.astype(np.int32), np.arange(3101)) == pytest.approx(want / np.log(10), rel=1e-3)
 
 
+def test_op7_slabs_give_what_plain_products_give():
+    """Rows in slabs, and new words by the library, are cheaper ways to the same gradients, scores and ids."""
+    rng = np.random.default_rng(5)
+    counts = np.floor(1e4 / np.arange(1, 3001) ** 1.1)
+    m = lm_scoring.Model(3000, 1, 2)
+    m.start_from(counts)
+    n = lm_scoring.SLAB // (2 * lm_scoring.STRIDE) * 2
+    ids, tgt = rng.integers(0, 3000, (2, n, 2 * lm_scoring.STRIDE))
+    loss, g = m.train_step(ids, tgt)
+    one = [m.train_step(ids[i : i + 1], tgt[i : i + 1]) for i in range(n)]  # too few rows for a slab
+    assert loss == pytest.approx(np.mean([x for x, _ in one]), rel=1e-5)
+    for k, x in g.items():
+        assert x == pytest.approx(np.mean([y[k] for _, y in one], axis=0), abs=1e-6), k
+    m.freeze()
+    flat, at = rng.integers(0, 3000, 4000).astype(np.int32), np.array([0, 1500, 1500, 1517, 4000])
+    got = m.score(flat, at, lm_scoring.SLAB // lm_scoring.STRIDE)
+    assert got == pytest.approx(m.score(flat, at, 7), rel=1e-5) and (got < 0).all()
+    x, y = (rng.standard_normal((2 * lm_scoring.SLAB, k)).astype(np.float32) for k in (5, 3))
+    assert lm_scoring.by_slabs(x, y[:5]) == pytest.approx(x @ y[:5], abs=1e-4) and lm_scoring.slab_sums(x, y) == pytest.approx(x.T @ y, abs=1e-4)
+    path = sentencepiece_codec.model_path()
+    words = ["word", "naïve,", "▁", "a▁▁b", "x\x00y", "<s>", "<unk>", "日本語日本語", "😀😀", "ﬁÅ①", "\u00a0\u3000", "e" * 5000, "0fdd65f9e7"]
+    for got, want in zip(lm_scoring.subwords(words, path, 5), sentencepiece_codec.codec(path).merged_flat([sentencepiece_codec.MARK + w for w in words]), strict=True):
+        assert got.tolist() == want.tolist()
+    assert [len(x) for x in lm_scoring.subwords([], path)] == [0, 0]
+
+
 def covered(texts, need=200):
     seen = collections.Counter(t.encode()[p : p + need] for t in texts.values() for p in range(len(t.encode()) - need + 1))
     out = {}
